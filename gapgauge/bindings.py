@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gapgauge.functions import display_name
 from gapgauge.params import ReportParams, SignalParams, StudyParams, TrendParams
 from gapgauge.schemas import BATTED_BALL, EXPECTED_STATS
+from gapgauge.session import cut_lineage
 
 EARLY, LATE = date(1998, 12, 31), date(2001, 12, 31)
 
@@ -95,18 +96,28 @@ def _snapshots(spark: SparkSession, sf_dir: str, **measures: tuple) -> DataFrame
     return grouped.select("player_type", "player_id", both.alias("s")).select("player_type", "player_id", "s.*")
 
 
-def expected_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measures = _snapshots(
+def board_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything both boards are made of."""
+    speed = F.col("launch_speed")
+    return _snapshots(
         spark,
         sf_dir,
         pa=(F.count, F.lit(1)),
         bip=(F.count, F.col("estimated_woba_using_speedangle")),
         woba=(F.avg, F.col("woba")),
         est_woba=(F.avg, F.col("est_woba")),
-    ).filter(F.col("pa") > 0)
-    named = measures.withColumns(
+        attempts=(F.count, speed),
+        avg_hit_speed=(F.avg, speed),
+        max_hit_speed=(F.max, speed),
+        avg_launch_angle=(F.avg, F.col("launch_angle")),
+        barrels=(F.count, F.when(speed >= 105, 1)),
+        hard=(F.count, F.when(speed >= 95, 1)),
+    ).withColumn("player_name", F.concat(F.col("player_type"), F.lit(" "), F.col("player_id").cast("string")))
+
+
+def as_expected(measures: DataFrame) -> DataFrame:
+    derived = measures.filter(F.col("pa") > 0).withColumns(
         {
-            "player_name": F.concat(F.col("player_type"), F.lit(" "), F.col("player_id").cast("string")),
             "year": F.year("snapshot_date"),
             "ba": F.col("woba") * 0.8,
             "est_ba": F.col("est_woba") * 0.8,
@@ -114,32 +125,33 @@ def expected_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
             "est_slg": F.col("est_woba") * 1.4,
         }
     )
-    return named.select(*EXPECTED_STATS.names)
+    return derived.select(*EXPECTED_STATS.names)
 
 
-def batted_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contact board; entities with few contacts are absent, as at the source."""
-    speed = F.col("launch_speed")
-    measures = _snapshots(
-        spark,
-        sf_dir,
-        pa=(F.count, F.lit(1)),
-        attempts=(F.count, speed),
-        avg_hit_speed=(F.avg, speed),
-        max_hit_speed=(F.max, speed),
-        avg_launch_angle=(F.avg, F.col("launch_angle")),
-        barrels=(F.count, F.when(speed >= 105, 1)),
-        hard=(F.count, F.when(speed >= 95, 1)),
-    ).filter(F.col("attempts") >= CONTACT_MINIMUM)
-    named = measures.withColumns(
+def as_contact(measures: DataFrame) -> DataFrame:
+    """Entities with few contacts are absent, as at the source."""
+    derived = measures.filter(F.col("attempts") >= CONTACT_MINIMUM).withColumns(
         {
-            "player_name": F.concat(F.col("player_type"), F.lit(" "), F.col("player_id").cast("string")),
             "brl_percent": 100 * F.col("barrels") / F.col("attempts"),
             "brl_pa": 100 * F.col("barrels") / F.col("pa"),
             "ev95percent": 100 * F.col("hard") / F.col("attempts"),
         }
     )
-    return named.select(*BATTED_BALL.names)
+    return derived.select(*BATTED_BALL.names)
+
+
+def expected_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_expected(board_measures(spark, sf_dir))
+
+
+def boards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both boards, aggregated from the events once and written.
+
+    Boards are stored tables in use. The analysis reads them several times,
+    which must not mean scanning the events several times.
+    """
+    measures = cut_lineage(board_measures(spark, sf_dir))
+    return as_expected(measures), as_contact(measures)
 
 
 def board_source(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:

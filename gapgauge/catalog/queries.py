@@ -55,11 +55,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def all_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return op.build_signals(b.expected_stats(spark, sf), b.batted_ball(spark, sf), b.SIGNALS)
+    return op.build_signals(*b.boards(spark, sf), b.SIGNALS)
 
 
 def latest_gapped(spark: SparkSession, sf: str) -> DataFrame:
-    return sg.with_gaps(sg.at_snapshot(b.expected_stats(spark, sf)), b.SIGNALS)
+    expected, _ = b.boards(spark, sf)
+    return sg.with_gaps(sg.at_snapshot(expected), b.SIGNALS)
+
+
+def with_contact(spark: SparkSession, sf: str) -> DataFrame:
+    expected, contact = b.boards(spark, sf)
+    return sg.attach_contact(sg.with_gaps(sg.at_snapshot(expected), b.SIGNALS), sg.at_snapshot(contact))
 
 
 def calibrated(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,7 +229,7 @@ def stream_ingest(spark, sf):
 def replace_snapshot(spark, sf):
     """A snapshot written twice on one date holds the second run only."""
     path = f"{scratch(spark, 'board')}/expected_stats"
-    board = b.expected_stats(spark, sf)
+    board, _ = b.boards(spark, sf)
     sources.replace_snapshot(board.withColumn("pa", F.lit(0).cast("bigint")), path)
     sources.replace_snapshot(board.filter(F.col("player_type") == "batter"), path)
     return rounded(sources.read_board(spark, path, schemas.EXPECTED_STATS))
@@ -259,7 +265,7 @@ def scan_snapshot(spark, sf):
 
 @query
 def null_safe_json(spark, sf):
-    joined = sg.attach_contact(latest_gapped(spark, sf), sg.at_snapshot(b.batted_ball(spark, sf)))
+    joined = with_contact(spark, sf)
     return joined.select("player_type", "player_id", json_record(["player_id", "player_name", "attempts"]).alias("record"))
 
 
@@ -343,8 +349,7 @@ def entity_semi(spark, sf):
 
 @query
 def attach_contact(spark, sf):
-    joined = sg.attach_contact(latest_gapped(spark, sf), sg.at_snapshot(b.batted_ball(spark, sf)))
-    return rounded(joined.select(*sg.ENTITY, *sg.CONTACT_COLUMNS))
+    return rounded(with_contact(spark, sf).select(*sg.ENTITY, *sg.CONTACT_COLUMNS))
 
 
 @query
@@ -359,8 +364,7 @@ def pct_rank_avg(spark, sf):
 
 @query
 def pct_rank_contact(spark, sf):
-    joined = sg.attach_contact(latest_gapped(spark, sf), sg.at_snapshot(b.batted_ball(spark, sf)))
-    return op.tie_averaged_percentiles(joined, "player_type", ["player_id"], sg.contact_metrics())
+    return op.tie_averaged_percentiles(with_contact(spark, sf), "player_type", ["player_id"], sg.contact_metrics())
 
 
 @query

@@ -68,4 +68,5 @@ def unit_draw(*parts: ColumnLike) -> Column:
     generator would not. 48 bits of a digest fit a double exactly.
     """
     text = F.concat_ws("|", *[as_column(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    digits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10)
+    return digits.cast("double") * F.lit(2.0**-48)

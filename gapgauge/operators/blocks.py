@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapgauge.params import StudyParams
@@ -104,33 +104,41 @@ def block_pairs(
 
 
 def index_pairs(pairs: DataFrame) -> DataFrame:
-    """Number the pairs 0..n-1 per window (``idx``) and 0..m-1 per block (``blk_idx``).
+    """Number the pairs: ``row`` over everything, ``idx`` per window, ``blk_idx`` per block.
 
-    The order is (block, id bucket, id). Counts per bucket give the offsets,
-    so only one bucket of one block is sorted at a time.
+    The order is (window, block, id bucket, id), so a window covers the rows
+    ``[win_start, win_start + n)`` and a block ``[blk_start, blk_start +
+    n_block)``. Counts per bucket give the offsets; only one bucket of one
+    block is sorted at a time.
     """
     block, bucket = ["win", "half"], ["win", "half", "bucket"]
     earlier = (Window.unboundedPreceding, -1)
+
+    def before(count: str, window) -> Column:
+        return F.coalesce(F.sum(count).over(window.rowsBetween(*earlier)), F.lit(0))
+
     pairs = pairs.withColumn("bucket", F.pmod("pid", F.lit(INDEX_BUCKETS)))
     buckets = pairs.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n_bucket"))
-    blocks = buckets.groupBy(*block).agg(F.sum("n_bucket").alias("n_block"))
-    by_window = Window.partitionBy("win")
-    block_offsets = blocks.select(
-        *block,
-        "n_block",
-        F.coalesce(F.sum("n_block").over(by_window.orderBy("half").rowsBetween(*earlier)), F.lit(0)).alias("before_block"),
-        F.sum("n_block").over(by_window).alias("n"),
+    # One row per block: bounded by the calendar, so a single group is fine.
+    blocks = (
+        buckets.groupBy(*block)
+        .agg(F.sum("n_bucket").alias("n_block"))
+        .withColumn("blk_start", before("n_block", Window.partitionBy(F.lit(0)).orderBy(*block)))
+        .withColumns(
+            {
+                "win_start": F.min("blk_start").over(Window.partitionBy("win")),
+                "n": F.sum("n_block").over(Window.partitionBy("win")),
+            }
+        )
     )
-    in_block = Window.partitionBy(*block).orderBy("bucket").rowsBetween(*earlier)
     offsets = buckets.select(
-        *bucket, F.coalesce(F.sum("n_bucket").over(in_block), F.lit(0)).alias("before_bucket")
-    ).join(block_offsets, block)
+        *bucket, before("n_bucket", Window.partitionBy(*block).orderBy("bucket")).alias("before_bucket")
+    ).join(blocks, block)
+    place = F.row_number().over(Window.partitionBy(*bucket).orderBy("pid")) - 1
     return (
         pairs.join(offsets, bucket)
-        .withColumn(
-            "blk_idx",
-            F.col("before_bucket") + F.row_number().over(Window.partitionBy(*bucket).orderBy("pid")) - 1,
-        )
-        .withColumn("idx", F.col("before_block") + F.col("blk_idx"))
-        .drop("bucket", "before_bucket", "before_block")
+        .withColumn("blk_idx", F.col("before_bucket") + place)
+        .withColumn("row", F.col("blk_start") + F.col("blk_idx"))
+        .withColumn("idx", F.col("row") - F.col("win_start"))
+        .drop("bucket", "before_bucket")
     )

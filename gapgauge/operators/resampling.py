@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from gapgauge.functions import unit_draw
 from gapgauge.operators.statistics import predictive_stats
 
-# Pairs up to this number (three doubles and two keys each) are sent to every
-# task; beyond it both sides are shuffled on the drawn row number.
-BROADCAST_PAIRS = 200_000
+# Pairs up to this number (three doubles and a row number each, 16 MB in all)
+# are sent to every task; beyond it both sides are shuffled on the row number.
+BROADCAST_PAIRS = 500_000
 # Resampled rows one task should produce.
 ROWS_PER_TASK = 2_000_000
 # Rows of one replicate of one block that a single task sorts.
@@ -40,10 +40,12 @@ def _lookup(side: DataFrame, n_pairs: int) -> DataFrame:
 
 def bootstrap_replicates(indexed: DataFrame, replicates: int, seed: int) -> DataFrame:
     """Statistics of every replicate: n draws with replacement of n pair rows."""
-    draws, n_pairs = _spread(indexed.select("win", "idx", "n"), replicates)
+    draws, n_pairs = _spread(indexed.select("win", "idx", "win_start", "n"), replicates)
     drawn = F.floor(unit_draw(F.lit(seed), F.lit("boot"), "win", "rep", "idx") * F.col("n"))
-    sample = draws.select("win", "rep", drawn.alias("idx")).join(
-        _lookup(indexed.select("win", "idx", "woba_1", "xwoba_1", "woba_2"), n_pairs), ["win", "idx"]
+    # Never NULL, so that the join adds no filter that would draw a second time.
+    row = F.coalesce(F.col("win_start") + drawn, F.lit(0))
+    sample = draws.select("win", "rep", row.alias("row")).join(
+        _lookup(indexed.select("row", "woba_1", "xwoba_1", "woba_2"), n_pairs), "row"
     )
     stats = predictive_stats(sample, ["win", "rep"])
     return stats.filter((F.col("sd_w1") > 0) & (F.col("sd_x1") > 0))
@@ -79,7 +81,7 @@ def shuffled_positions(indexed: DataFrame, replicates: int, seed: int, sort_rows
     and the places are the same as with one sort.
     """
     largest = indexed.agg(F.max("n_block")).first()[0] or 0
-    rows, _ = _spread(indexed.select("win", "half", "idx", "blk_idx", "n_block", "xwoba_1"), replicates)
+    rows, _ = _spread(indexed.select("win", "half", "idx", "blk_idx", "blk_start", "n_block", "xwoba_1"), replicates)
     rows = rows.withColumn("u", unit_draw(F.lit(seed), F.lit("perm"), "win", "rep", "idx"))
     block = ["rep", "win", "half"]
     if largest <= sort_rows:
@@ -99,11 +101,9 @@ def shuffled_positions(indexed: DataFrame, replicates: int, seed: int, sort_rows
 
 def permutation_replicates(indexed: DataFrame, replicates: int, seed: int, sort_rows: int = SORT_ROWS) -> DataFrame:
     """Coupled slope of every replicate with period-1 expected rates shuffled within blocks."""
-    shuffled = shuffled_positions(indexed, replicates, seed, sort_rows).select(
-        "rep", "win", "half", F.col("pos").alias("blk_idx"), "xwoba_1"
-    )
-    kept = indexed.select("win", "half", "blk_idx", "woba_1", "woba_2")
-    joined = shuffled.join(_lookup(kept, indexed.count()), ["win", "half", "blk_idx"])
+    row = F.coalesce(F.col("blk_start") + F.col("pos"), F.lit(0))
+    shuffled = shuffled_positions(indexed, replicates, seed, sort_rows).select("rep", "win", row.alias("row"), "xwoba_1")
+    joined = shuffled.join(_lookup(indexed.select("row", "woba_1", "woba_2"), indexed.count()), "row")
     w1, x1, w2 = F.col("woba_1"), F.col("xwoba_1"), F.col("woba_2")
     return joined.groupBy("win", "rep").agg(F.regr_slope(w2 - w1, x1 - w1).alias("b_coupled"))
 

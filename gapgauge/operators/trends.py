@@ -10,11 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from gapgauge.operators.appearances import pa_level
-from gapgauge.operators.ordinals import entity_ordinals
+from gapgauge.operators.ordinals import (
+    EVENT_ORDER,
+    SORT_ROWS,
+    entity_ordinals,
+    ordinals_by_entity,
+    ordinals_by_game,
+    split_by_size,
+)
 from gapgauge.params import TrendParams
 
-# Rows of one entity that a single task sorts at a time in the full series.
-SEGMENT_ROWS = 65536
+# Rows of a large entity that a single task sorts at a time.
+SEGMENT_ROWS = 262_144
 
 
 def _trailing(column: str, frame: WindowSpec, minimum: int) -> Column:
@@ -32,28 +39,39 @@ def _means(rows: DataFrame, by: list[str], params: TrendParams) -> DataFrame:
     )
 
 
-def rolling_means(pa: DataFrame, params: TrendParams = TrendParams(), segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Trailing means at every appearance.
+def _in_segments(numbered: DataFrame, params: TrendParams, segment_rows: int) -> DataFrame:
+    """Means of entities too long for one task, segment by segment.
 
-    An entity's rows are cut into segments by ordinal. The last rows of a
-    segment are repeated at the head of the next one, so every frame is whole,
-    and the repeats are dropped afterwards.
+    The last rows of a segment are repeated at the head of the next one, so
+    every frame is whole; the repeats are dropped afterwards.
     """
     lookback = params.window - 1
-    if segment_rows <= lookback:
-        raise ValueError("a segment must be longer than the window")
     home = F.floor(F.col("ordinal") / segment_rows)
     in_tail = F.col("ordinal") % segment_rows >= segment_rows - lookback
     segments = F.when(in_tail, F.array(home, home + 1)).otherwise(F.array(home))
-    placed = (
-        entity_ordinals(pa)
-        .select("pid", "game_date", "ordinal", "n_rows", "xwoba_pa", "woba_pa", "launch_speed", home.alias("home"),
-                F.explode(segments).alias("segment"))
-    )
+    placed = numbered.select("*", home.alias("home"), F.explode(segments).alias("segment"))
     return _means(placed, ["pid", "segment"], params).filter(F.col("segment") == F.col("home")).drop("home", "segment")
 
 
-def trend_points(pa: DataFrame, params: TrendParams = TrendParams()) -> DataFrame:
+def rolling_means(
+    pa: DataFrame,
+    params: TrendParams = TrendParams(),
+    sort_rows: int = SORT_ROWS,
+    segment_rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """Trailing means at every appearance."""
+    if segment_rows < params.window:
+        raise ValueError("a segment must not be shorter than the window")
+    pa = pa.select("pid", *EVENT_ORDER)
+    ordinary, large = split_by_size(pa, sort_rows)
+    kept = ["pid", "game_date", "ordinal", "n_rows", "xwoba_pa", "woba_pa", "launch_speed"]
+    rolled = _means(ordinals_by_entity(ordinary).select(*kept), ["pid"], params)
+    if large is None:
+        return rolled
+    return rolled.unionByName(_in_segments(ordinals_by_game(large).select(*kept), params, segment_rows))
+
+
+def trend_points(pa: DataFrame, params: TrendParams = TrendParams(), sort_rows: int = SORT_ROWS) -> DataFrame:
     """Thinned series: about ``points`` evenly spaced points per entity and the last.
 
     The expected value is never NULL, so the warm-up drops exactly the first
@@ -72,7 +90,7 @@ def trend_points(pa: DataFrame, params: TrendParams = TrendParams()) -> DataFram
     needed = (n_points > 0) & (next_point - place < params.window)
 
     rows = (
-        entity_ordinals(pa)
+        entity_ordinals(pa.select("pid", *EVENT_ORDER), sort_rows)
         .filter(needed)
         .select("pid", "game_date", "ordinal", "n_rows", "xwoba_pa", "woba_pa", "launch_speed")
     )
