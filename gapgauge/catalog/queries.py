@@ -21,7 +21,7 @@ from gapgauge.functions import numeric
 from gapgauge.operators import resampling, signals as sg, toplists
 from gapgauge.operators.appearances import recent_days
 from gapgauge.plans.report import json_record
-from gapgauge.session import shared_folder
+from gapgauge.session import cut_lineage, shared_folder
 from gapgauge.sources.events import DAY_COLUMN
 from gapgauge.sources.ledger import latest_entries, ledger_entries
 from gapgauge.streaming import ingest_stream
@@ -473,7 +473,7 @@ def flagged_trends(spark, sf):
 
 
 def paired(spark: SparkSession, sf: str) -> DataFrame:
-    return op.block_pairs(appearances(spark, sf), b.pitches(spark, sf), b.STUDY)
+    return op.block_pairs(appearances(spark, sf), b.pitches(spark, sf), b.STUDY, materialize=cut_lineage)
 
 
 def numbered(spark: SparkSession, sf: str) -> DataFrame:
@@ -492,7 +492,8 @@ def eligible_entities(spark, sf):
 
 @query
 def half_aggregate(spark, sf):
-    return rounded(op.half_aggregates(appearances(spark, sf), b.pitches(spark, sf), b.STUDY.windows))
+    first_day = op.event_extent(b.pitches(spark, sf)).first()["first_day"]
+    return rounded(op.half_aggregates(appearances(spark, sf), first_day, b.STUDY.windows))
 
 
 @query
@@ -502,7 +503,7 @@ def block_pairs(spark, sf):
 
 @query
 def index_pairs(spark, sf):
-    return op.index_pairs(paired(spark, sf)).select("win", "half", "pid", "idx", "blk_idx", "n", "n_block")
+    return op.index_pairs(cut_lineage(paired(spark, sf))).select("win", "half", "pid", "idx", "blk_idx", "n", "n_block")
 
 
 @query

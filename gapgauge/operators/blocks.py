@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,18 +33,17 @@ def eligible_entities(events: DataFrame, role: str, min_pa: int) -> DataFrame:
     )
 
 
-def half_aggregates(pa: DataFrame, events: DataFrame, windows: Iterable[int]) -> DataFrame:
+def half_aggregates(pa: DataFrame, first_day: date | None, windows: Iterable[int]) -> DataFrame:
     """Per window length, half index and entity: appearances and mean rates.
 
     Half ``h`` of window ``W`` covers days ``[h*W, (h+1)*W)`` counted from the
     first event day, so the date ranges become an integer key. Rows are summed
     per entity and day before they are repeated for every window length.
     """
-    first_day = events.agg(F.min("game_date")).scalar()
     daily = pa.groupBy("pid", "game_date").agg(
         F.count(F.lit(1)).alias("n"), F.sum("woba_pa").alias("w"), F.sum("xwoba_pa").alias("x")
     )
-    day = F.datediff("game_date", first_day)
+    day = F.datediff("game_date", F.lit(first_day).cast("date"))
     lengths = F.explode(F.array(*[F.lit(int(w)) for w in windows]))
     return (
         daily.select("pid", day.alias("day"), "n", "w", "x", lengths.alias("win"))
@@ -56,24 +56,24 @@ def half_aggregates(pa: DataFrame, events: DataFrame, windows: Iterable[int]) ->
     )
 
 
-def pair_halves(halves: DataFrame, events: DataFrame, min_pa: int) -> DataFrame:
+def pair_halves(halves: DataFrame, first_day: date | None, last_day: date | None, min_pa: int) -> DataFrame:
     """Consecutive halves of an entity side by side, both large enough.
 
     An entity has one row per half, so the pairing is a look at the next row
     of a group bounded by the calendar instead of a self-join.
     """
-    extent = F.datediff(events.agg(F.max("game_date")).scalar(), events.agg(F.min("game_date")).scalar())
-    first_day = events.agg(F.min("game_date")).scalar()
+    start = F.lit(first_day).cast("date")
+    n_days = F.datediff(F.lit(last_day).cast("date"), start) + 1
     following = F.lead(F.struct("half", "pa", "woba", "xwoba")).over(Window.partitionBy("win", "pid").orderBy("half"))
     return (
         halves.filter(F.col("pa") >= min_pa)
         .withColumn("following", following)
         .filter(F.col("following.half") == F.col("half") + 1)
-        .filter((F.col("half") + 2) * F.col("win") <= extent + 1)
+        .filter((F.col("half") + 2) * F.col("win") <= n_days)
         .select(
             "win",
             "half",
-            F.date_add(first_day, (F.col("half") * F.col("win")).cast("int")).alias("block_start"),
+            F.date_add(start, (F.col("half") * F.col("win")).cast("int")).alias("block_start"),
             "pid",
             F.col("pa").alias("pa_1"),
             F.col("woba").alias("woba_1"),
@@ -96,11 +96,14 @@ def block_pairs(
 ) -> DataFrame:
     """All pairs of all window lengths at once.
 
-    ``materialize`` is applied to the ungated pairs, which are read twice and
-    are far smaller than the events they come from.
+    Blocks are anchored at the first day of all ``events``, of which ``pa`` may
+    be a part. ``materialize`` is applied to the ungated pairs, which are read
+    twice and are far smaller than the events they come from.
     """
-    pairs = materialize(pair_halves(half_aggregates(pa, events, params.windows), events, params.min_pa))
-    return gate_blocks(pairs, params.min_pairs)
+    extent = event_extent(events).first()
+    halves = half_aggregates(pa, extent["first_day"], params.windows)
+    pairs = pair_halves(halves, extent["first_day"], extent["last_day"], params.min_pa)
+    return gate_blocks(materialize(pairs), params.min_pairs)
 
 
 def index_pairs(pairs: DataFrame) -> DataFrame:

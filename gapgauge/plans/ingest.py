@@ -9,6 +9,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gapgauge.sources.boards import load_contact_board, load_expected_board, replace_snapshot
 from gapgauge.sources.calendar import pending_days, season_calendar
@@ -43,16 +44,17 @@ def read_days(spark: SparkSession, landing: str, days: Iterable[date], fmt: str
     Days with the same columns are read together. A request for a day answers
     with that day's rows only, so a row dated otherwise belongs to another one.
     """
-    alike: dict[tuple, list[date]] = {}
+    alike: dict[str, tuple[T.StructType, list[date]]] = {}
     for day in days:
         one = read_landing_day(spark, landing, day, fmt)
         if one is not None and one.columns:
-            alike.setdefault(tuple((f.name, f.dataType.simpleString()) for f in one.schema.fields), []).append(day)
+            alike.setdefault(one.schema.json(), (one.schema, []))[1].append(day)
     frames = []
-    for same in alike.values():
+    for schema, same in alike.values():
         frame = (
             spark.read.options(**READ_OPTIONS.get(fmt, {}))
             .option("basePath", landing)
+            .schema(schema)
             .format(fmt)
             .load([day_folder(landing, d) for d in same])
         )

@@ -21,7 +21,7 @@ def study_pairs(events: DataFrame, params: StudyParams, role: str = "batter", ye
     two halves can form no pair, so they need no filter of their own.
     """
     pairs = block_pairs(pa_level(events, role, year=year), events, params, materialize=cut_lineage)
-    return cut_lineage(index_pairs(pairs))
+    return cut_lineage(index_pairs(cut_lineage(pairs)))
 
 
 def summarize(indexed: DataFrame, params: StudyParams) -> DataFrame:

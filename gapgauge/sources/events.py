@@ -22,6 +22,8 @@ from gapgauge.schemas import table_schema
 from gapgauge.sources.paths import exists
 
 DAY_COLUMN = "game_date"
+# Order inside a file, so that row groups hold few entities each.
+CLUSTER_BY = ("batter", "pitcher")
 REGISTRY = table_schema("name string, physical string, type string")
 
 # From narrow to wide; anything else only combines with itself or with text.
@@ -112,7 +114,8 @@ def append_days(batch: DataFrame, path: str) -> None:
 
     New columns widen the table, absent ones read as NULL. The registry is
     extended before the data are written: an entry without data is harmless,
-    data without an entry would be invisible.
+    data without an entry would be invisible. Rows are gathered by day first,
+    and a large day is split over several tasks.
     """
     spark = batch.sparkSession
     batch = stringify_exotic(normalize_event_date(batch))
@@ -123,8 +126,10 @@ def append_days(batch: DataFrame, path: str) -> None:
         F.col(DAY_COLUMN),
         *[F.col(f"`{name}`").cast(types[physical]).alias(physical) for name, physical in placed.items()],
     )
+    clustering = [c for c in (DAY_COLUMN, *CLUSTER_BY) if c in stored.columns]
     (
         stored.hint("rebalance", DAY_COLUMN)
+        .sortWithinPartitions(*clustering)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(DAY_COLUMN)

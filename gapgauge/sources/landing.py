@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gapgauge.sources.paths import exists
 
+# Files of one day may differ too, so their schemas are merged.
 READ_OPTIONS = {
+    "parquet": {"mergeSchema": "true"},
     "csv": {"header": "true", "inferSchema": "true", "mode": "PERMISSIVE"},
     "json": {"mode": "PERMISSIVE"},
 }
