@@ -503,7 +503,8 @@ def block_pairs(spark, sf):
 
 @query
 def index_pairs(spark, sf):
-    return op.index_pairs(cut_lineage(paired(spark, sf))).select("win", "half", "pid", "idx", "blk_idx", "n", "n_block")
+    pairs = cut_lineage(op.paired_halves(appearances(spark, sf), b.pitches(spark, sf), b.STUDY))
+    return op.index_pairs(pairs, b.STUDY.min_pairs).select("win", "half", "pid", "idx", "blk_idx", "n", "n_block")
 
 
 @query

@@ -1,5 +1,12 @@
 from gapgauge.operators.appearances import pa_level
-from gapgauge.operators.blocks import block_pairs, eligible_entities, event_extent, half_aggregates, index_pairs
+from gapgauge.operators.blocks import (
+    block_pairs,
+    eligible_entities,
+    event_extent,
+    half_aggregates,
+    index_pairs,
+    paired_halves,
+)
 from gapgauge.operators.checks import signal_checks
 from gapgauge.operators.ordinals import entity_ordinals
 from gapgauge.operators.ranks import tie_averaged_percentiles
@@ -21,6 +28,7 @@ __all__ = [
     "half_aggregates",
     "index_pairs",
     "pa_level",
+    "paired_halves",
     "permutation_null",
     "permutation_replicates",
     "predictive_stats",

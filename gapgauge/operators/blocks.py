@@ -91,24 +91,34 @@ def gate_blocks(pairs: DataFrame, min_pairs: int) -> DataFrame:
     return pairs.join(F.broadcast(blocks.select("win", "half")), ["win", "half"], "left_semi")
 
 
-def block_pairs(
-    pa: DataFrame, events: DataFrame, params: StudyParams = StudyParams(), materialize=lambda df: df
-) -> DataFrame:
-    """All pairs of all window lengths at once.
+def paired_halves(pa: DataFrame, events: DataFrame, params: StudyParams = StudyParams()) -> DataFrame:
+    """Pairs of all window lengths at once, small blocks included.
 
     Blocks are anchored at the first day of all ``events``, of which ``pa`` may
-    be a part. ``materialize`` is applied to the ungated pairs, which are read
-    twice and are far smaller than the events they come from.
+    be a part.
     """
     extent = event_extent(events).first()
     halves = half_aggregates(pa, extent["first_day"], params.windows)
-    pairs = pair_halves(halves, extent["first_day"], extent["last_day"], params.min_pa)
-    return gate_blocks(materialize(pairs), params.min_pairs)
+    return pair_halves(halves, extent["first_day"], extent["last_day"], params.min_pa)
 
 
-def index_pairs(pairs: DataFrame) -> DataFrame:
+def block_pairs(
+    pa: DataFrame, events: DataFrame, params: StudyParams = StudyParams(), materialize=lambda df: df
+) -> DataFrame:
+    """Pairs of the blocks that have enough of them.
+
+    ``materialize`` is applied to the pairs before they are counted; they are
+    read twice and are far smaller than the events they come from.
+    """
+    return gate_blocks(materialize(paired_halves(pa, events, params)), params.min_pairs)
+
+
+def index_pairs(pairs: DataFrame, min_pairs: int = 1) -> DataFrame:
     """Number the pairs: ``row`` over everything, ``idx`` per window, ``blk_idx`` per block.
 
+    Blocks with fewer than ``min_pairs`` pairs are left out, as by
+    ``gate_blocks``; their sizes are known here anyway.
+
     The order is (window, block, id bucket, id), so a window covers the rows
     ``[win_start, win_start + n)`` and a block ``[blk_start, blk_start +
     n_block)``. Counts per bucket give the offsets; only one bucket of one
@@ -126,6 +136,7 @@ def index_pairs(pairs: DataFrame) -> DataFrame:
     blocks = (
         buckets.groupBy(*block)
         .agg(F.sum("n_bucket").alias("n_block"))
+        .filter(F.col("n_block") >= min_pairs)
         .withColumn("blk_start", before("n_block", Window.partitionBy(F.lit(0)).orderBy(*block)))
         .withColumns(
             {

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapgauge.operators.appearances import pa_level
-from gapgauge.operators.blocks import block_pairs, index_pairs
+from gapgauge.operators.blocks import index_pairs, paired_halves
 from gapgauge.operators.resampling import bootstrap_ci, permutation_null
 from gapgauge.operators.statistics import predictive_stats, verdict
 from gapgauge.params import StudyParams
@@ -20,8 +20,8 @@ def study_pairs(events: DataFrame, params: StudyParams, role: str = "batter", ye
     appearances are limited to one year. Entities with too few appearances for
     two halves can form no pair, so they need no filter of their own.
     """
-    pairs = block_pairs(pa_level(events, role, year=year), events, params, materialize=cut_lineage)
-    return cut_lineage(index_pairs(cut_lineage(pairs)))
+    pairs = cut_lineage(paired_halves(pa_level(events, role, year=year), events, params))
+    return cut_lineage(index_pairs(pairs, params.min_pairs))
 
 
 def summarize(indexed: DataFrame, params: StudyParams) -> DataFrame:

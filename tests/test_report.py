@@ -11,8 +11,9 @@ import pytest
 
 from gapgauge.operators import build_signals
 from gapgauge.params import ReportParams, SignalParams, TrendParams
-from gapgauge.plans import build_report, report, write_report
+from gapgauge.plans import Store, build_report, refresh, report, write_report
 from gapgauge.schemas import EVENT_COLUMNS, EXPECTED_STATS
+from gapgauge.sources import read_events
 from tests.test_signals import board, contact_board, row
 
 PARAMS = ReportParams(signals=SignalParams(), top_n=5, trend_n=2, trend=TrendParams(window=15, days=None))
@@ -100,3 +101,39 @@ def test_nothing_to_report(spark):
     empty = build_signals(spark.createDataFrame([], EXPECTED_STATS))
     with pytest.raises(ValueError):
         build_report(empty, None, 2026, PARAMS)
+
+
+def test_refresh_from_sources_to_report(spark, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    day = date(2026, 3, 27)
+    rows = [(b, 1, day.isoformat(), g, 1, "x", 0.4, 0.3, 1, 100.0, 20, "new") for b in range(1, 11) for g in range(20)]
+    names = (
+        "batter int, pitcher int, game_date string, game_pk int, at_bat_number int, events string, "
+        "estimated_woba_using_speedangle double, woba_value double, woba_denom int, launch_speed double, "
+        "launch_angle int, extra string"
+    )
+    spark.createDataFrame(rows, names).write.parquet(f"{store.ingest.landing}/day={day}")
+
+    def expected(kind):
+        if kind == "pitcher":
+            raise OSError("source is down")
+        fields = "`last_name, first_name` string, player_id int, pa int, woba double, est_woba double"
+        return spark.createDataFrame([(f"Doe, J{i}", i, 200, 0.3, 0.3 + i / 100) for i in range(1, 11)], fields)
+
+    params = ReportParams(trend=TrendParams(window=15, days=10))
+    options = dict(through=date(2026, 3, 28), as_of=date(2026, 3, 29), snapshot=date(2026, 3, 28))
+    failed = refresh(spark, store, expected, lambda kind: None, 2026, params=params, **options)
+    assert list(failed["expected_stats"]) == ["pitcher"] and failed["pitches"] == {}
+    assert set(failed["batted_ball"]) == {"batter", "pitcher"}
+    doc = json.loads("".join(open(f).read() for f in sorted(glob.glob(store.at("report/part-*")))))
+    assert list(doc["groups"]) == ["batter"]
+    assert doc["groups"]["batter"]["all"][0]["player_name"] == "J10 Doe"
+    assert len(doc["trends"]["batter"]) == 10
+    assert doc["trends"]["batter"]["1"][-1] == {"d": "2026-03-27", "pa": 5, "x": 0.4, "w": 0.3, "ev": 100.0}
+    events = read_events(spark, store.ingest.events)
+    assert events.filter("extra = 'new'").count() == 200
+
+
+def test_refresh_without_any_board(spark, tmp_path):
+    with pytest.raises(ValueError):
+        refresh(spark, Store(str(tmp_path)), lambda k: None, lambda k: None, 2026, skip_events=True)
