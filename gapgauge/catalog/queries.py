@@ -6,7 +6,7 @@ summation does not show.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime, timezone
 
@@ -48,10 +48,7 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for tables a query writes, below the shared folder."""
-    folder = shared_folder(spark)
-    if "://" in folder or folder.startswith("file:"):
-        return f"{folder.rstrip('/')}/{name}-{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}"
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=folder)
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def all_signals(spark: SparkSession, sf: str) -> DataFrame:

@@ -91,15 +91,20 @@ def gate_blocks(pairs: DataFrame, min_pairs: int) -> DataFrame:
     return pairs.join(F.broadcast(blocks.select("win", "half")), ["win", "half"], "left_semi")
 
 
-def paired_halves(pa: DataFrame, events: DataFrame, params: StudyParams = StudyParams()) -> DataFrame:
+def paired_halves(
+    pa: DataFrame,
+    events: DataFrame,
+    params: StudyParams = StudyParams(),
+    extent: tuple[date | None, date | None] | None = None,
+) -> DataFrame:
     """Pairs of all window lengths at once, small blocks included.
 
     Blocks are anchored at the first day of all ``events``, of which ``pa`` may
-    be a part.
+    be a part. ``extent`` gives the first and last day where they are known,
+    for instance from the ledger, and saves a look at all event files.
     """
-    extent = event_extent(events).first()
-    halves = half_aggregates(pa, extent["first_day"], params.windows)
-    return pair_halves(halves, extent["first_day"], extent["last_day"], params.min_pa)
+    first_day, last_day = extent or event_extent(events).select("first_day", "last_day").first()
+    return pair_halves(half_aggregates(pa, first_day, params.windows), first_day, last_day, params.min_pa)
 
 
 def block_pairs(

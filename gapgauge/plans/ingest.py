@@ -9,12 +9,11 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gapgauge.sources.boards import load_contact_board, load_expected_board, replace_snapshot
 from gapgauge.sources.calendar import pending_days, season_calendar
 from gapgauge.sources.events import append_days, normalize_event_date, read_events, storage_type, stringify_exotic, wider_type
-from gapgauge.sources.landing import READ_OPTIONS, day_folder, read_landing_day
+from gapgauge.sources.landing import days_by_schema, read_folders
 from gapgauge.sources.ledger import ingested_days, ledger_entries, read_ledger, record_days
 from gapgauge.sources.paths import exists
 
@@ -44,21 +43,9 @@ def read_days(spark: SparkSession, landing: str, days: Iterable[date], fmt: str
     Days with the same columns are read together. A request for a day answers
     with that day's rows only, so a row dated otherwise belongs to another one.
     """
-    alike: dict[str, tuple[T.StructType, list[date]]] = {}
-    for day in days:
-        one = read_landing_day(spark, landing, day, fmt)
-        if one is not None and one.columns:
-            alike.setdefault(one.schema.json(), (one.schema, []))[1].append(day)
     frames = []
-    for schema, same in alike.values():
-        frame = (
-            spark.read.options(**READ_OPTIONS.get(fmt, {}))
-            .option("basePath", landing)
-            .schema(schema)
-            .format(fmt)
-            .load([day_folder(landing, d) for d in same])
-        )
-        dated = normalize_event_date(stringify_exotic(frame))
+    for schema, same in days_by_schema(spark, landing, days, fmt):
+        dated = normalize_event_date(stringify_exotic(read_folders(spark, landing, same, fmt, schema)))
         frames.append(dated.filter(F.col("game_date") == F.col("day").cast("date")).drop("day"))
     if not frames:
         return None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +15,23 @@ from gapgauge.params import StudyParams
 from gapgauge.session import cut_lineage
 
 
-def study_pairs(events: DataFrame, params: StudyParams, role: str = "batter", year: int | None = None) -> DataFrame:
+Extent = tuple[date | None, date | None]
+
+
+def study_pairs(
+    events: DataFrame,
+    params: StudyParams,
+    role: str = "batter",
+    year: int | None = None,
+    extent: Extent | None = None,
+) -> DataFrame:
     """Numbered pairs, written once: every statistic below starts from them.
 
     Blocks are anchored at the first day of all events, even when the
     appearances are limited to one year. Entities with too few appearances for
     two halves can form no pair, so they need no filter of their own.
     """
-    pairs = cut_lineage(paired_halves(pa_level(events, role, year=year), events, params))
+    pairs = cut_lineage(paired_halves(pa_level(events, role, year=year), events, params, extent))
     return cut_lineage(index_pairs(pairs, params.min_pairs))
 
 
@@ -41,6 +52,11 @@ def summarize(indexed: DataFrame, params: StudyParams) -> DataFrame:
 
 
 def validation_study(
-    events: DataFrame, params: StudyParams = StudyParams(), role: str = "batter", year: int | None = None
+    events: DataFrame,
+    params: StudyParams = StudyParams(),
+    role: str = "batter",
+    year: int | None = None,
+    extent: Extent | None = None,
 ) -> DataFrame:
-    return summarize(study_pairs(events, params, role, year), params)
+    """Pairs, statistics, intervals, null and verdict; one row per window length."""
+    return summarize(study_pairs(events, params, role, year, extent), params)

@@ -2,12 +2,13 @@ from gapgauge.sources.boards import load_contact_board, load_expected_board, pro
 from gapgauge.sources.calendar import pending_days, season_calendar
 from gapgauge.sources.events import append_days, normalize_event_date, read_events, stringify_exotic
 from gapgauge.sources.landing import read_landing_day
-from gapgauge.sources.ledger import ingested_days, ledger_entries, read_ledger, record_days
+from gapgauge.sources.ledger import ingested_days, ledger_entries, ledger_extent, read_ledger, record_days
 
 __all__ = [
     "append_days",
     "ingested_days",
     "ledger_entries",
+    "ledger_extent",
     "load_contact_board",
     "load_expected_board",
     "normalize_event_date",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,9 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def ingested_days(ledger: DataFrame, scope: str = "pitches") -> DataFrame:
     return ledger.filter((F.col("scope") == scope) & (F.col("rows") >= 0)).select("day")
+
+
+def ledger_extent(ledger: DataFrame, scope: str = "pitches") -> tuple[date | None, date | None]:
+    """First and last day with rows, from the ledger instead of the event files."""
+    stored = ledger.filter((F.col("scope") == scope) & (F.col("rows") > 0))
+    return tuple(stored.agg(F.min("day"), F.max("day")).first())

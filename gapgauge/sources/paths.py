@@ -15,9 +15,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def child_folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders directly below ``path``; empty if it is absent."""
+def has_data_files(spark: SparkSession, path: str) -> bool:
+    """Whether the folder holds a file other than markers and hidden files."""
     fs, target = _hadoop(spark, path)
     if not fs.exists(target):
-        return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory())
+        return False
+    files = (s for s in fs.listStatus(target) if s.isFile())
+    return any(not s.getPath().getName().startswith(("_", ".")) for s in files)

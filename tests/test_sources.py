@@ -214,6 +214,27 @@ def test_failing_day_does_not_stop_the_others(spark, tmp_path):
     assert ledger_of(spark, paths)["2026-03-27"] == 1
 
 
+def test_days_with_clashing_types_and_an_empty_folder(spark, tmp_path):
+    paths = paths_in(tmp_path)
+    land(spark, tmp_path, "2026-03-26", "game_date string, a int", [("2026-03-26", 1)])
+    land(spark, tmp_path, "2026-03-27", "game_date string, a string, b array<int>", [("2026-03-27", "x", [1])])
+    (tmp_path / "landing" / "day=2026-03-28").mkdir()
+    (tmp_path / "landing" / "day=2026-03-28" / "_SUCCESS").touch()
+    assert daily_ingest(spark, paths, 2026, date(2026, 3, 28)) == {}
+    rows = sources.read_events(spark, paths.events).orderBy("game_date").collect()
+    assert [(r.a, r.b) for r in rows] == [("1", None), ("x", "[1]")]
+    assert ledger_of(spark, paths) == {"2026-03-26": 1, "2026-03-27": 1, "2026-03-28": 0}
+
+
+def test_files_of_one_day_may_have_different_columns(spark, tmp_path):
+    paths = paths_in(tmp_path)
+    land(spark, tmp_path, "2026-03-26", "game_date string, a int", [("2026-03-26", 1)])
+    more = spark.createDataFrame([("2026-03-26", 2)], "game_date string, b int")
+    more.write.mode("append").parquet(f"{paths.landing}/day=2026-03-26")
+    assert daily_ingest(spark, paths, 2026, date(2026, 3, 26)) == {}
+    assert {(r.a, r.b) for r in sources.read_events(spark, paths.events).collect()} == {(1, None), (None, 2)}
+
+
 def test_csv_days_with_different_types(spark, tmp_path):
     paths = paths_in(tmp_path)
     land(spark, tmp_path, "2026-03-26", "game_date string, a int", [("2026-03-26", 1)], "csv")

@@ -26,7 +26,8 @@ from gapgauge.operators import (
 from gapgauge.operators import resampling
 from gapgauge.operators.statistics import verdict
 from gapgauge.plans import study_pairs, validation_study
-from gapgauge.schemas import EVENT_COLUMNS
+from gapgauge.schemas import EVENT_COLUMNS, INGEST_LOG
+from gapgauge.sources import ledger_extent
 from tests.conftest import plan_of
 
 START = date(2025, 12, 1)
@@ -280,6 +281,18 @@ def test_study_has_a_row_for_every_window(events):
     assert got[7].n_boot == 40 and got[7].n_perm == 40
 
 
+def test_known_extent_saves_the_scan(spark, events, rows):
+    days = spark.createDataFrame(
+        [("pitches", d, 1, None) for d in {r[2] for r in rows}] + [("pitches", START + timedelta(days=500), 0, None)],
+        INGEST_LOG,
+    )
+    extent = ledger_extent(days)
+    assert extent == (min(r[2] for r in rows), max(r[2] for r in rows))
+    keys = ["win", "half", "pid"]
+    given, found = (study_pairs(events, PARAMS, extent=e).select(*keys).collect() for e in (extent, None))
+    assert set(given) == set(found)
+
+
 def test_study_of_no_events(spark):
     got = validation_study(spark.createDataFrame([], EVENT_COLUMNS), PARAMS).collect()
     assert [r.verdict for r in got] == ["not enough paired blocks"] * 4
