@@ -23,25 +23,21 @@ WITHIN_GAME = ["at_bat_number", "opponent", "woba_pa", "xwoba_pa", "launch_speed
 EVENT_ORDER = ["game_date", "game_pk", *WITHIN_GAME]
 
 # Rows of one entity that a single task may sort.
-SORT_ROWS = 2_000_000
+SORT_ROWS = 500_000
 
 
-def large_entities(pa: DataFrame, sort_rows: int) -> DataFrame:
-    """Entities with more rows than one task should sort.
+def split_by_size(pa: DataFrame, sort_rows: int = SORT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary and of large entities; None if no entity is large.
 
-    There are at most (all rows / sort_rows) of them, which stays far below
-    what can be sent to every task.
+    There are at most (all rows / sort_rows) large entities, which stays far
+    below what can be sent to every task.
     """
-    return pa.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > sort_rows).select("pid")
-
-
-def split_by_size(pa: DataFrame, sort_rows: int = SORT_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary and of large entities; None if no entity is large."""
-    large = cut_lineage(large_entities(pa, sort_rows))
-    if large.isEmpty():
+    sizes = pa.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest <= sort_rows:
         return pa, None
-    listed = F.broadcast(large)
-    return pa.join(listed, "pid", "left_anti"), pa.join(listed, "pid", "left_semi")
+    large = F.broadcast(cut_lineage(sizes.filter(F.col("n") > sort_rows).select("pid")))
+    return pa.join(large, "pid", "left_anti"), pa.join(large, "pid", "left_semi")
 
 
 def _with_keys(pa: DataFrame) -> DataFrame:

@@ -72,7 +72,10 @@ def predictive_stats(pairs: DataFrame, keys: Iterable[str]) -> DataFrame:
 
 
 def verdict(dr_lo: Column, dr_hi: Column, n_blocks: Column, few_blocks: int = 3) -> Column:
-    """A winner only where the interval of the difference excludes zero."""
+    """A winner only where the interval of the difference excludes zero.
+
+    The texts are fixed values.
+    """
     text = (
         F.when(dr_lo.isNull(), "inconclusive")
         .when(dr_lo > 0, "xwOBA wins")

@@ -23,13 +23,15 @@ from gapgauge.params import TrendParams
 # Rows of a large entity that a single task sorts at a time.
 SEGMENT_ROWS = 262_144
 
+ROLLED = ["x_roll", "w_roll", "ev_roll"]
+
 
 def _trailing(column: str, frame: WindowSpec, minimum: int) -> Column:
     return F.when(F.count(column).over(frame) >= minimum, F.avg(column).over(frame))
 
 
-def _means(rows: DataFrame, by: list[str], params: TrendParams) -> DataFrame:
-    frame = Window.partitionBy(*by).orderBy("ordinal").rowsBetween(-(params.window - 1), 0)
+def _means(rows: DataFrame, by: list[str], order: list[str], params: TrendParams) -> DataFrame:
+    frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(params.window - 1), 0)
     return rows.withColumns(
         {
             "x_roll": _trailing("xwoba_pa", frame, params.warmup),
@@ -50,7 +52,7 @@ def _in_segments(numbered: DataFrame, params: TrendParams, segment_rows: int) ->
     in_tail = F.col("ordinal") % segment_rows >= segment_rows - lookback
     segments = F.when(in_tail, F.array(home, home + 1)).otherwise(F.array(home))
     placed = numbered.select("*", home.alias("home"), F.explode(segments).alias("segment"))
-    return _means(placed, ["pid", "segment"], params).filter(F.col("segment") == F.col("home")).drop("home", "segment")
+    return _means(placed, ["pid", "segment"], ["ordinal"], params).filter(F.col("segment") == F.col("home")).drop("home", "segment")
 
 
 def rolling_means(
@@ -65,7 +67,8 @@ def rolling_means(
     pa = pa.select("pid", *EVENT_ORDER)
     ordinary, large = split_by_size(pa, sort_rows)
     kept = ["pid", "game_date", "ordinal", "n_rows", "xwoba_pa", "woba_pa", "launch_speed"]
-    rolled = _means(ordinals_by_entity(ordinary).select(*kept), ["pid"], params)
+    # The same order as the numbering, so that both share one sort.
+    rolled = _means(ordinals_by_entity(ordinary), ["pid"], EVENT_ORDER, params).select(*kept, *ROLLED)
     if large is None:
         return rolled
     return rolled.unionByName(_in_segments(ordinals_by_game(large).select(*kept), params, segment_rows))
@@ -97,7 +100,7 @@ def trend_points(pa: DataFrame, params: TrendParams = TrendParams(), sort_rows:
     # Kept frames may follow one another with a gap, but each is contiguous and
     # complete, so a frame counted in kept rows ends where it should.
     return (
-        _means(rows, ["pid"], params)
+        _means(rows, ["pid"], ["ordinal"], params)
         .filter((place >= 0) & ((place % step == 0) | (place == n_points - 1)))
         .select(
             "pid",

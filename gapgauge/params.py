@@ -43,6 +43,7 @@ class SignalParams:
         )
 
 
+# The study's default windows, gates, replicates and seed.
 @dataclass(frozen=True)
 class StudyParams:
     """Out-of-sample study: window lengths in days, gates and replicates."""
@@ -56,7 +57,7 @@ class StudyParams:
     few_blocks: int = 3
 
 
-# Source-side minimum samples of the two leaderboards.
+# Source-side minimum samples of the two leaderboards.
 EXPECTED_BOARD_MINIMUM = 50
 CONTACT_BOARD_MINIMUM = 30
 
@@ -65,10 +66,12 @@ SEASON_START = {2024: "2024-03-28", 2025: "2025-03-27", 2026: "2026-03-26"}
 SEASON_START_DEFAULT = "03-28"
 SEASON_LAST_DAY = "11-05"
 
+# Lengths of the report's lists and of the trend selection.
 REPORT_TOP_N = 25
 REPORT_TREND_N = 10
 
 
+# Appearances per frame, days looked back, points per series.
 @dataclass(frozen=True)
 class TrendParams:
     window: int = 50

@@ -23,6 +23,7 @@ from gapgauge.session import cut_lineage
 
 log = logging.getLogger(__name__)
 
+# Names and order of the published columns.
 REPORT_COLUMNS = [
     "player_id", "player_name", "player_type", "pa", "bip", "ba", "est_ba", "slg", "est_slg", "woba", "est_woba",
     "luck_gap", "luck_z", "outlook", "proj_woba_ros", "proj_vs_current", "pct_est_woba", "pct_woba", "pct_ev",

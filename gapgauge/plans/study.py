@@ -38,7 +38,7 @@ def study_pairs(
 def summarize(indexed: DataFrame, params: StudyParams) -> DataFrame:
     """One row per requested window length; NULLs and a note where there are no pairs."""
     windows = indexed.sparkSession.createDataFrame([(int(w),) for w in params.windows], "win int")
-    blocks = indexed.groupBy("win").agg(F.count_distinct("half").alias("n_blocks"))
+    blocks = indexed.groupBy("win").agg(F.count_if(F.col("blk_idx") == 0).alias("n_blocks"))
     stats = predictive_stats(indexed, ["win"]).drop("sd_w1", "sd_x1")
     boot = bootstrap_ci(indexed, params.bootstrap, params.seed)
     null = permutation_null(indexed, params.permutations, params.seed)

@@ -21,6 +21,7 @@ def table_schema(columns: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[data_type]) for name, data_type in pairs])
 
 
+# Table and column names.
 EXPECTED_STATS = table_schema(
     "snapshot_date date, player_type string, player_id bigint, player_name string, year int, "
     "pa bigint, bip bigint, ba double, est_ba double, slg double, est_slg double, woba double, est_woba double"

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,9 +109,11 @@ def _register(spark: SparkSession, path: str, added: list[tuple[str, str, str]])
         spark.createDataFrame(added, REGISTRY).coalesce(1).write.mode("append").json(registry_path(path))
 
 
-def append_days(batch: DataFrame, path: str) -> None:
+def append_days(batch: DataFrame, path: str) -> int:
     """Write the batch's days; a day that is already there is replaced.
 
+    Returns the number of rows written, counted by the writing tasks.
+
     New columns widen the table, absent ones read as NULL. The registry is
     extended before the data are written: an entry without data is harmless,
     data without an entry would be invisible. Rows are gathered by day first,
@@ -127,14 +129,17 @@ def append_days(batch: DataFrame, path: str) -> None:
         *[F.col(f"`{name}`").cast(types[physical]).alias(physical) for name, physical in placed.items()],
     )
     clustering = [c for c in (DAY_COLUMN, *CLUSTER_BY) if c in stored.columns]
+    written = Observation()
     (
         stored.hint("rebalance", DAY_COLUMN)
         .sortWithinPartitions(*clustering)
+        .observe(written, F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(DAY_COLUMN)
         .parquet(path)
     )
+    return written.get["rows"]
 
 
 def _logical(name: str, columns: dict[str, str]) -> Column:

@@ -42,7 +42,10 @@ def contact_board(spark, rows):
 
 @pytest.fixture(scope="module")
 def synthetic():
-    """200 entities per kind with two planted extremes each, some below the gate."""
+    """200 entities per kind with two planted extremes each, some below the gate.
+
+    The spread of the rates and the planted extremes are fixed values.
+    """
     rng = random.Random(7)
     rows = []
     for kind, start in (("batter", 10_000), ("pitcher", 20_000)):

@@ -149,7 +149,7 @@ def test_columns_may_come_go_and_widen(spark, tmp_path):
         ("game_date date, a int", [(date(2026, 4, 5), 5)]),
     ]
     for schema, rows in batches:
-        sources.append_days(spark.createDataFrame(rows, schema), path)
+        assert sources.append_days(spark.createDataFrame(rows, schema), path) == len(rows)
     table = sources.read_events(spark, path).orderBy("game_date")
     assert dict(table.dtypes) == {"a": "string", "b": "string", "c": "string", "note": "string", "game_date": "date"}
     got = [(r.game_date.day, r.a, r.b, r.c, r.note) for r in table.collect()]

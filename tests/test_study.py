@@ -130,16 +130,18 @@ def test_numbering_is_dense(indexed):
             assert sorted(r.blk_idx for r in block) == list(range(block[0].n_block))
 
 
-def numpy_stats(w1, x1, w2):
-    def z(v):
-        s = np.std(v, ddof=1)
-        return (v - v.mean()) / s if s > 0 else v * 0
+def residuals(y, x):
+    slope, level = np.polyfit(x, y, 1)
+    return y - level - slope * x
+
 
-    r_w, r_x = np.corrcoef(w1, w2)[0, 1], np.corrcoef(x1, w2)[0, 1]
-    design = np.column_stack([np.ones(len(w1)), z(w1), z(x1)])
-    partial = np.linalg.lstsq(design, z(w2), rcond=None)[0][2]
+def numpy_stats(w1, x1, w2):
+    """The partial coefficient comes from what w1 leaves unexplained in x1 and w2."""
+    left_x, left_y = residuals(x1, w1), residuals(w2, w1)
+    partial = left_x @ left_y / (left_x @ left_x) * x1.std() / w2.std()
+    r_w, r_x = np.corrcoef([w1, x1, w2])[2, :2]
     coupled = np.polyfit(x1 - w1, w2 - w1, 1)[0]
-    return r_w, r_x, partial, coupled, np.sqrt(np.mean((w1 - w2) ** 2)), np.sqrt(np.mean((x1 - w2) ** 2))
+    return r_w, r_x, partial, coupled, np.linalg.norm(w1 - w2) / len(w1) ** 0.5, np.linalg.norm(x1 - w2) / len(w1) ** 0.5
 
 
 def columns_of(rows):
