@@ -41,12 +41,15 @@ def read_days(spark: SparkSession, landing: str, days: Iterable[date], fmt: str
     """Rows of the given days in one frame, whatever columns each day has.
 
     Days with the same columns are read together. A request for a day answers
-    with that day's rows only, so a row dated otherwise belongs to another one.
+    with that day's rows only, so a row dated otherwise belongs to another one;
+    a row without a date belongs to the day it came with.
     """
     frames = []
     for schema, same in days_by_schema(spark, landing, days, fmt):
         dated = normalize_event_date(stringify_exotic(read_folders(spark, landing, same, fmt, schema)))
-        frames.append(dated.filter(F.col("game_date") == F.col("day").cast("date")).drop("day"))
+        day = F.col("day").cast("date")
+        dated = dated.withColumn("game_date", F.coalesce("game_date", day))
+        frames.append(dated.filter(F.col("game_date") == day).drop("day"))
     if not frames:
         return None
     types: dict[str, str] = {}

@@ -178,7 +178,7 @@ def ledger_of(spark, paths):
 def test_daily_ingest_resumes_and_remembers_empty_days(spark, tmp_path):
     paths = paths_in(tmp_path)
     land(spark, tmp_path, "2026-03-26", "game_date string, a int", [("2026-03-26", 1), ("2026-03-26", 2)])
-    land(spark, tmp_path, "2026-03-28", "game_date string, a int, b int", [("2026-03-28", 3, 4), ("2026-03-20", 9, 9)])
+    land(spark, tmp_path, "2026-03-28", "game_date string, a int, b int", [(None, 3, 4), ("2026-03-20", 9, 9)])
     assert daily_ingest(spark, paths, 2026, date(2026, 3, 28), newest_first=True, limit_days=2) == {}
     assert ledger_of(spark, paths) == {"2026-03-28": 1, "2026-03-27": 0}
     assert daily_ingest(spark, paths, 2026, date(2026, 3, 28)) == {}

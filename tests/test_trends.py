@@ -121,6 +121,17 @@ def test_both_numberings_agree_with_the_event_order(spark, events, sizes):
             assert [got[pid][i] for i in range(n)] == want
 
 
+def test_one_entity_with_everything_on_one_day(spark):
+    rows = [event(1, 900 + i % 7, 3, i // 9, i % 9, None, i / 1000) for i in range(900)] + [event(2, 9, 3, 1, 1, None, 0.5)]
+    random.Random(5).shuffle(rows)
+    pa = pa_level(spark.createDataFrame(rows, EVENT_COLUMNS))
+    numbered = entity_ordinals(pa, sort_rows=10).filter("pid = 1").orderBy("ordinal").collect()
+    assert [r.woba_pa for r in numbered] == [i / 1000 for i in range(900)]
+    params = TrendParams(window=20, days=None)
+    whole, split = (rolling_means(pa, params, n, 64).orderBy("pid", "ordinal").collect() for n in (10**6, 10))
+    assert whole == split
+
+
 def test_rows_without_day_or_game_come_first(spark):
     rows = [event(1, 2, 1, 5, 1, None, 0.1), event(1, 2, 1, None, 1, None, 0.2)]
     rows.append((1, 2, None, 7, 1, "x", None, 0.3, 1, None, None))
