@@ -66,7 +66,7 @@ def source_targets(sizes: DataFrame, p: MixParams) -> DataFrame:
     weights = F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     level = capped.withColumn("_level", left / weights)
     free = level.withColumn("_free", F.when(F.col("_ratio") > F.col("_level"), F.col("_level")))
-    settled_level = F.min("_free").over(everyone)
+    settled_level = F.max("_free").over(everyone)
     target = F.when(F.col("_free").isNull(), F.col("_cap")).otherwise(settled_level * F.col("weight"))
     return free.select("_source", "weight", "ramp", "source_size", target.alias("target"))
 

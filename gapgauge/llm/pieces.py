@@ -55,6 +55,8 @@ LETTERS = letter_class()
 UNIT = re.compile(f"{MARK}*(?:[{LETTERS}]+|[^{LETTERS}{MARK}]+)|{MARK}+")
 #: Characters of a unit whose cuts fit the bits of one number.
 LONGEST = 62
+#: Score of a character without a piece, below any path of pieces within a unit.
+UNKNOWN = -1e12
 
 
 @dataclass(frozen=True)
@@ -87,6 +89,21 @@ def pieces_of(path: str) -> pd.DataFrame:
     return out
 
 
+@lru_cache(maxsize=4)
+def by_character(path: str, column: str, missing: float) -> str:
+    """SQL array by code point of the ids or scores of single characters.
+
+    It becomes one constant of the plan, which is looked up by position.
+    """
+    known = pieces_of(path)
+    single = known[known["piece"].str.len() == 1]
+    places = [ord(c) for c in single["piece"]]
+    values = np.full(max(places) + 1, missing, dtype=known[column].dtype)
+    values[places] = single[column]
+    kind = "int" if column == "id" else "double"
+    return f"cast(split('{','.join(map(str, values.tolist()))}', ',') as array<{kind}>)"
+
+
 def normalised(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
@@ -120,9 +137,10 @@ def lattice_edges(units: DataFrame, p: PieceParams) -> DataFrame:
     longest = int(known["piece"].str.len().max())
     size = F.char_length("unit")
     starts = units.select("unit", size.alias("size"), F.explode(F.sequence(F.lit(0), size)).alias("start"))
-    stops = F.when(F.col("start") == F.col("size"), F.array("size")).otherwise(F.sequence(F.col("start") + 1, F.least(F.col("size"), F.col("start") + longest)))
+    # the last place gives the empty entry; single characters need no edge
+    stops = F.when(F.col("start") == F.col("size"), F.array("size")).when(F.col("start") + 1 < F.col("size"), F.sequence(F.col("start") + 2, F.least(F.col("size"), F.col("start") + longest)))
     cut = starts.select("unit", "start", F.explode(stops).alias("stop")).withColumn("piece", F.expr("substr(unit, start + 1, stop - start)"))
-    edges = cut.join(F.broadcast(table), "piece")
+    edges = cut.join(F.broadcast(table.filter("length(piece) != 1")), "piece")
     packed = F.struct((-F.col("score")).alias("cost"), "start", "stop", "id")
     return edges.groupBy("unit").agg(F.sort_array(F.collect_list(packed)).alias("edges"))
 
@@ -136,13 +154,15 @@ def merge_cuts() -> Column:
     return F.expr(f"aggregate(sequence(1, char_length(unit)), shiftleft(1L, char_length(unit) + 1) - 1, (cuts, i) -> {step})")
 
 
-def viterbi_cuts() -> Column:
+def viterbi_cuts(p: PieceParams) -> Column:
     """Bits of the places where the best path cuts the unit.
 
     The state holds, for every place, the score of the best path to it and the
-    bits of its cuts. A character without a piece costs more than any piece.
+    bits of its cuts. A single character costs its own score, or more than any
+    piece if it has none.
     """
-    unknown = "(element_at(state, i).score - 1e6)"
+    own = f"coalesce(get({by_character(p.model, 'score', UNKNOWN)}, ascii(substr(unit, i, 1))), {UNKNOWN}D)"
+    unknown = f"(element_at(state, i).score + {own})"
     ways = "transform(filter(edges, e -> e.stop = i and e.id >= 0), e -> struct(element_at(state, e.start + 1).score - e.cost as score, element_at(state, e.start + 1).cuts | shiftleft(1L, i) as cuts))"
     alone = f"array(struct({unknown} as score, element_at(state, i).cuts | shiftleft(1L, i) as cuts))"
     best = f"array_max(concat({ways}, {alone}))"
@@ -153,13 +173,17 @@ def viterbi_cuts() -> Column:
 def fold_units(lattice: DataFrame, p: PieceParams) -> DataFrame:
     """unit, ids: the pieces of every unit."""
     first_byte = processor(p.model).piece_to_id("<0x00>")
-    cuts = merge_cuts() if p.fold == "merge" else viterbi_cuts()
-    places = "filter(sequence(0, char_length(unit)), i -> (shiftright(cuts, i) & 1) = 1)"
+    cuts = merge_cuts() if p.fold == "merge" else viterbi_cuts(p)
+    # a one-element array binds a value that an expression uses several times
+    places = "transform(array(cuts), c -> filter(sequence(0, char_length(unit)), i -> (shiftright(c, i) & 1) = 1))[0]"
     part = "substr(unit, at[k] + 1, at[k + 1] - at[k])"
-    own = "filter(edges, e -> e.start = at[k] and e.stop = at[k + 1] and e.id >= 0).id"
+    wide = "filter(edges, e -> e.start = at[k] and e.stop = at[k + 1]).id"
+    single = f"array(coalesce(get({by_character(p.model, 'id', -1)}, ascii({part})), -1))"
     octets = f"transform(sequence(1, octet_length({part})), b -> cast(conv(substr(hex(encode({part}, 'UTF-8')), 2 * b - 1, 2), 16, 10) as int) + {first_byte})"
-    ids = f"flatten(transform(sequence(0, size(at) - 2), k -> if(size({own}) > 0, {own}, {octets})))"
-    return lattice.withColumn("cuts", cuts).withColumn("at", F.expr(places)).select("unit", F.expr(ids).alias("ids"))
+    own = f"if(at[k + 1] - at[k] > 1, {wide}, {single})"
+    one = f"transform(array({own}), ids -> if(ids[0] >= 0, ids, {octets}))[0]"
+    ids = f"transform(array(places), at -> flatten(transform(sequence(0, size(at) - 2), k -> {one})))[0]"
+    return lattice.withColumn("cuts", cuts).withColumn("places", F.expr(places)).select("unit", F.expr(ids).alias("ids"))
 
 
 def encoded_units(units: DataFrame, p: PieceParams) -> DataFrame:

@@ -36,10 +36,10 @@ class QualityParams:
     width: int = 4
     chunk: int = 1024
     overlap: int = 128
-    sample: int = 6000
+    sample: int = 4000
     chunks: int = 4
-    epochs: int = 8
-    batch: int = 128
+    steps: int = 500
+    batch: int = 64
     rate: float = 0.01
     seed: int = 3
 
@@ -106,42 +106,40 @@ def fitted(texts: list[list[bytes]], labels: np.ndarray, p: QualityParams) -> Qu
     rng = np.random.default_rng(p.seed)
     tables = rng.normal(0, 0.15, (p.width, 256, p.filters)).astype(np.float32)
     state = [tables, np.zeros(p.filters, np.float32), rng.normal(0, 0.1, 2 * p.filters).astype(np.float32), np.full(1, np.log(labels.mean() / (1 - labels.mean())), np.float32)]
-    first, second, step = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state], 0
+    first, second = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state]
     chunks = [[np.frombuffer(c.ljust(p.width, b"\0"), np.uint8) for c in text] for text in texts]
-    for epoch in range(p.epochs):
-        order = rng.permutation(len(labels))
-        for begin in range(0, len(order), p.batch):
-            rows = order[begin : begin + p.batch]
-            own = [chunks[i] for i in rows]
-            counts = np.array([len(c) for c in own])
-            flat = [c for text in own for c in text]
-            at = np.empty((len(flat), p.filters), np.int64)
-            top = np.empty((len(flat), p.filters), np.float32)
-            for n, data in enumerate(flat):
-                found = responses(data, state[0])
-                at[n] = found.argmax(axis=0)
-                top[n] = found[at[n], np.arange(p.filters)]
-            text_of = np.repeat(np.arange(len(rows)), counts)
-            active = np.maximum(top + state[1], 0)
-            start = np.r_[0, np.cumsum(counts)[:-1]]
-            mean = np.add.reduceat(active, start, axis=0) / counts[:, None]
-            highest = np.maximum.reduceat(active, start, axis=0)
-            features = np.c_[mean, highest]
-            error = (1 / (1 + np.exp(-np.clip(features @ state[2] + state[3], -30, 30))) - labels[rows]) / len(rows)
-            back = error[:, None] * state[2]
-            is_highest = active == highest[text_of]
-            flow = (back[text_of, : p.filters] / counts[text_of, None] + np.where(is_highest, back[text_of, p.filters :], 0)) * (active > 0)
-            grad = np.zeros_like(state[0])
-            for k in range(p.width):
-                seen = np.stack([data[a + k] for data, a in zip(flat, at, strict=True)])
-                np.add.at(grad[k], (seen, np.arange(p.filters)), flow)
-            grads = [grad, flow.sum(axis=0), features.T @ error, error.sum(keepdims=True)]
-            step += 1
-            for i, g in enumerate(grads):
-                first[i] = 0.9 * first[i] + 0.1 * g
-                second[i] = 0.999 * second[i] + 0.001 * g * g
-                fixed = p.rate * (1 - epoch / (p.epochs + 1))
-                state[i] = (state[i] - fixed * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    order = np.concatenate([rng.permutation(len(labels)) for _ in range(-(-p.steps * p.batch // len(labels)))])
+    for step in range(1, p.steps + 1):
+        rows = order[(step - 1) * p.batch : step * p.batch]
+        own = [chunks[i] for i in rows]
+        counts = np.array([len(c) for c in own])
+        flat = [c for text in own for c in text]
+        at = np.empty((len(flat), p.filters), np.int64)
+        top = np.empty((len(flat), p.filters), np.float32)
+        for n, data in enumerate(flat):
+            found = responses(data, state[0])
+            at[n] = found.argmax(axis=0)
+            top[n] = found[at[n], np.arange(p.filters)]
+        text_of = np.repeat(np.arange(len(rows)), counts)
+        active = np.maximum(top + state[1], 0)
+        start = np.r_[0, np.cumsum(counts)[:-1]]
+        mean = np.add.reduceat(active, start, axis=0) / counts[:, None]
+        highest = np.maximum.reduceat(active, start, axis=0)
+        features = np.c_[mean, highest]
+        error = (1 / (1 + np.exp(-np.clip(features @ state[2] + state[3], -30, 30))) - labels[rows]) / len(rows)
+        back = error[:, None] * state[2]
+        is_highest = active == highest[text_of]
+        flow = (back[text_of, : p.filters] / counts[text_of, None] + np.where(is_highest, back[text_of, p.filters :], 0)) * (active > 0)
+        grad = np.zeros_like(state[0])
+        for k in range(p.width):
+            seen = np.stack([data[a + k] for data, a in zip(flat, at, strict=True)])
+            np.add.at(grad[k], (seen, np.arange(p.filters)), flow)
+        grads = [grad, flow.sum(axis=0), features.T @ error, error.sum(keepdims=True)]
+        for i, g in enumerate(grads):
+            first[i] = 0.9 * first[i] + 0.1 * g
+            second[i] = 0.999 * second[i] + 0.001 * g * g
+            fixed = p.rate * (1 - step / (p.steps + 1))
+            state[i] = (state[i] - fixed * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return QualityModel(state[0], state[1], state[2], float(state[3][0]), p)
 
 
