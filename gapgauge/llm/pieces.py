@@ -16,9 +16,10 @@ Scores of a merge-rank model are ranks, whose sums mean nothing, so the fold
 follows the model's kind. Characters without a piece become their UTF-8 byte
 pieces. A unit longer than LONGEST characters is encoded by the library.
 
-The ``dictionary`` most frequent units are sent to the tasks that encode
-documents (at most that many, about 200 bytes each). Rarer units are looked up
-by a join on the unit and come back to their document by its key.
+Every scanned block of input files has a dictionary of its own units. It is
+written below the shared folder and read by the tasks that encode the block, so
+texts are never shuffled and no task holds more than the units of one block.
+Input that is not a plain scan of files is written first.
 
 NULL text: NULL ids; empty text: no ids. Decoding gives back the text, except
 that U+2581 in a text becomes a space, as in the library. Repeated rows are
@@ -30,16 +31,15 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapgauge.llm.common import settled, slices, tokenizer_path
+from gapgauge.llm.common import opened, scratch_path, settled, slices, tokenizer_path
 
 MARK = "▁"
 
@@ -52,7 +52,10 @@ def letter_class() -> str:
 
 
 LETTERS = letter_class()
-UNIT = re.compile(f"{MARK}*(?:[{LETTERS}]+|[^{LETTERS}{MARK}]+)|{MARK}+")
+UNIT = re.compile(f" *[{LETTERS}]+| *[^{LETTERS} ]+| +")
+#: The same for texts of Latin-1 characters only, whose short class matches faster.
+LATIN_LETTERS = "".join(chr(c) for c in range(256) if unicodedata.category(chr(c))[0] == "L")
+LATIN_UNIT = re.compile(f" *[{LATIN_LETTERS}]+| *[^{LATIN_LETTERS} ]+| +")
 #: Characters of a unit whose cuts fit the bits of one number.
 LONGEST = 62
 #: Score of a character without a piece, below any path of pieces within a unit.
@@ -62,7 +65,6 @@ UNKNOWN = -1e12
 @dataclass(frozen=True)
 class PieceParams:
     path: str | None = None
-    dictionary: int = 1 << 20
     fold: str = "merge"
 
     @property
@@ -82,7 +84,7 @@ def pieces_of(path: str) -> pd.DataFrame:
     """piece, id, score of the pieces that stand for text; checks where units are cut."""
     model = processor(path)
     ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
-    out = pd.DataFrame({"piece": [model.id_to_piece(i) for i in ids], "id": ids, "score": [model.get_score(i) for i in ids]})
+    out = pd.DataFrame({"piece": [model.id_to_piece(i).replace(MARK, " ") for i in ids], "id": ids, "score": [model.get_score(i) for i in ids]})
     crossing = [p for p in out["piece"] if len(UNIT.findall(p)) != 1]
     if crossing:
         raise ValueError(f"pieces that cross the cuts between units: {crossing[:5]}")
@@ -104,54 +106,68 @@ def by_character(path: str, column: str, missing: float) -> str:
     return f"cast(split('{','.join(map(str, values.tolist()))}', ',') as array<{kind}>)"
 
 
-def normalised(text: str) -> str:
-    return MARK + text.replace(" ", MARK) if text else ""
+def units_of(text: str) -> list[str]:
+    """Units of a text, with a space for the model's mark."""
+    if not text:
+        return []
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return UNIT.findall(" " + text.replace(MARK, " "))
+    return LATIN_UNIT.findall(" " + text)
 
 
-def units_of(text: str) -> list[str]:
-    return UNIT.findall(normalised(text))
+def with_blocks(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_block``, a hash of the scanned file and the place in it."""
+    return docs.withColumn("_block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
 
 
-def unit_counts(docs: DataFrame) -> DataFrame:
-    """unit, n: the different units of all texts."""
+def block_units(docs: DataFrame) -> DataFrame:
+    """_block, unit: the different units of each scanned block."""
 
-    def count(batches):
-        for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
-                seen = Counter()
-                for text in batch["text"]:
-                    seen.update(units_of(text or ""))
-                yield pd.DataFrame({"unit": list(seen.keys()), "n": list(seen.values())})
+    def collect(batches):
+        block, seen = None, set()
+        for batch in batches:
+            for own, text in zip(batch["_block"].tolist(), batch["text"], strict=True):
+                if own != block:
+                    if seen:
+                        yield pd.DataFrame({"_block": block, "unit": list(seen)})
+                    block, seen = own, set()
+                seen.update(units_of(text or ""))
+        if seen:
+            yield pd.DataFrame({"_block": block, "unit": list(seen)})
 
-    return docs.select("text").mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select("_block", "text").mapInPandas(collect, "_block long, unit string")
 
 
 def lattice_edges(units: DataFrame, p: PieceParams) -> DataFrame:
-    """unit, edges: array of (score, start, stop, id), best score first.
+    """unit, blocks, edges: array of (cost, start, stop, id), best score first.
 
-    The piece table is bounded by the model. Its empty entry keeps units in
-    which nothing but single characters or bytes matches.
+    The piece table is bounded by the model. Its empty entry keeps every unit.
+    Units come hashed by unit, so grouping their edges needs no shuffle.
     """
     spark, known = units.sparkSession, pieces_of(p.model)
     table = spark.createDataFrame(pd.concat([known, pd.DataFrame({"piece": [""], "id": [-1], "score": [0.0]})]), "piece string, id int, score double")
     longest = int(known["piece"].str.len().max())
     size = F.char_length("unit")
-    starts = units.select("unit", size.alias("size"), F.explode(F.sequence(F.lit(0), size)).alias("start"))
+    first = F.when(size <= LONGEST, F.sequence(F.lit(0), size)).otherwise(F.array(size))
+    starts = units.select("unit", "blocks", size.alias("size"), F.explode(first).alias("start"))
     # the last place gives the empty entry; single characters need no edge
     stops = F.when(F.col("start") == F.col("size"), F.array("size")).when(F.col("start") + 1 < F.col("size"), F.sequence(F.col("start") + 2, F.least(F.col("size"), F.col("start") + longest)))
-    cut = starts.select("unit", "start", F.explode(stops).alias("stop")).withColumn("piece", F.expr("substr(unit, start + 1, stop - start)"))
+    cut = starts.select("unit", "blocks", "start", F.explode(stops).alias("stop")).withColumn("piece", F.expr("substr(unit, start + 1, stop - start)"))
     edges = cut.join(F.broadcast(table.filter("length(piece) != 1")), "piece")
     packed = F.struct((-F.col("score")).alias("cost"), "start", "stop", "id")
-    return edges.groupBy("unit").agg(F.sort_array(F.collect_list(packed)).alias("edges"))
+    return edges.groupBy("unit").agg(F.first("blocks").alias("blocks"), F.sort_array(F.collect_list(packed)).alias("edges"))
 
 
 def merge_cuts() -> Column:
     """Bits of the places where the unit stays cut (fold of best merges)."""
-    inside = "(cuts & (shiftleft(1L, e.stop) - shiftleft(2L, e.start)))"
-    ends = "(shiftright(cuts, e.start) & shiftright(cuts, e.stop) & 1) = 1"
-    ready = f"filter(edges, e -> e.stop - e.start > 1 and {ends} and bit_count{inside} = 1)"
-    step = f"aggregate(slice({ready}, 1, 1), cuts, (c, e) -> c & ~(shiftleft(1L, e.stop) - shiftleft(2L, e.start)))"
-    return F.expr(f"aggregate(sequence(1, char_length(unit)), shiftleft(1L, char_length(unit) + 1) - 1, (cuts, i) -> {step})")
+    ends, inside = "shiftleft(1L, e.start) | shiftleft(1L, e.stop)", "shiftleft(1L, e.stop) - shiftleft(2L, e.start)"
+    masks = f"transform(filter(edges, e -> e.id >= 0), e -> struct({ends} as ends, {inside} as inside))"
+    ready = "filter(masks, e -> (cuts & e.ends) = e.ends and bit_count(cuts & e.inside) = 1)"
+    step = f"coalesce(cuts & ~get({ready}, 0).inside, cuts)"
+    fold = f"aggregate(sequence(2, char_length(unit)), shiftleft(1L, char_length(unit) + 1) - 1, (cuts, i) -> {step})"
+    return F.expr(f"if(char_length(unit) = 1, 3L, transform(array({masks}), masks -> {fold})[0])")
 
 
 def viterbi_cuts(p: PieceParams) -> Column:
@@ -171,7 +187,7 @@ def viterbi_cuts(p: PieceParams) -> Column:
 
 
 def fold_units(lattice: DataFrame, p: PieceParams) -> DataFrame:
-    """unit, ids: the pieces of every unit."""
+    """unit, blocks, ids: the pieces of every unit."""
     first_byte = processor(p.model).piece_to_id("<0x00>")
     cuts = merge_cuts() if p.fold == "merge" else viterbi_cuts(p)
     # a one-element array binds a value that an expression uses several times
@@ -183,89 +199,77 @@ def fold_units(lattice: DataFrame, p: PieceParams) -> DataFrame:
     own = f"if(at[k + 1] - at[k] > 1, {wide}, {single})"
     one = f"transform(array({own}), ids -> if(ids[0] >= 0, ids, {octets}))[0]"
     ids = f"transform(array(places), at -> flatten(transform(sequence(0, size(at) - 2), k -> {one})))[0]"
-    return lattice.withColumn("cuts", cuts).withColumn("places", F.expr(places)).select("unit", F.expr(ids).alias("ids"))
-
-
-def encoded_units(units: DataFrame, p: PieceParams) -> DataFrame:
-    """unit, ids for a frame of different units."""
-    short = units.filter(F.char_length("unit") <= LONGEST).select("unit")
+    short = lattice.filter(F.char_length("unit") <= LONGEST)
+    folded = short.withColumn("cuts", cuts).withColumn("places", F.expr(places)).select("unit", "blocks", F.expr(ids).alias("ids"))
 
     def by_library(batches):
         model = processor(p.model)
-        space = len(model.encode("")) or 0
         for batch in batches:
-            yield pd.DataFrame({"unit": batch["unit"], "ids": [long_unit(model, u)[space:] for u in batch["unit"]]})
+            yield batch.assign(ids=[long_unit(model, u) for u in batch["unit"]])
 
-    long = units.filter(F.char_length("unit") > LONGEST).select("unit").mapInPandas(by_library, "unit string, ids array<int>")
-    return fold_units(lattice_edges(short, p), p).unionByName(long)
+    long = lattice.filter(F.char_length("unit") > LONGEST).select("unit", "blocks")
+    return folded.unionByName(long.mapInPandas(by_library, "unit string, blocks array<long>, ids array<int>"))
 
 
 def long_unit(model, unit: str) -> list[int]:
     """Pieces of a unit by the library, which puts a space in front itself.
 
-    A unit without that mark is encoded behind a line break, which no piece joins.
+    A unit without that space is encoded behind a line break, which no piece joins.
     """
-    if unit.startswith(MARK):
-        return model.encode(unit[1:].replace(MARK, " "))
-    lead = model.encode("\n")
-    return model.encode("\n" + unit)[len(lead) :]
+    if unit.startswith(" "):
+        return model.encode(unit[1:])
+    return model.encode("\n" + unit)[len(model.encode("\n")) :]
 
 
-def frequent(counts: DataFrame, limit: int) -> int:
-    """Smallest count such that at most ``limit`` units reach it."""
-    by_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("units")).orderBy(F.col("n").desc())
-    total, least = 0, None
-    for n, units in by_count.toLocalIterator():
-        if total + units > limit:
-            break
-        total, least = total + units, n
-    return least if least is not None else 1 << 62
+def solved_units(units: DataFrame, p: PieceParams) -> DataFrame:
+    """unit, blocks, ids for a frame of different units and their blocks."""
+    return fold_units(settled(lattice_edges(units, p), "piece-lattice"), p)
 
 
 def encode_documents(docs: DataFrame, p: PieceParams = PieceParams()) -> DataFrame:
     """``docs`` with ``ids``, the piece ids of each whole text."""
-    spark: SparkSession = docs.sparkSession
-    docs = docs.drop("ids")
-    counts = settled(unit_counts(docs), "piece-units")
-    least = frequent(counts, p.dictionary)
-    solved = settled(encoded_units(counts, p).join(counts, "unit"), "piece-solved")
-    common = solved.filter(F.col("n") >= least).select("unit", "ids").toPandas()
-    known = {u: np.asarray(i, np.int32).tobytes() for u, i in common.itertuples(index=False)}
-    shared = spark.sparkContext.broadcast(known)
-    del common, known
-
-    def missing(batches):
-        have = shared.value
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                rows = [(key, u) for key, text in zip(batch["key"], batch["text"], strict=True) for u in {*units_of(text or "")} if u not in have]
-                yield pd.DataFrame(rows, columns=["key", "unit"])
+    docs = docs.drop("ids", "_block")
+    if not docs.select(F.input_file_name().alias("file")).filter("file = ''").isEmpty():
+        docs = settled(docs, "piece-documents")
+    scanned = with_blocks(docs)
+    units = block_units(scanned).groupBy("unit").agg(F.collect_set("_block").alias("blocks"))
+    folder = scratch_path(docs.sparkSession, "piece-blocks")
+    each = solved_units(units, p).select("unit", "ids", F.explode("blocks").alias("block"))
+    each.repartition("block").write.partitionBy("block").parquet(folder)
 
-    key = F.xxhash64("doc_id", "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     names = docs.columns
 
     def encode(batches):
-        have = shared.value
+        block, known = None, {}
         for whole in batches:
             for batch in slices(whole, "text"):
                 ids = []
-                for text, units, rare in zip(batch["text"], batch["_units"], batch["_rare"], strict=True):
-                    if text is None:
-                        ids.append(None)
+                for own, text in zip(batch["_block"].tolist(), batch["text"], strict=True):
+                    if not text:
+                        ids.append(None if text is None else [])
                         continue
-                    own = dict(zip(units, (np.asarray(r, np.int32).tobytes() for r in rare), strict=True)) if units is not None else {}
-                    ids.append(np.frombuffer(b"".join([have.get(u) or own[u] for u in units_of(text)]), np.int32))
+                    if own != block:
+                        block, known = own, {}
+                        known = block_dictionary(f"{folder}/block={own}")
+                    ids.append(np.frombuffer(b"".join([known[u] for u in units_of(text)]), np.int32))
                 yield batch[names].assign(ids=ids)
 
-    if counts.filter(F.col("n") < least).isEmpty():
-        none = docs.withColumns({"_units": F.lit(None).cast("array<string>"), "_rare": F.lit(None).cast("array<array<int>>")})
-        return none.mapInPandas(encode, f"{fields}, ids array<int>")
-    rare = docs.select(key.alias("key"), "text").mapInPandas(missing, "key long, unit string").distinct()
-    found = rare.join(solved.filter(F.col("n") < least).select("unit", "ids"), "unit")
-    found = found.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("unit", "ids")).alias("_found"))
-    joined = docs.withColumn("_key", key).join(found, "_key", "left")
-    return joined.select(*names, F.col("_found.unit").alias("_units"), F.col("_found.ids").alias("_rare")).mapInPandas(encode, f"{fields}, ids array<int>")
+    return scanned.mapInPandas(encode, f"{fields}, ids array<int>")
+
+
+def block_dictionary(folder: str) -> dict[str, bytes]:
+    """Units of one block with their ids as packed numbers."""
+    from pyarrow import parquet
+
+    store, path = opened(folder)
+    table = parquet.read_table(path, filesystem=store, columns=["unit", "ids"], partitioning=None).combine_chunks()
+    out = {}
+    for batch in table.to_batches(max_chunksize=65536):
+        ids = batch.column("ids")
+        flat, at = ids.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), (4 * ids.offsets.to_numpy()).tolist()
+        out.update((unit, flat[at[i] : at[i + 1]]) for i, unit in enumerate(batch.column("unit").to_pylist()))
+    return out
 
 
 def decode_documents(encoded: DataFrame, p: PieceParams = PieceParams(), column: str = "decoded") -> DataFrame:

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapgauge.llm.common import ordered_shards, settled
+from gapgauge.llm.common import opened, ordered_shards, settled
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -52,15 +52,6 @@ class WarcParams:
     date: str = "1970-01-01T00:00:00Z"
 
 
-def opened(folder: str):
-    """File system and path of a folder named by URI or plain path."""
-    from pyarrow import fs
-
-    if "://" not in folder and not folder.startswith("file:"):
-        return fs.LocalFileSystem(), folder
-    return fs.FileSystem.from_uri(folder.replace("file:/", "file:///") if folder.startswith("file:/") and not folder.startswith("file://") else folder)
-
-
 def put(store, path: str, data: bytes) -> None:
     """Write under a temporary name, then rename."""
     part = f"{path}.{uuid4().hex}.tmp"
