@@ -130,12 +130,14 @@ def block_units(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for own, text in zip(batch["_block"].tolist(), batch["text"], strict=True):
                 if own != block:
-                    if seen:
-                        yield pd.DataFrame({"_block": block, "unit": list(seen)})
+                    yield from emitted(block, seen)
                     block, seen = own, set()
                 seen.update(units_of(text or ""))
-        if seen:
-            yield pd.DataFrame({"_block": block, "unit": list(seen)})
+        yield from emitted(block, seen)
+
+    def emitted(block, seen):
+        while seen:
+            yield pd.DataFrame({"_block": block, "unit": [seen.pop() for _ in range(min(len(seen), 20_000))]})
 
     return docs.select("_block", "text").mapInPandas(collect, "_block long, unit string")
 
@@ -199,16 +201,17 @@ def fold_units(lattice: DataFrame, p: PieceParams) -> DataFrame:
     own = f"if(at[k + 1] - at[k] > 1, {wide}, {single})"
     one = f"transform(array({own}), ids -> if(ids[0] >= 0, ids, {octets}))[0]"
     ids = f"transform(array(places), at -> flatten(transform(sequence(0, size(at) - 2), k -> {one})))[0]"
-    short = lattice.filter(F.char_length("unit") <= LONGEST)
-    folded = short.withColumn("cuts", cuts).withColumn("places", F.expr(places)).select("unit", "blocks", F.expr(ids).alias("ids"))
+    cuts = F.when(F.char_length("unit") <= LONGEST, cuts)
+    folded = lattice.withColumn("cuts", cuts).withColumn("places", F.expr(places)).select("unit", "blocks", F.when(F.col("cuts").isNotNull(), F.expr(ids)).alias("ids"))
+    folded = settled(folded, "piece-units")
 
     def by_library(batches):
         model = processor(p.model)
         for batch in batches:
             yield batch.assign(ids=[long_unit(model, u) for u in batch["unit"]])
 
-    long = lattice.filter(F.char_length("unit") > LONGEST).select("unit", "blocks")
-    return folded.unionByName(long.mapInPandas(by_library, "unit string, blocks array<long>, ids array<int>"))
+    long = folded.filter("ids is null").select("unit", "blocks")
+    return folded.filter("ids is not null").unionByName(long.mapInPandas(by_library, "unit string, blocks array<long>, ids array<int>"))
 
 
 def long_unit(model, unit: str) -> list[int]:
@@ -221,27 +224,25 @@ def long_unit(model, unit: str) -> list[int]:
     return model.encode("\n" + unit)[len(model.encode("\n")) :]
 
 
-def solved_units(units: DataFrame, p: PieceParams) -> DataFrame:
-    """unit, blocks, ids for a frame of different units and their blocks."""
-    return fold_units(settled(lattice_edges(units, p), "piece-lattice"), p)
-
+def encode_documents(docs: DataFrame, p: PieceParams = PieceParams(), verify: bool = False) -> DataFrame:
+    """``docs`` with ``ids``, the piece ids of each whole text.
 
-def encode_documents(docs: DataFrame, p: PieceParams = PieceParams()) -> DataFrame:
-    """``docs`` with ``ids``, the piece ids of each whole text."""
-    docs = docs.drop("ids", "_block")
+    With ``verify`` also ``restored``: whether the ids decode to the text.
+    """
+    docs = docs.drop("ids", "_block", *(["restored"] if verify else []))
     if not docs.select(F.input_file_name().alias("file")).filter("file = ''").isEmpty():
         docs = settled(docs, "piece-documents")
     scanned = with_blocks(docs)
     units = block_units(scanned).groupBy("unit").agg(F.collect_set("_block").alias("blocks"))
     folder = scratch_path(docs.sparkSession, "piece-blocks")
-    each = solved_units(units, p).select("unit", "ids", F.explode("blocks").alias("block"))
+    each = fold_units(lattice_edges(units, p), p).select("unit", "ids", F.explode("blocks").alias("block"))
     each.repartition("block").write.partitionBy("block").parquet(folder)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    names = docs.columns
+    names, path = docs.columns, p.model
 
     def encode(batches):
-        block, known = None, {}
+        block, known, octets = None, {}, piece_bytes(path) if verify else []
         for whole in batches:
             for batch in slices(whole, "text"):
                 ids = []
@@ -253,9 +254,12 @@ def encode_documents(docs: DataFrame, p: PieceParams = PieceParams()) -> DataFra
                         block, known = own, {}
                         known = block_dictionary(f"{folder}/block={own}")
                     ids.append(np.frombuffer(b"".join([known[u] for u in units_of(text)]), np.int32))
-                yield batch[names].assign(ids=ids)
+                out = batch[names].assign(ids=ids)
+                if verify:
+                    out["restored"] = [t is None or decoded(i, octets) == t for i, t in zip(ids, batch["text"], strict=True)]
+                yield out
 
-    return scanned.mapInPandas(encode, f"{fields}, ids array<int>")
+    return scanned.mapInPandas(encode, f"{fields}, ids array<int>" + ", restored boolean" * verify)
 
 
 def block_dictionary(folder: str) -> dict[str, bytes]:
@@ -272,6 +276,17 @@ def block_dictionary(folder: str) -> dict[str, bytes]:
     return out
 
 
+def piece_bytes(path: str) -> list[bytes]:
+    """What every piece stands for."""
+    model = processor(path)
+    return [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(MARK, " ").encode() for i in range(model.get_piece_size())]
+
+
+def decoded(ids: np.ndarray, octets: list[bytes]) -> str:
+    """Text of the ids, without the space that encoding put in front."""
+    return b"".join([octets[i] for i in np.asarray(ids).tolist()]).decode("utf-8", "replace")[1:]
+
+
 def decode_documents(encoded: DataFrame, p: PieceParams = PieceParams(), column: str = "decoded") -> DataFrame:
     """``encoded`` with the text that its ``ids`` stand for."""
     rest = encoded.drop(column)
@@ -279,10 +294,8 @@ def decode_documents(encoded: DataFrame, p: PieceParams = PieceParams(), column:
     path = p.model
 
     def decode(batches):
-        model = processor(path)
-        octets = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(MARK, " ").encode() for i in range(model.get_piece_size())]
+        octets = piece_bytes(path)
         for batch in batches:
-            texts = [None if ids is None else b"".join([octets[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:] for ids in batch["ids"]]
-            yield batch.assign(**{column: texts})
+            yield batch.assign(**{column: [None if ids is None else decoded(ids, octets) for ids in batch["ids"]]})
 
     return rest.mapInPandas(decode, f"{fields}, {column} string")

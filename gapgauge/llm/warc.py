@@ -222,7 +222,7 @@ def read_archive(manifest: DataFrame, folder: str, payload: bool = True) -> Data
         out = pd.DataFrame(rows, columns=[f.split(" ")[0] for f in names.split(", ")])
         return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return manifest.select("file").repartition("file").mapInPandas(read, names)
+    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInPandas(read, names)
 
 
 def manifest_of(spark: SparkSession, folder: str) -> DataFrame:
