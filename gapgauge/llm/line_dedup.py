@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gapgauge.llm.common import hashed, mixed, settled, slices
 
-DIGIT = re.compile(r"\d")
+WITH_DIGIT = re.compile(r"\S*\d\S*")
 VARIABLE = "<*>"
 BITMAP_BITS = 1 << 22
 PRIME = 0x9E3779B97F4A7C15
@@ -45,25 +45,37 @@ class LineParams:
     constant: float = 0.5
 
 
-def tokens_of(line: str) -> list[str]:
-    return [VARIABLE if DIGIT.search(t) else t for t in line.split()]
+def tokens_of(text: str) -> list[list[str]]:
+    """Tokens of every line, variable ones masked."""
+    return [line.split() for line in WITH_DIGIT.sub(VARIABLE, text).split("\n")]
 
 
-def chained(hashes: np.ndarray, start: int) -> int:
-    """Order-sensitive hash of a sequence of hashes."""
+def chained(hashes: np.ndarray, sizes: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Order-sensitive hash of each of the runs of ``sizes`` (none of them 0).
+
+    With ``most``, of the run's first hashes only; the size always takes part.
+    """
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(hashes)) - np.repeat(starts, sizes)
     with np.errstate(over="ignore"):
-        powers = np.uint64(PRIME) ** np.arange(len(hashes), dtype=np.uint64)
-        return int(mixed(np.atleast_1d((hashes * powers).sum(dtype=np.uint64) + np.uint64(start)))[0].view(np.int64))
+        terms = mixed(hashes + place.astype(np.uint64) * np.uint64(PRIME))
+        if most is not None:
+            terms[place >= most] = 0
+        return mixed(np.add.reduceat(terms, starts) + sizes.astype(np.uint64)) if len(sizes) else hashes
 
 
-def family_of(hashes: np.ndarray) -> int:
-    """Smallest hash of three neighbouring words (of all words in a shorter text)."""
-    if len(hashes) == 0:
-        return 0
-    k = min(3, len(hashes))
+def families(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Smallest hash of three neighbouring words of each run; shorter runs are padded."""
+    starts = np.cumsum(sizes) - sizes
+    padded = np.r_[hashes, np.zeros(2, np.uint64)]
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(hashes))
     with np.errstate(over="ignore"):
-        grams = sum((hashes[i : len(hashes) - k + 1 + i] * np.uint64(PRIME + 2 * i) for i in range(k)), np.uint64(0))
-    return int(mixed(grams).min().view(np.int64))
+        grams = mixed(sum((padded[i : len(hashes) + i] * np.uint64(PRIME + 2 * i) for i in range(3)), np.uint64(0)))
+    short = np.repeat(sizes < 3, sizes)
+    grams[(left < 3) & ~short] = np.iinfo(np.uint64).max
+    if short.any():  # neighbours belong to other texts
+        grams[short] = mixed(hashes[short])
+    return np.minimum.reduceat(grams, starts) if len(sizes) else hashes
 
 
 def leaf_bitmap(leaves: DataFrame) -> np.ndarray:
@@ -89,29 +101,29 @@ def scanned(docs: DataFrame, p: LineParams, leading: list[str], only: np.ndarray
     def parse(batches):
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                texts = [t or "" for t in batch["text"]]
-                split = [[(n, tokens_of(line)) for n, line in enumerate(t.split("\n"))] for t in texts]
-                codes = hashed(w for lines in split for _, tokens in lines for w in tokens).view(np.uint64)
-                rows, at = [], 0
-                for key, lines in zip(batch[leading].itertuples(index=False) if leading else [()] * len(batch), split, strict=True):
-                    size = sum(len(tokens) for _, tokens in lines)
-                    own, family, text_hash = codes[at : at + size], family_of(codes[at : at + size]), chained(codes[at : at + size], size)
-                    at, place = at + size, 0
-                    for number, tokens in lines:
-                        if not tokens:
-                            continue
-                        line = own[place : place + len(tokens)]
-                        place += len(tokens)
-                        leaf = chained(line[: p.depth], len(tokens))
-                        if only is None:
-                            rows.append((*key, number, leaf, chained(line, len(tokens)), text_hash, family))
-                        elif only[leaf & (BITMAP_BITS - 1)]:
-                            rows.append((leaf, chained(line, len(tokens)), text_hash, line.view(np.int64)))
-                yield pd.DataFrame(rows, columns=names)
+                split = [tokens_of(t or "") for t in batch["text"]]
+                codes = hashed(w for lines in split for tokens in lines for w in tokens)
+                of_line = np.array([len(tokens) for lines in split for tokens in lines], np.int64)
+                number = np.concatenate([np.arange(len(lines)) for lines in split])
+                doc = np.repeat(np.arange(len(split)), [len(lines) for lines in split])
+                full = of_line > 0
+                of_line, number, doc = of_line[full], number[full], doc[full]
+                leaf, masked = chained(codes, of_line, p.depth).view(np.int64), chained(codes, of_line).view(np.int64)
+                present, size = np.unique(doc, return_index=False), np.bincount(doc, weights=of_line, minlength=len(split)).astype(np.int64)
+                text_hash, family = np.zeros(len(split), np.int64), np.zeros(len(split), np.int64)
+                text_hash[present] = chained(codes, size[present]).view(np.int64)
+                family[present] = families(codes, size[present]).view(np.int64)
+                if only is None:
+                    keys = {c: batch[c].to_numpy()[doc] if not batch[c].isna().any() else batch[c].iloc[doc].array for c in leading}
+                    yield pd.DataFrame({**keys, "line_no": number, "leaf": leaf, "masked": masked, "text_hash": text_hash[doc], "family": family[doc]})
+                else:
+                    wanted = np.flatnonzero(only[leaf & (BITMAP_BITS - 1)])
+                    ends = np.cumsum(of_line)
+                    tokens = [codes[ends[i] - of_line[i] : ends[i]].view(np.int64) for i in wanted]
+                    yield pd.DataFrame({"leaf": leaf[wanted], "masked": masked[wanted], "text_hash": text_hash[doc[wanted]], "tokens": tokens})
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select(leading).schema]
     fields += ["line_no int", "leaf long", "masked long", "text_hash long", "family long"] if only is None else ["leaf long", "masked long", "text_hash long", "tokens array<long>"]
-    names = [f.split(" ")[0] for f in fields]
     return docs.select(*leading, "text").mapInPandas(parse, ", ".join(fields))
 
 
