@@ -120,7 +120,7 @@ def scanned(docs: DataFrame, p: LineParams, leading: list[str], only: np.ndarray
                     wanted = np.flatnonzero(only[leaf & (BITMAP_BITS - 1)])
                     ends = np.cumsum(of_line)
                     tokens = [codes[ends[i] - of_line[i] : ends[i]].view(np.int64) for i in wanted]
-                    yield pd.DataFrame({"leaf": leaf[wanted], "masked": masked[wanted], "text_hash": text_hash[doc[wanted]], "tokens": tokens})
+                    yield pd.DataFrame({"leaf": leaf[wanted], "masked": masked[wanted], "text_hash": text_hash[doc[wanted]], "tokens": pd.Series(tokens, dtype=object)})
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select(leading).schema]
     fields += ["line_no int", "leaf long", "masked long", "text_hash long", "family long"] if only is None else ["leaf long", "masked long", "text_hash long", "tokens array<long>"]
