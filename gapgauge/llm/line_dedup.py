@@ -10,10 +10,10 @@ This needs no order of arrival, so any number of tasks build the same tree.
 
 A template recurs, and all its lines are dropped, if ``min_documents`` texts
 of different families have it and they are at least half of the different texts
-that have it. A family is the smallest three-word hash of a text. Exact copies
-of a document are one text and near copies mostly one family, so copies do not
-turn a document's own lines into boilerplate; near-duplicate removal is another
-operator's work.
+that have it. A line's family is the smallest three-word hash in the other lines
+of its text. Exact copies of a document are one text and near copies mostly one
+family, so copies do not turn a document's own lines into boilerplate;
+near-duplicate removal is another operator's work.
 
 NULL text stays NULL and empty text stays empty; blank lines are never
 templates and stay. A document can lose all lines; it then has the text "".
@@ -64,18 +64,29 @@ def chained(hashes: np.ndarray, sizes: np.ndarray, most: int | None = None) -> n
         return mixed(np.add.reduceat(terms, starts) + sizes.astype(np.uint64)) if len(sizes) else hashes
 
 
-def families(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Smallest hash of three neighbouring words of each run; shorter runs are padded."""
+def families(hashes: np.ndarray, sizes: np.ndarray, doc: np.ndarray, text_hash: np.ndarray) -> np.ndarray:
+    """For each line, the smallest hash of three neighbouring words in the other lines of its text.
+
+    Shorter lines give their single words; a text without another line its own hash.
+    """
+    if not len(sizes):
+        return np.empty(0, np.int64)
+    most = np.iinfo(np.uint64).max
     starts = np.cumsum(sizes) - sizes
     padded = np.r_[hashes, np.zeros(2, np.uint64)]
     left = np.repeat(starts + sizes, sizes) - np.arange(len(hashes))
     with np.errstate(over="ignore"):
         grams = mixed(sum((padded[i : len(hashes) + i] * np.uint64(PRIME + 2 * i) for i in range(3)), np.uint64(0)))
     short = np.repeat(sizes < 3, sizes)
-    grams[(left < 3) & ~short] = np.iinfo(np.uint64).max
-    if short.any():  # neighbours belong to other texts
-        grams[short] = mixed(hashes[short])
-    return np.minimum.reduceat(grams, starts) if len(sizes) else hashes
+    grams[left < 3] = most
+    grams[short] = mixed(hashes[short])
+    lowest = np.minimum.reduceat(grams, starts)
+    first, of_text = np.unique(doc, return_index=True, return_inverse=True)[1:]
+    smallest = np.minimum.reduceat(lowest, first)[of_text]
+    others = np.where(lowest == smallest, most, lowest)
+    second = np.minimum.reduceat(others, first)[of_text]
+    rest = np.where(lowest == smallest, second, smallest)
+    return np.where(rest == most, text_hash[doc], rest.view(np.int64))
 
 
 def leaf_bitmap(leaves: DataFrame) -> np.ndarray:
@@ -110,12 +121,12 @@ def scanned(docs: DataFrame, p: LineParams, leading: list[str], only: np.ndarray
                 of_line, number, doc = of_line[full], number[full], doc[full]
                 leaf, masked = chained(codes, of_line, p.depth).view(np.int64), chained(codes, of_line).view(np.int64)
                 present, size = np.unique(doc, return_index=False), np.bincount(doc, weights=of_line, minlength=len(split)).astype(np.int64)
-                text_hash, family = np.zeros(len(split), np.int64), np.zeros(len(split), np.int64)
+                text_hash = np.zeros(len(split), np.int64)
                 text_hash[present] = chained(codes, size[present]).view(np.int64)
-                family[present] = families(codes, size[present]).view(np.int64)
+                family = families(codes, of_line, doc, text_hash)
                 if only is None:
                     keys = {c: batch[c].to_numpy()[doc] if not batch[c].isna().any() else batch[c].iloc[doc].array for c in leading}
-                    yield pd.DataFrame({**keys, "line_no": number, "leaf": leaf, "masked": masked, "text_hash": text_hash[doc], "family": family[doc]})
+                    yield pd.DataFrame({**keys, "line_no": number, "leaf": leaf, "masked": masked, "text_hash": text_hash[doc], "family": family})
                 else:
                     wanted = np.flatnonzero(only[leaf & (BITMAP_BITS - 1)])
                     ends = np.cumsum(of_line)
