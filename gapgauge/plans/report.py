@@ -103,8 +103,8 @@ def build_report(
     spark = signals.sparkSession
     signals = cut_lineage(null_safe(signals))
     summary = {r["player_type"]: r for r in group_summary(signals).collect()}  # at most one row per kind
-    if not summary:
-        raise ValueError("no qualified entities to report")
+    if not summary and signals.isEmpty():
+        raise ValueError("no signals to report")
 
     fixed: list[tuple[int, int, int, float, int, str]] = []
 

@@ -49,11 +49,21 @@ def project_board(
     )
 
 
+def _at_least(source: DataFrame, name: str, minimum: int) -> DataFrame:
+    """Rows that reach the minimum; a cell that is no number does not."""
+    if name not in source.columns:
+        return source
+    number = F.col(name)
+    if not isinstance(source.schema[name].dataType, T.NumericType):
+        number = number.try_cast("double")
+    return source.filter(number >= minimum)
+
+
 def load_expected_board(
     source: DataFrame, kind: str, snapshot: date, year: int, minimum: int = EXPECTED_BOARD_MINIMUM
 ) -> DataFrame:
     """Expected-rate board of one kind, entities below the minimum left out."""
-    kept = source.filter(F.col("pa") >= minimum) if "pa" in source.columns else source
+    kept = _at_least(source, "pa", minimum)
     return project_board(kept, schemas.EXPECTED_STATS, kind, snapshot, year)
 
 
@@ -61,7 +71,7 @@ def load_contact_board(
     source: DataFrame, kind: str, snapshot: date, minimum: int = CONTACT_BOARD_MINIMUM
 ) -> DataFrame:
     """Contact-quality board of one kind, entities below the minimum left out."""
-    kept = source.filter(F.col("attempts") >= minimum) if "attempts" in source.columns else source
+    kept = _at_least(source, "attempts", minimum)
     return project_board(kept, schemas.BATTED_BALL, kind, snapshot, renames=CONTACT_RENAMES)
 
 

@@ -103,6 +103,12 @@ def test_nothing_to_report(spark):
         build_report(empty, None, 2026, PARAMS)
 
 
+def test_signals_without_a_qualified_entity(spark, events, tmp_path):
+    below = build_signals(board(spark, [row("batter", i, 10, 0.3, 0.3 + i / 100) for i in range(1, 9)]))
+    doc = document(build_report(below, events, 2026, PARAMS), tmp_path / "report")
+    assert doc["groups"] == {} and doc["trends"] == {} and doc["year"] == 2026
+
+
 def test_refresh_from_sources_to_report(spark, tmp_path):
     store = Store(str(tmp_path / "store"))
     day = date(2026, 3, 27)

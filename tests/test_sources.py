@@ -260,3 +260,8 @@ def test_stream_picks_up_new_and_late_files(spark, tmp_path):
     assert run() == [1, 2, 3]
     assert run() == [1, 2, 3]
     assert ledger_of(spark, paths) == {"2026-03-26": 2, "2026-03-27": 1}
+
+
+def test_board_minimum_skips_cells_that_are_no_numbers(spark):
+    source = spark.createDataFrame([("Doe, A", 1, "200"), ("Roe, B", 2, "n/a"), ("Poe, C", 3, None)], "`last_name, first_name` string, player_id int, pa string")
+    assert [r["player_id"] for r in sources.load_expected_board(source, "batter", SNAP, 2026).collect()] == [1]
