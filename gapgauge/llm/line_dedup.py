@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,24 +46,25 @@ class LineParams:
     constant: float = 0.5
 
 
-def tokens_of(text: str) -> list[list[str]]:
-    """Tokens of every line, variable ones masked."""
-    search = DIGIT.search
-    return [[VARIABLE if search(t) else t for t in line.split()] if search(line) else line.split() for line in text.split("\n")]
+def tokens_of(line: str) -> list[str]:
+    """Tokens of a line, variable ones masked."""
+    tokens = line.split()
+    return [VARIABLE if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens
 
 
-def chained(hashes: np.ndarray, sizes: np.ndarray, most: int | None = None) -> np.ndarray:
-    """Order-sensitive hash of each of the runs of ``sizes`` (none of them 0).
+def chained(hashes: np.ndarray, taken: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Order-sensitive hash of each of the runs of ``taken`` hashes (none of them 0).
 
-    With ``most``, of the run's first hashes only; the size always takes part.
+    ``sizes`` are the lengths that take part in the hash, where a run holds only
+    the first hashes of something longer.
     """
-    starts = np.cumsum(sizes) - sizes
-    place = np.arange(len(hashes)) - np.repeat(starts, sizes)
+    if not len(taken):
+        return np.empty(0, np.uint64)
+    starts = np.cumsum(taken) - taken
+    place = np.arange(len(hashes)) - np.repeat(starts, taken)
     with np.errstate(over="ignore"):
         terms = mixed(hashes + place.astype(np.uint64) * np.uint64(PRIME))
-        if most is not None:
-            terms[place >= most] = 0
-        return mixed(np.add.reduceat(terms, starts) + sizes.astype(np.uint64)) if len(sizes) else hashes
+        return mixed(np.add.reduceat(terms, starts) + (taken if sizes is None else sizes).astype(np.uint64))
 
 
 def families(hashes: np.ndarray, sizes: np.ndarray, doc: np.ndarray, text_hash: np.ndarray) -> np.ndarray:
@@ -103,50 +105,68 @@ def leaf_bitmap(leaves: DataFrame) -> np.ndarray:
     return np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool)
 
 
-def scanned(docs: DataFrame, p: LineParams, leading: list[str], only: np.ndarray | None = None) -> DataFrame:
-    """One row for each line that is not blank.
-
-    Without ``only`` the leading columns and hashes of the line; else leaf,
-    masked line, text and the hashed tokens of lines in a leaf of the bitmap.
-    """
+def scanned(docs: DataFrame, p: LineParams, keys: list[str]) -> DataFrame:
+    """One row for each line that is not blank: the keys and hashes of the line."""
 
     def parse(batches):
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                split = [tokens_of(t or "") for t in batch["text"]]
-                codes = hashed(w for lines in split for tokens in lines for w in tokens)
+                split = [[tokens_of(line) for line in (t or "").split("\n")] for t in batch["text"]]
                 of_line = np.array([len(tokens) for lines in split for tokens in lines], np.int64)
+                codes = hashed(chain.from_iterable(chain.from_iterable(split)))
                 number = np.concatenate([np.arange(len(lines)) for lines in split])
                 doc = np.repeat(np.arange(len(split)), [len(lines) for lines in split])
                 full = of_line > 0
                 of_line, number, doc = of_line[full], number[full], doc[full]
-                leaf, masked = chained(codes, of_line, p.depth).view(np.int64), chained(codes, of_line).view(np.int64)
-                present, size = np.unique(doc, return_index=False), np.bincount(doc, weights=of_line, minlength=len(split)).astype(np.int64)
+                leading = np.minimum(of_line, p.depth)
+                place = np.arange(len(codes)) - np.repeat(np.cumsum(of_line) - of_line, of_line)
+                leaf = chained(codes[place < p.depth], leading, of_line).view(np.int64)
+                masked = chained(codes, of_line).view(np.int64)
+                present, size = np.unique(doc), np.bincount(doc, weights=of_line, minlength=len(split)).astype(np.int64)
                 text_hash = np.zeros(len(split), np.int64)
                 text_hash[present] = chained(codes, size[present]).view(np.int64)
                 family = families(codes, of_line, doc, text_hash)
-                if only is None:
-                    keys = {c: batch[c].to_numpy()[doc] if not batch[c].isna().any() else batch[c].iloc[doc].array for c in leading}
-                    yield pd.DataFrame({**keys, "line_no": number, "leaf": leaf, "masked": masked, "text_hash": text_hash[doc], "family": family})
-                else:
-                    wanted = np.flatnonzero(only[leaf & (BITMAP_BITS - 1)])
-                    ends = np.cumsum(of_line)
-                    tokens = [codes[ends[i] - of_line[i] : ends[i]].view(np.int64) for i in wanted]
-                    yield pd.DataFrame({"leaf": leaf[wanted], "masked": masked[wanted], "text_hash": text_hash[doc[wanted]], "tokens": pd.Series(tokens, dtype=object)})
+                own = {c: batch[c].to_numpy()[doc] if not batch[c].isna().any() else batch[c].iloc[doc].array for c in keys}
+                yield pd.DataFrame({**own, "line_no": number, "leaf": leaf, "masked": masked, "text_hash": text_hash[doc], "family": family})
 
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select(leading).schema]
-    fields += ["line_no int", "leaf long", "masked long", "text_hash long", "family long"] if only is None else ["leaf long", "masked long", "text_hash long", "tokens array<long>"]
-    return docs.select(*leading, "text").mapInPandas(parse, ", ".join(fields))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select(keys).schema]
+    return docs.select(*keys, "text").mapInPandas(parse, ", ".join([*fields, "line_no int", "leaf long", "masked long", "text_hash long", "family long"]))
 
 
-def line_templates(lines: DataFrame, p: LineParams) -> DataFrame:
+def masked_tokens(docs: DataFrame, p: LineParams, wanted: np.ndarray) -> DataFrame:
+    """leaf, masked, tokens: hashed tokens of the lines in a leaf of the bitmap.
+
+    A line that comes again within a slice of a batch is given once. Only the
+    leading tokens of other lines are hashed.
+    """
+
+    def parse(batches):
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                lines = [tokens for t in batch["text"] if t for line in t.split("\n") if (tokens := line.split())]
+                sizes = np.array([len(tokens) for tokens in lines], np.int64)
+                first = hashed(VARIABLE if DIGIT.search(w) else w for tokens in lines for w in tokens[: p.depth])
+                leaf = chained(first, np.minimum(sizes, p.depth), sizes).view(np.int64)
+                at = np.flatnonzero(wanted[leaf & (BITMAP_BITS - 1)])
+                codes = hashed(VARIABLE if DIGIT.search(w) else w for i in at.tolist() for w in lines[i])
+                masked = chained(codes, sizes[at]).view(np.int64)
+                once = np.unique(masked, return_index=True)[1]
+                ends = np.cumsum(sizes[at])
+                tokens = [codes[ends[i] - sizes[at[i]] : ends[i]].view(np.int64) for i in once]
+                yield pd.DataFrame({"leaf": leaf[at[once]], "masked": masked[once], "tokens": pd.Series(tokens, dtype=object)})
+
+    return docs.select("text").mapInPandas(parse, "leaf long, masked long, tokens array<long>")
+
+
+def line_templates(docs: DataFrame, candidates: DataFrame, p: LineParams) -> DataFrame:
     """(masked, template) of the different masked lines that share a leaf.
 
     Lines alone in their leaf, or only repeated unchanged, are their own template.
     """
-    distinct = settled(lines.groupBy("leaf", "masked").agg(F.first("tokens").alias("tokens"), F.count_distinct("text_hash").alias("texts")), "line-masked")
-    leaves = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf")
-    several = settled(distinct.join(leaves, "leaf"), "line-leaves")
+    distinct = settled(candidates.groupBy("leaf", "masked").agg(F.count_distinct("text_hash").alias("texts")), "line-masked")
+    leaves = settled(distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf"), "line-leaves")
+    found = masked_tokens(docs, p, leaf_bitmap(leaves)).groupBy("leaf", "masked").agg(F.first("tokens").alias("tokens"))
+    several = settled(found.join(distinct, ["leaf", "masked"]).join(leaves, "leaf", "left_semi"), "line-several")
     placed = several.select("leaf", "masked", "texts", F.posexplode("tokens").alias("place", "token"))
     known = placed.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).filter(F.col("n") >= p.min_documents)
     known = settled(known.select("leaf", "place", "token", F.lit(True).alias("constant")), "line-constants")
@@ -162,10 +182,8 @@ def recurring_lines(docs: DataFrame, p: LineParams = LineParams(), keys: tuple[s
     """Lines of recurring templates: the keys, line_no, template, texts, families."""
     lines = settled(scanned(docs, p, list(keys)), "line-rows")
     shared = lines.groupBy("leaf").agg(F.count_distinct("text_hash").alias("n")).filter(F.col("n") >= p.min_documents).select("leaf")
-    shared = settled(shared, "line-shared")
-    tokens = scanned(docs, p, [], leaf_bitmap(shared)).join(shared, "leaf", "left_semi")
-    templates = settled(line_templates(tokens, p), "line-templates")
     candidates = settled(lines.join(shared, "leaf", "left_semi"), "line-candidates")
+    templates = settled(line_templates(docs, candidates, p), "line-templates")
     named = candidates.join(templates, "masked", "left").withColumn("template", F.coalesce("template", "masked"))
     named = settled(named.select(*keys, "line_no", "template", "text_hash", "family"), "line-named")
     counted = named.groupBy("template").agg(F.count_distinct("text_hash").alias("texts"), F.count_distinct("family").alias("families"))
