@@ -224,10 +224,12 @@ def long_unit(model, unit: str) -> list[int]:
     return model.encode("\n" + unit)[len(model.encode("\n")) :]
 
 
-def encode_documents(docs: DataFrame, p: PieceParams = PieceParams(), verify: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, p: PieceParams = PieceParams(), verify: bool = False, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``ids``, the piece ids of each whole text.
 
     With ``verify`` also ``restored``: whether the ids decode to the text.
+    ``keep`` names the columns that are wanted besides; texts that nobody reads
+    again need not come back from the encoding tasks.
     """
     docs = docs.drop("ids", "_block", *(["restored"] if verify else []))
     if not docs.select(F.input_file_name().alias("file")).filter("file = ''").isEmpty():
@@ -238,13 +240,13 @@ def encode_documents(docs: DataFrame, p: PieceParams = PieceParams(), verify: bo
     each = fold_units(lattice_edges(units, p), p).select("unit", "ids", F.explode("blocks").alias("block"))
     each.repartition("block").write.partitionBy("block").parquet(folder)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    names, path = docs.columns, p.model
+    names, path = docs.columns if keep is None else keep, p.model
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema)
 
     def encode(batches):
         block, known, octets = None, {}, piece_bytes(path) if verify else []
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 ids = []
                 for own, text in zip(batch["_block"].tolist(), batch["text"], strict=True):
                     if not text:

@@ -56,7 +56,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.encode_documents(docs, verify=True).select("doc_id", F.size("ids").alias("n_pieces"), "ids", "restored")
+    return pieces.encode_documents(docs, verify=True, keep=["doc_id"]).select("doc_id", F.size("ids").alias("n_pieces"), "ids", "restored")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
