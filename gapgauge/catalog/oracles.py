@@ -242,6 +242,11 @@ stored AS (
   FROM dated GROUP BY game_date)
 SELECT 'pitches' AS scope, day, coalesce(rows, 0) AS rows, {r9("value", digits=6)}, users
 FROM calendar LEFT JOIN stored USING (day)"""
+ORACLES["daily_ingest_misdated"] = f"""
+WITH {DATED} SELECT event_id, event_type, game_date AS landed_on,
+  CAST(game_date + CAST(event_id % 10 = 0 AS INTEGER) AS DATE) AS game_date FROM dated"""
+ORACLES["late_landing"] = f"""
+WITH {DATED} SELECT way, event_id, event_type, game_date FROM dated, (VALUES ('batch'), ('stream')) AS ways(way)"""
 ORACLES["stream_ingest"] = f"""
 WITH {DATED} SELECT event_id, user_id, event_type, {r9("value")}, game_date FROM dated"""
 
@@ -313,6 +318,12 @@ WHERE qualified AND avg_hit_speed IS NOT NULL"""
 ORACLES["pct_rank_events"] = f"""
 WITH marked AS (SELECT *, TRUE AS qualified FROM events)
 SELECT event_type, event_id, {percentile("value", "event_type")} AS pct_value FROM marked"""
+ORACLES["pct_rank_wide"] = f"""
+WITH prices AS (
+  SELECT o_orderstatus, o_orderkey, o_totalprice AS price,
+    CAST(CAST(o_orderkey AS BIGINT) * o_custkey * 1000003 AS DOUBLE) AS wide, TRUE AS qualified FROM orders)
+SELECT o_orderstatus, o_orderkey, {percentile("price", "o_orderstatus")} AS pct_price, {percentile("wide", "o_orderstatus")} AS pct_wide
+FROM prices"""
 ORACLES["signals"] = f"WITH {SIGNALS} SELECT {', '.join(_signal_others)}, {r9(*_signal_doubles)} FROM signals"
 ORACLES["signal_checks"] = f"""WITH {SIGNALS}
 SELECT count(*) AS n_rows, count(DISTINCT player_type) AS n_kinds, count_if(flagged) AS n_flagged,

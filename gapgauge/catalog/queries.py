@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,9 @@ from gapgauge.operators.appearances import recent_days
 from gapgauge.plans.report import json_record
 from gapgauge.session import cut_lineage, shared_folder
 from gapgauge.sources.events import DAY_COLUMN
+from gapgauge.sources.landing import day_folder
 from gapgauge.sources.ledger import latest_entries, ledger_entries
+from gapgauge.sources.paths import make_folder
 from gapgauge.streaming import ingest_stream
 
 SHIFT = 3e-11
@@ -191,20 +193,34 @@ def empty_day_marking(spark, sf):
     return ledger_entries(full_days(spark, sf), last_season(spark, sf)).drop("fetched_at")
 
 
-def landed(spark: SparkSession, sf: str, name: str) -> plans.IngestPaths:
+def ingest_paths(spark: SparkSession, name: str) -> plans.IngestPaths:
     root = scratch(spark, name)
-    paths = plans.IngestPaths(f"{root}/landing", f"{root}/events", f"{root}/ledger")
-    events = dated_events(spark, sf).withColumn("day", F.col(DAY_COLUMN))
-    events.hint("rebalance", F.col("day")).write.partitionBy("day").parquet(paths.landing)
+    return plans.IngestPaths(f"{root}/landing", f"{root}/events", f"{root}/ledger")
+
+
+def land(events: DataFrame, paths: plans.IngestPaths, day: str = DAY_COLUMN) -> None:
+    by_day = events.withColumn("day", F.col(day)).hint("rebalance", F.col("day"))
+    by_day.write.mode("append").partitionBy("day").parquet(paths.landing)
+
+
+def landed(spark: SparkSession, sf: str, name: str) -> plans.IngestPaths:
+    paths = ingest_paths(spark, name)
+    land(dated_events(spark, sf), paths)
     return paths
 
 
+def ingest_january(spark: SparkSession, paths: plans.IngestPaths) -> dict:
+    """January and a day more stand for the season of this table."""
+    return plans.daily_ingest(spark, paths, 2024, through=date(2024, 2, 1), season_start={2024: "2024-01-01"})
+
+
 @query
 def daily_ingest(spark, sf):
     """Land all events by day, ingest them, and go on two days past the data."""
     paths = landed(spark, sf, "daily")
-    # January stands for the season of this table.
-    plans.daily_ingest(spark, paths, 2024, through=date(2024, 2, 1), season_start={2024: "2024-01-01"})
+    for offset in range(32):  # a folder without data is a day without events
+        make_folder(spark, day_folder(paths.landing, date(2024, 1, 1) + timedelta(offset)))
+    ingest_january(spark, paths)
     stored = (
         sources.read_events(spark, paths.events)
         .groupBy(F.col(DAY_COLUMN).alias("day"))
@@ -214,6 +230,37 @@ def daily_ingest(spark, sf):
     return rounded(ledger.join(stored, "day", "left"), 6)
 
 
+@query
+def daily_ingest_misdated(spark, sf):
+    """Every tenth row is dated a day later than the folder it landed in; a run is repeated."""
+    paths = ingest_paths(spark, "misdated")
+    events = dated_events(spark, sf).withColumn("landed_on", F.col(DAY_COLUMN))
+    shifted = F.when(F.col("event_id") % 10 == 0, F.date_add(DAY_COLUMN, 1)).otherwise(F.col(DAY_COLUMN))
+    land(events.withColumn(DAY_COLUMN, shifted), paths, "landed_on")
+    ingest_january(spark, paths)
+    plans.ingest_days(spark, paths, [date(2024, 1, d) for d in range(1, 11)])
+    return sources.read_events(spark, paths.events).select("event_id", "event_type", "landed_on", DAY_COLUMN)
+
+
+@query
+def late_landing(spark, sf):
+    """A third of the days lands between two runs, one of the batch and one of the stream."""
+    events = dated_events(spark, sf)
+    late = F.day(DAY_COLUMN) % 3 == 0
+    batch, stream = ingest_paths(spark, "late"), ingest_paths(spark, "late-stream")
+    checkpoint = scratch(spark, "late-checkpoint")
+    for part in (~late, late):
+        for paths in (batch, stream):
+            land(events.filter(part), paths)
+        ingest_january(spark, batch)
+        ingest_stream(spark, stream, checkpoint).awaitTermination()
+    stored = [
+        sources.read_events(spark, paths.events).select(F.lit(way).alias("way"), "event_id", "event_type", DAY_COLUMN)
+        for way, paths in (("batch", batch), ("stream", stream))
+    ]
+    return stored[0].unionByName(stored[1])
+
+
 @query
 def stream_ingest(spark, sf):
     """The same through the stream over the landing folder."""
@@ -373,6 +420,19 @@ def pct_rank_events(spark, sf):
     )
 
 
+@query
+def pct_rank_wide(spark, sf):
+    """The same for prices and for large whole numbers, nearly all of them different."""
+    orders = b.table(spark, sf, "orders").select(
+        "o_orderstatus",
+        "o_orderkey",
+        F.col("o_totalprice").alias("price"),
+        (F.col("o_orderkey").cast("bigint") * F.col("o_custkey") * 1000003).cast("double").alias("wide"),
+    )
+    metrics = {"pct_price": (F.col("price"), F.lit(True)), "pct_wide": (F.col("wide"), F.lit(True))}
+    return op.tie_averaged_percentiles(orders, "o_orderstatus", ["o_orderkey"], metrics)
+
+
 @query
 def signals(spark, sf):
     return rounded(all_signals(spark, sf))

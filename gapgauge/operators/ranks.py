@@ -2,12 +2,11 @@
 
 There are only two kinds of entity, so a window over the kind would sort half
 of the table in a single task. The rank of a value needs only the number of
-rows below it, so rows are first reduced to counts per distinct value. Where
-even the distinct values are too many for one sort, their counts are summed
-over cells of the value range, and each value gets
+rows below it, so rows are first reduced to counts per distinct value. Those
+are dealt to ranges that Spark takes from the data, and each value gets
 
-    rows in lower units + rows in lower cells of its unit
-    + rows at lower values of its cell + (rows at the value + 1) / 2
+    rows in lower ranges + rows at lower values of its range
+    + (rows at the value + 1) / 2
 """
 
 from __future__ import annotations
@@ -17,79 +16,57 @@ from pyspark.sql import functions as F
 
 from gapgauge.session import cut_lineage
 
-# A power of two, so that scaling a double by it is exact and keeps the order.
-CELLS_PER_UNIT = 4096
-# Distinct values of one group that a single task may sort.
-SORT_VALUES = 1_000_000
-
 
 def _rows_before(sum_of: str, by: list[str], order: str) -> Column:
     window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(sum_of).over(window), F.lit(0))
 
 
-def _below_in_one_sort(tallies: DataFrame, by: list[str]) -> DataFrame:
-    group = F.sum("n").over(Window.partitionBy(*by))
-    return tallies.withColumns({"below": _rows_before("n", by, "value"), "n_group": group})
-
+def in_ranges(tallies: DataFrame, by: list[str]) -> DataFrame:
+    """``tallies`` with ``part``, a number that grows with the value in its group.
 
-def _below_by_cells(tallies: DataFrame, by: list[str]) -> DataFrame:
-    tallies = tallies.withColumn("unit", F.floor("value")).withColumn("cell", F.floor(F.col("value") * CELLS_PER_UNIT))
-    cells = tallies.groupBy(*by, "unit", "cell").agg(F.sum("n").alias("n_cell"))
-    units = cells.groupBy(*by, "unit").agg(F.sum("n_cell").alias("n_unit"))
-    units = units.select(
-        *by,
-        "unit",
-        _rows_before("n_unit", by, "unit").alias("before_unit"),
-        F.sum("n_unit").over(Window.partitionBy(*by)).alias("n_group"),
-    )
-    cells = (
-        cells.withColumn("before_cell", _rows_before("n_cell", [*by, "unit"], "cell"))
-        .join(units, [*by, "unit"])
-        .select(*by, "cell", "n_group", (F.col("before_unit") + F.col("before_cell")).alias("before"))
-    )
-    ranked = tallies.withColumn("before_value", _rows_before("n", [*by, "cell"], "value")).join(cells, [*by, "cell"])
-    return ranked.withColumn("below", F.col("before") + F.col("before_value"))
+    Written once, so that a task that runs again cannot change the ranges.
+    """
+    return cut_lineage(tallies.repartitionByRange(*by, "value").withColumn("part", F.spark_partition_id()))
 
 
-def value_percentiles(tallies: DataFrame, by: list[str], min_rows: int, sort_values: int = SORT_VALUES) -> DataFrame:
+def value_percentiles(ranged: DataFrame, by: list[str], min_rows: int) -> DataFrame:
     """Percentile of every distinct ``value`` given its number of rows ``n``.
 
     Groups of ``min_rows`` rows or fewer have no percentiles.
     """
-    largest = tallies.groupBy(*by).agg(F.count(F.lit(1)).alias("values")).agg(F.max("values")).first()[0] or 0
-    ranked = _below_in_one_sort(tallies, by) if largest <= sort_values else _below_by_cells(tallies, by)
-    rank = F.col("below") + (F.col("n") + 1) / F.lit(2.0)
+    parts = ranged.groupBy(*by, "part").agg(F.sum("n").alias("n_part"))
+    parts = parts.select(
+        *by,
+        "part",
+        _rows_before("n_part", by, "part").alias("before_part"),
+        F.sum("n_part").over(Window.partitionBy(*by)).alias("n_group"),
+    )
+    ranked = ranged.withColumn("before_value", _rows_before("n", [*by, "part"], "value")).join(parts, [*by, "part"])
+    rank = F.col("before_part") + F.col("before_value") + (F.col("n") + 1) / F.lit(2.0)
     percentile = F.rint(rank / F.col("n_group") * 100)
     return ranked.filter(F.col("n_group") > min_rows).select(*by, "value", percentile.alias("percentile"))
 
 
 def tie_averaged_percentiles(
-    df: DataFrame,
-    kind: str,
-    ids: list[str],
-    metrics: dict[str, tuple[Column, Column]],
-    min_rows: int = 5,
-    sort_values: int = SORT_VALUES,
+    df: DataFrame, kind: str, ids: list[str], metrics: dict[str, tuple[Column, Column]], min_rows: int = 5
 ) -> DataFrame:
     """One row per entity that takes part, with a 0-100 percentile per metric.
 
-    ``metrics`` maps an output name to (value, takes part); a NULL value never
-    takes part. The result holds ``kind``, ``ids`` and the outputs. The counts
-    per distinct value are written once, since they are read several times.
+    ``metrics`` maps an output name to (value, takes part); a value that is NULL
+    or NaN never takes part. The result holds ``kind``, ``ids`` and the outputs.
     """
     entries = [
-        F.when(takes_part & value.isNotNull(), F.struct(F.lit(name).alias("metric"), value.alias("value")))
+        F.when(takes_part & value.isNotNull() & ~F.isnan(value), F.struct(F.lit(name).alias("metric"), value.alias("value")))
         for name, (value, takes_part) in metrics.items()
     ]
     scored = df.select(kind, *ids, F.explode(F.array_compact(F.array(*entries))).alias("entry")).select(
         kind, *ids, "entry.metric", "entry.value"
     )
     by = [kind, "metric"]
-    tallies = cut_lineage(scored.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n")))
-    percentiles = value_percentiles(tallies, by, min_rows, sort_values)
+    tallies = in_ranges(scored.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n")), by)
     return (
-        scored.join(percentiles, [*by, "value"])
+        scored.join(value_percentiles(tallies, by, min_rows), [*by, "value"])
         .groupBy(kind, *ids)
         .agg(*[F.max(F.when(F.col("metric") == name, F.col("percentile"))).alias(name) for name in metrics])
     )

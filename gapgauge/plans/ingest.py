@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from gapgauge.sources.boards import load_contact_board, load_expected_board, replace_snapshot
 from gapgauge.sources.calendar import pending_days, season_calendar
-from gapgauge.sources.events import append_days, normalize_event_date, read_events, storage_type, stringify_exotic, wider_type
-from gapgauge.sources.landing import days_by_schema, read_folders
+from gapgauge.sources.events import DAY_COLUMN, INGEST_DAY, append_days, normalize_event_date, read_events, storage_type, stringify_exotic, wider_type
+from gapgauge.sources.landing import day_folder, days_by_schema, read_folders
 from gapgauge.sources.ledger import ingested_days, ledger_entries, read_ledger, record_days
 from gapgauge.sources.paths import exists
 
@@ -40,16 +40,15 @@ def _conform(df: DataFrame, types: dict[str, str]) -> DataFrame:
 def read_days(spark: SparkSession, landing: str, days: Iterable[date], fmt: str = "parquet") -> DataFrame | None:
     """Rows of the given days in one frame, whatever columns each day has.
 
-    Days with the same columns are read together. A request for a day answers
-    with that day's rows only, so a row dated otherwise belongs to another one;
-    a row without a date belongs to the day it came with.
+    Days with the same columns are read together. Every row of a folder is kept
+    and carries the folder's day as its day of ingest; its own date may differ,
+    and where it is missing it is taken from the folder.
     """
     frames = []
     for schema, same in days_by_schema(spark, landing, days, fmt):
         dated = normalize_event_date(stringify_exotic(read_folders(spark, landing, same, fmt, schema)))
         day = F.col("day").cast("date")
-        dated = dated.withColumn("game_date", F.coalesce("game_date", day))
-        frames.append(dated.filter(F.col("game_date") == day).drop("day"))
+        frames.append(dated.withColumns({DAY_COLUMN: F.coalesce(DAY_COLUMN, day), INGEST_DAY: day}).drop("day"))
     if not frames:
         return None
     types: dict[str, str] = {}
@@ -64,11 +63,11 @@ def read_days(spark: SparkSession, landing: str, days: Iterable[date], fmt: str
 
 
 def day_counts(spark: SparkSession, events_path: str, days: list[date]) -> DataFrame:
-    """Rows per stored day, read from the files just written."""
+    """Rows per day of ingest, read from the files just written."""
     return (
-        read_events(spark, events_path)
-        .filter(F.col("game_date").isin(days))
-        .groupBy(F.col("game_date").alias("day"))
+        read_events(spark, events_path, ingest_day=True)
+        .filter(F.col(INGEST_DAY).isin(days))
+        .groupBy(F.col(INGEST_DAY).alias("day"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
 
@@ -90,8 +89,16 @@ def ingest_days(spark: SparkSession, paths: IngestPaths, days: list[date], fmt:
 
     Rows are written before the ledger, and a day is replaced as a whole, so a
     run that stops in between is simply repeated. Returns the days that failed
-    and why; they are not recorded and will be asked for again.
+    and why; they are not recorded and will be asked for again. So is a day
+    whose folder does not exist yet; a day without events has a folder without
+    data files (a marker in it will do) and is recorded with no rows.
     """
+    landed = [d for d in days if exists(spark, day_folder(paths.landing, d))]
+    missing = {d: "not landed yet" for d in days if d not in landed}
+    return missing | _ingest_landed(spark, paths, landed, fmt)
+
+
+def _ingest_landed(spark: SparkSession, paths: IngestPaths, days: list[date], fmt: str) -> dict[date, str]:
     if not days:
         return {}
     try:
@@ -103,7 +110,7 @@ def ingest_days(spark: SparkSession, paths: IngestPaths, days: list[date], fmt:
             return {days[0]: f"{type(error).__name__}: {error}"}
     failed: dict[date, str] = {}
     for day in days:
-        failed |= ingest_days(spark, paths, [day], fmt)
+        failed |= _ingest_landed(spark, paths, [day], fmt)
     return failed
 
 

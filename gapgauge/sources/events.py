@@ -1,6 +1,8 @@
 """The event table: every source column is kept, and the columns may drift.
 
-Data lie in Parquet partitioned by ``game_date``. A small column registry
+Data lie in Parquet partitioned by the day of ingest, which alone decides what a
+repeated run replaces. ``game_date`` is data, sorted inside the files, so that
+filters on it skip row groups by their statistics. A small column registry
 beside it names each logical column and its type, so a read passes an explicit
 schema and no file footers have to be merged. A column that is absent from an
 older file reads as NULL.
@@ -22,6 +24,7 @@ from gapgauge.schemas import table_schema
 from gapgauge.sources.paths import exists
 
 DAY_COLUMN = "game_date"
+INGEST_DAY = "ingest_day"
 # Order inside a file, so that row groups hold few entities each.
 CLUSTER_BY = ("batter", "pitcher")
 REGISTRY = table_schema("name string, physical string, type string")
@@ -77,7 +80,7 @@ def column_changes(registry: dict[str, dict[str, str]], batch: DataFrame) -> tup
     added, placed = [], {}
     for f in batch.schema.fields:
         stored = storage_type(f.dataType)
-        if stored is None or f.name == DAY_COLUMN:
+        if stored is None or f.name in (DAY_COLUMN, INGEST_DAY):
             continue
         known = registry.get(f.name)
         if known is None:
@@ -110,9 +113,12 @@ def _register(spark: SparkSession, path: str, added: list[tuple[str, str, str]])
 
 
 def append_days(batch: DataFrame, path: str) -> int:
-    """Write the batch's days; a day that is already there is replaced.
+    """Write the batch's days of ingest; one that is already there is replaced.
 
-    Returns the number of rows written, counted by the writing tasks.
+    A batch without the column ``ingest_day`` is stored by ``game_date``; rows
+    without a date then go with the last day of the batch, and a batch without
+    any date is refused. Returns the number of rows written, counted by the
+    writing tasks.
 
     New columns widen the table, absent ones read as NULL. The registry is
     extended before the data are written: an entry without data is harmless,
@@ -121,22 +127,27 @@ def append_days(batch: DataFrame, path: str) -> int:
     """
     spark = batch.sparkSession
     batch = stringify_exotic(normalize_event_date(batch))
+    if INGEST_DAY not in batch.columns:
+        last = batch.agg(F.max(DAY_COLUMN)).first()[0]
+        undated = F.raise_error(F.lit("rows without a date need the column ingest_day")).cast("date")
+        batch = batch.withColumn(INGEST_DAY, F.coalesce(DAY_COLUMN, undated if last is None else F.lit(last)))
     added, placed = column_changes(read_registry(spark, path), batch)
     _register(spark, path, added)
     types = {p: t for columns in read_registry(spark, path).values() for p, t in columns.items()}
     stored = batch.select(
+        F.col(INGEST_DAY).cast("date").alias(INGEST_DAY),
         F.col(DAY_COLUMN),
         *[F.col(f"`{name}`").cast(types[physical]).alias(physical) for name, physical in placed.items()],
     )
-    clustering = [c for c in (DAY_COLUMN, *CLUSTER_BY) if c in stored.columns]
+    clustering = [c for c in (INGEST_DAY, DAY_COLUMN, *CLUSTER_BY) if c in stored.columns]
     written = Observation()
     (
-        stored.hint("rebalance", DAY_COLUMN)
+        stored.hint("rebalance", INGEST_DAY)
         .sortWithinPartitions(*clustering)
         .observe(written, F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(DAY_COLUMN)
+        .partitionBy(INGEST_DAY)
         .parquet(path)
     )
     return written.get["rows"]
@@ -147,9 +158,10 @@ def _logical(name: str, columns: dict[str, str]) -> Column:
     return F.coalesce(*[F.col(f"`{p}`").cast(widest) for p in columns]).alias(name)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The whole table with its logical columns; filters on the day prune files."""
+def read_events(spark: SparkSession, path: str, ingest_day: bool = False) -> DataFrame:
+    """The whole table with its logical columns, on request with the day of ingest."""
     registry = read_registry(spark, path)
     stored = [f"`{p}` {t}" for columns in registry.values() for p, t in columns.items()]
-    raw = spark.read.schema(", ".join([*stored, f"`{DAY_COLUMN}` date"])).parquet(path)
-    return raw.select(*[_logical(name, columns) for name, columns in registry.items()], DAY_COLUMN)
+    raw = spark.read.schema(", ".join([*stored, f"`{DAY_COLUMN}` date", f"`{INGEST_DAY}` date"])).parquet(path)
+    days = [DAY_COLUMN, INGEST_DAY] if ingest_day else [DAY_COLUMN]
+    return raw.select(*[_logical(name, columns) for name, columns in registry.items()], *days)

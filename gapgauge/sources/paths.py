@@ -15,10 +15,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, target = _hadoop(spark, path)
+    fs.mkdirs(target)
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over, too."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
 def has_data_files(spark: SparkSession, path: str) -> bool:
-    """Whether the folder holds a file other than markers and hidden files."""
+    """Whether the folder holds, at any depth, a file that is neither marker nor hidden."""
     fs, target = _hadoop(spark, path)
     if not fs.exists(target):
         return False
-    files = (s for s in fs.listStatus(target) if s.isFile())
-    return any(not s.getPath().getName().startswith(("_", ".")) for s in files)
+    root = fs.makeQualified(target).toString()
+    files = fs.listFiles(target, True)
+    while files.hasNext():
+        inside = files.next().getPath().toString()[len(root) :]
+        if not any(_hidden(name) for name in inside.split("/")):
+            return True
+    return False

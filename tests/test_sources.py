@@ -15,6 +15,7 @@ from gapgauge.sources.calendar import season_range
 from gapgauge.sources.events import read_registry, wider_type
 from gapgauge.sources.ledger import latest_entries
 from gapgauge.streaming import ingest_stream
+from gapgauge.streaming.ingest import days_to_retry
 from tests.conftest import plan_of
 
 SNAP = date(2026, 8, 29)
@@ -159,7 +160,19 @@ def test_columns_may_come_go_and_widen(spark, tmp_path):
     ]
     assert set(read_registry(spark, path)["a"].values()) == {"int", "double", "string"}
     plan = plan_of(sources.read_events(spark, path).filter(F.col("game_date") == F.lit(date(2026, 4, 3))).select("b"))
-    assert "PartitionFilters: [isnotnull(game_date" in plan and "ReadSchema: struct<b:string>" in plan
+    assert "EqualTo(game_date,2026-04-03)" in plan and "ReadSchema: struct<b:string,game_date:date>" in plan
+
+
+def test_undated_rows_of_two_batches_both_stay(spark, tmp_path):
+    path = str(tmp_path / "events")
+    for day, a in (("2026-04-01", 1), ("2026-04-02", 3)):
+        sources.append_days(spark.createDataFrame([(day, a), (None, a + 1)], "game_date string, a int"), path)
+    rows = {(r.a, str(r.game_date), str(r.ingest_day)) for r in sources.read_events(spark, path, ingest_day=True).collect()}
+    assert rows == {
+        (1, "2026-04-01", "2026-04-01"), (2, "None", "2026-04-01"), (3, "2026-04-02", "2026-04-02"), (4, "None", "2026-04-02"),
+    }
+    with pytest.raises(Exception, match="ingest_day"):
+        sources.append_days(spark.createDataFrame([(None, 1)], "game_date string, a int"), path)
 
 
 def land(spark, root, day, schema, rows, fmt="parquet"):
@@ -176,17 +189,30 @@ def ledger_of(spark, paths):
 
 
 def test_daily_ingest_resumes_and_remembers_empty_days(spark, tmp_path):
+    """Every row of a landed day is kept, whatever its own date."""
     paths = paths_in(tmp_path)
     land(spark, tmp_path, "2026-03-26", "game_date string, a int", [("2026-03-26", 1), ("2026-03-26", 2)])
+    (tmp_path / "landing" / "day=2026-03-27").mkdir()
     land(spark, tmp_path, "2026-03-28", "game_date string, a int, b int", [(None, 3, 4), ("2026-03-20", 9, 9)])
     assert daily_ingest(spark, paths, 2026, date(2026, 3, 28), newest_first=True, limit_days=2) == {}
-    assert ledger_of(spark, paths) == {"2026-03-28": 1, "2026-03-27": 0}
+    assert ledger_of(spark, paths) == {"2026-03-28": 2, "2026-03-27": 0}
     assert daily_ingest(spark, paths, 2026, date(2026, 3, 28)) == {}
-    assert ledger_of(spark, paths) == {"2026-03-26": 2, "2026-03-27": 0, "2026-03-28": 1}
+    assert ledger_of(spark, paths) == {"2026-03-26": 2, "2026-03-27": 0, "2026-03-28": 2}
     # Everything is in the ledger: a changed file is not read again.
     land(spark, tmp_path, "2026-03-26", "game_date string, a int", [("2026-03-26", 7)])
     assert daily_ingest(spark, paths, 2026, date(2026, 3, 28)) == {}
-    assert sorted(r.a for r in sources.read_events(spark, paths.events).collect()) == [1, 2, 3]
+    rows = {(r.a, r.game_date.isoformat()) for r in sources.read_events(spark, paths.events).collect()}
+    assert rows == {(1, "2026-03-26"), (2, "2026-03-26"), (3, "2026-03-28"), (9, "2026-03-20")}
+
+
+def test_a_day_that_has_not_landed_stays_pending(spark, tmp_path):
+    paths = paths_in(tmp_path)
+    land(spark, tmp_path, "2026-03-26", "game_date string, a int", [("2026-03-26", 1)])
+    assert list(daily_ingest(spark, paths, 2026, date(2026, 3, 27))) == [date(2026, 3, 27)]
+    assert ledger_of(spark, paths) == {"2026-03-26": 1}
+    land(spark, tmp_path, "2026-03-27/part=a", "game_date string, a int", [("2026-03-27", 2)])
+    assert daily_ingest(spark, paths, 2026, date(2026, 3, 27)) == {}
+    assert sorted(r.a for r in sources.read_events(spark, paths.events).collect()) == [1, 2]
 
 
 def test_repeated_day_is_replaced(spark, tmp_path):
@@ -262,6 +288,34 @@ def test_stream_picks_up_new_and_late_files(spark, tmp_path):
     assert ledger_of(spark, paths) == {"2026-03-26": 2, "2026-03-27": 1}
 
 
+def test_stream_goes_on_after_a_damaged_day(spark, tmp_path):
+    """Compressed files count, too; the bad day is tried again when mended."""
+    paths, checkpoint = paths_in(tmp_path), str(tmp_path / "stream")
+    folder = tmp_path / "landing"
+    for day, content in (("2026-03-26", b"no parquet"), ("2026-03-27", None)):
+        (folder / f"day={day}").mkdir(parents=True)
+        if content:
+            (folder / f"day={day}" / "part-0.parquet").write_bytes(content)
+        else:
+            land(spark, tmp_path, f"{day}/part=a", "game_date string, a int", [(day, 2)])
+    ingest_stream(spark, paths, checkpoint).awaitTermination()
+    assert [r.a for r in sources.read_events(spark, paths.events).collect()] == [2]
+    assert days_to_retry(spark, paths) == [date(2026, 3, 26)]
+    land(spark, tmp_path, "2026-03-26", "game_date string, a int", [("2026-03-26", 1)])
+    for _ in range(2):  # taken up as a retry and as new files
+        ingest_stream(spark, paths, checkpoint).awaitTermination()
+    assert sorted(r.a for r in sources.read_events(spark, paths.events).collect()) == [1, 2]
+    assert days_to_retry(spark, paths) == []
+
+
+def test_stream_takes_up_compressed_files(spark, tmp_path):
+    paths = paths_in(tmp_path)
+    source = spark.createDataFrame([("2026-03-26", 1)], "game_date string, a int").coalesce(1)
+    source.write.option("header", "true").option("compression", "gzip").csv(f"{paths.landing}/day=2026-03-26")
+    ingest_stream(spark, paths, str(tmp_path / "stream"), "csv").awaitTermination()
+    assert [r.a for r in sources.read_events(spark, paths.events).collect()] == [1]
+
+
 def test_board_minimum_skips_cells_that_are_no_numbers(spark):
     source = spark.createDataFrame([("Doe, A", 1, "200"), ("Roe, B", 2, "n/a"), ("Poe, C", 3, None)], "`last_name, first_name` string, player_id int, pa string")
     assert [r["player_id"] for r in sources.load_expected_board(source, "batter", SNAP, 2026).collect()] == [1]
