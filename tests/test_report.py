@@ -129,7 +129,8 @@ def test_refresh_from_sources_to_report(spark, tmp_path):
     params = ReportParams(trend=TrendParams(window=15, days=10))
     options = dict(through=date(2026, 3, 28), as_of=date(2026, 3, 29), snapshot=date(2026, 3, 28))
     failed = refresh(spark, store, expected, lambda kind: None, 2026, params=params, **options)
-    assert list(failed["expected_stats"]) == ["pitcher"] and failed["pitches"] == {}
+    assert list(failed["expected_stats"]) == ["pitcher"]
+    assert failed["pitches"] == {date(2026, 3, d): "not landed yet" for d in (26, 28)}
     assert set(failed["batted_ball"]) == {"batter", "pitcher"}
     doc = json.loads("".join(open(f).read() for f in sorted(glob.glob(store.at("report/part-*")))))
     assert list(doc["groups"]) == ["batter"]
