@@ -145,21 +145,25 @@ def block_units(docs: DataFrame) -> DataFrame:
 def lattice_edges(units: DataFrame, p: PieceParams) -> DataFrame:
     """unit, blocks, edges: array of (cost, start, stop, id), best score first.
 
-    The piece table is bounded by the model. Its empty entry keeps every unit.
-    Units come hashed by unit, so grouping their edges needs no shuffle.
+    The piece table is bounded by the model. Its empty entry keeps every unit
+    and carries its blocks. Units come hashed by unit, so grouping their edges
+    needs no shuffle; the running number in front of the grouping key keeps the
+    order in which the edges are made, so sorting them costs little.
     """
     spark, known = units.sparkSession, pieces_of(p.model)
     table = spark.createDataFrame(pd.concat([known, pd.DataFrame({"piece": [""], "id": [-1], "score": [0.0]})]), "piece string, id int, score double")
     longest = int(known["piece"].str.len().max())
     size = F.char_length("unit")
     first = F.when(size <= LONGEST, F.sequence(F.lit(0), size)).otherwise(F.array(size))
-    starts = units.select("unit", "blocks", size.alias("size"), F.explode(first).alias("start"))
+    numbered = units.select(F.monotonically_increasing_id().alias("number"), "unit", "blocks", size.alias("size"))
+    starts = numbered.select("number", "unit", "blocks", "size", F.explode(first).alias("start")).withColumn("blocks", F.when(F.col("start") == F.col("size"), F.col("blocks")))
     # the last place gives the empty entry; single characters need no edge
     stops = F.when(F.col("start") == F.col("size"), F.array("size")).when(F.col("start") + 1 < F.col("size"), F.sequence(F.col("start") + 2, F.least(F.col("size"), F.col("start") + longest)))
-    cut = starts.select("unit", "blocks", "start", F.explode(stops).alias("stop")).withColumn("piece", F.expr("substr(unit, start + 1, stop - start)"))
+    cut = starts.select("number", "unit", "blocks", "start", F.explode(stops).alias("stop")).withColumn("piece", F.expr("substr(unit, start + 1, stop - start)"))
     edges = cut.join(F.broadcast(table.filter("length(piece) != 1")), "piece")
     packed = F.struct((-F.col("score")).alias("cost"), "start", "stop", "id")
-    return edges.groupBy("unit").agg(F.first("blocks").alias("blocks"), F.sort_array(F.collect_list(packed)).alias("edges"))
+    grouped = edges.groupBy("number", "unit").agg(F.first("blocks", ignorenulls=True).alias("blocks"), F.sort_array(F.collect_list(packed)).alias("edges"))
+    return grouped.drop("number")
 
 
 def merge_cuts() -> Column:
@@ -255,7 +259,7 @@ def encode_documents(docs: DataFrame, p: PieceParams = PieceParams(), verify: bo
                     if own != block:
                         block, known = own, {}
                         known = block_dictionary(f"{folder}/block={own}")
-                    ids.append(np.frombuffer(b"".join([known[u] for u in units_of(text)]), np.int32))
+                    ids.append(np.frombuffer(b"".join(map(known.__getitem__, units_of(text))), np.int32))
                 out = batch[names].assign(ids=ids)
                 if verify:
                     out["restored"] = [t is None or decoded(i, octets) == t for i, t in zip(ids, batch["text"], strict=True)]
@@ -286,7 +290,7 @@ def piece_bytes(path: str) -> list[bytes]:
 
 def decoded(ids: np.ndarray, octets: list[bytes]) -> str:
     """Text of the ids, without the space that encoding put in front."""
-    return b"".join([octets[i] for i in np.asarray(ids).tolist()]).decode("utf-8", "replace")[1:]
+    return b"".join(map(octets.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace")[1:]
 
 
 def decode_documents(encoded: DataFrame, p: PieceParams = PieceParams(), column: str = "decoded") -> DataFrame:
