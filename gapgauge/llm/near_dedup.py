@@ -137,7 +137,8 @@ def items_of(texts: list[str | None], k: int) -> Iterator[tuple[bytes, np.ndarra
         yield xxhash.xxh3_128_digest(" ".join(words).encode()), labelled(shingle_hashes(own, k))
 
 
-def signatures(docs: DataFrame, p: NearParams) -> DataFrame:
+def signatures(docs: DataFrame, p: NearParams, row_key: list[str]) -> DataFrame:
+    """One row for each row of ``docs``: the row key, node and sketch of the text."""
     def sign(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -145,9 +146,10 @@ def signatures(docs: DataFrame, p: NearParams) -> DataFrame:
                 for node, items in items_of(part["text"].tolist(), p.shingle):
                     keys, bits = sketch(items, p.repeats, p.picks) if len(items) else (np.empty(0, np.int64), np.zeros(2, np.int64))
                     rows.append((node, keys, bits[0], bits[1]))
-                yield pd.DataFrame(rows, columns=["node", "keys", "b0", "b1"], index=part.index).assign(doc_id=part["doc_id"])[["doc_id", "node", "keys", "b0", "b1"]]
+                yield pd.DataFrame(rows, columns=["node", "keys", "b0", "b1"], index=part.index).assign(**{c: part[c] for c in row_key})[[*row_key, "node", "keys", "b0", "b1"]]
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, node binary, keys array<long>, b0 long, b1 long")
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select(row_key).schema]
+    return docs.select(*row_key, "text").mapInPandas(sign, ", ".join([*fields, "node binary, keys array<long>, b0 long, b1 long"]))
 
 
 def bits_apart(a: str, b: str) -> Column:
@@ -242,15 +244,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> tuple[DataFrame, DataFrame]:
-    """Membership and links of near-duplicate documents.
-
-    ``docs`` needs doc_id and text. The first frame has one row for each row of
-    ``docs``: doc_id, node (digest of the word sequence), class_id (smallest
-    doc_id of the class). The second has the verified links between different
-    word sequences that were needed to form the classes: a, b, similarity.
-    """
-    signed = settled(signatures(docs, p), "near-signatures")
+def near_classes(docs: DataFrame, p: NearParams, row_key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Row key, node and label (smallest node of the class) of every row, and the links."""
+    signed = settled(signatures(docs, p, row_key), "near-signatures")
     nodes = signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("keys", "b0", "b1")))
     nodes = settled(nodes, "near-nodes")
     bits = nodes.select("node", "b0", "b1")
@@ -265,7 +261,19 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> tuple[Data
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
-    grouped = settled(signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label")), "near-members")
+    labelled_rows = signed.select(*row_key, "node").join(labels, "node", "left").select(*row_key, "node", F.coalesce("label", "node").alias("label"))
+    return settled(labelled_rows, "near-members"), links
+
+
+def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> tuple[DataFrame, DataFrame]:
+    """Membership and links of near-duplicate documents.
+
+    ``docs`` needs doc_id and text. The first frame has one row for each row of
+    ``docs``: doc_id, node (digest of the word sequence), class_id (smallest
+    doc_id of the class). The second has the verified links between different
+    word sequences that were needed to form the classes: a, b, similarity.
+    """
+    grouped, links = near_classes(docs, p, ["doc_id"])
     lowest = settled(grouped.groupBy("label").agg(F.min("doc_id").alias("class_id")), "near-classes")
     return grouped.join(lowest, "label").select("doc_id", "node", "class_id"), links
 
@@ -283,17 +291,25 @@ def bucket_texts(docs: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
-    """One document of every class: the one with the smallest doc_id.
+    """One row of every class: smallest doc_id, then node, then digest of the text.
 
-    Rows that repeat an id are copies of one document, and one row stays.
-    Documents without an id stay, as there is nothing to choose them by.
+    NULL ids come last. A row is known by its id and text, so ids may repeat.
+    Of rows equal in both, the first by all columns (as JSON) stays.
     """
-    members, _ = near_duplicates(docs, p)
-    members = settled(members.filter("doc_id is not null"), "near-known")
-    dropped = settled(members.filter("doc_id != class_id").select("doc_id").distinct(), "near-dropped")
-    again = settled(members.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "near-again")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    if again.isEmpty():
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "doc_id", "text", digest.alias("digest"))
+    # as text, since long ids beside NULL would pass through pandas as floats
+    named = keyed.select(F.col("doc_id").cast("string").alias("name"), "digest", "text")
+    grouped, _ = near_classes(named, p, ["name", "digest"])
+    grouped = grouped.withColumn("doc_id", F.col("name").cast(docs.schema["doc_id"].dataType))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "digest")
+    counts = grouped.groupBy("label", "node", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = counts.groupBy("label").agg(F.min(F.struct(order.alias("key"), "n")).alias("first"))
+    first = settled(first.select(F.col("first.key.doc_id").alias("first_id"), F.col("first.key.digest").alias("first_digest"), F.col("first.n").alias("n")), "near-kept")
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest"))
+    single, several = first.filter("n = 1"), first.filter("n > 1")
+    kept = keyed.join(single, same, "left_semi").select("row.*")
+    if several.isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    rows = keyed.join(several, same, "left_semi").groupBy("doc_id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.unionByName(rows.select("row.*"))

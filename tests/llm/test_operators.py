@@ -52,6 +52,22 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert near_dedup.near_duplicates(none)[0].count() == 0
 
 
+def test_keep_one_goes_by_class(spark):
+    own = [" ".join(f"text{k}word{i}" for i in range(60)) for k in range(5)]
+    near = own[0].replace("text0word7 ", "other ")
+    big = (1 << 53) + 1
+    rows = [(7, own[0], 1), (7, own[1], 2), (7, own[1], 3), (3, near, 4), (big, own[2], 5), (None, own[2], 6), (None, own[3], 7), (None, own[3].upper(), 8), (None, own[4], 9), (None, own[4], 10)]
+    results = []
+    for turn in (rows, rows[::-1]):
+        docs = spark.createDataFrame(turn, "doc_id long, text string, row int").coalesce(1)
+        kept = near_dedup.keep_one(docs)
+        found = {tuple(r) for r in kept.collect()}
+        assert kept.columns == docs.columns and kept.count() == 5
+        assert {r[:2] for r in found if r[1].lower() != own[3]} == {(3, near), (7, own[1]), (big, own[2]), (None, own[4])}
+        results.append(found)
+    assert results[0] == results[1]
+
+
 def test_near_duplicates_equal_all_pairs(documents):
     rows = documents.collect()
     items = [i for _, i in near_dedup.items_of([r["text"] for r in rows], 5)]
