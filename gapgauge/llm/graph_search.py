@@ -5,10 +5,12 @@ shard builds one graph: points enter in rounds of doubling size, a greedy
 search over the graph so far proposes neighbours, and relaxed distance pruning
 keeps an edge only if no kept neighbour is closer to the target by the factor
 ``alpha``. A query walks every shard's graph with a beam of ``beam`` and the
-shards' nearest are merged. The measure is the inner product; one extra
-coordinate gives all vectors the same length, so that the graph can work with
-distances. Reported scores are double-precision products of the original
-vectors.
+shards' nearest are merged. The measure is the inner product, by which queries
+walk in double precision. Graphs are built by distances: one extra coordinate
+gives all vectors the length of the longest. A shard holds vectors whose lengths
+differ by a factor of two at most and is scaled to length 1, so no vector hides
+the distances of others. Reported scores are double-precision products of the
+original vectors.
 
 Equal vectors are one point with its ``k`` + 1 smallest ids, so a vector that
 fills a third of the table is one point. Rows with a NULL id, a NULL, empty or
@@ -20,6 +22,7 @@ go to the smaller id. An empty table gives no row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,21 +49,42 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def octave(vector: Column) -> Column:
+    """Whole binary logarithm of the length, with lengths around 1 in one class."""
+    most = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x / most) * (x / most))
+    return F.floor(F.log2(most) + F.log2(squares) / 2 + 0.5).cast("int")
+
+
+def scaled(vectors: np.ndarray, axis: int | None = None) -> np.ndarray:
+    """``vectors`` over their largest component (of each along ``axis``)."""
+    return vectors / np.abs(vectors).max(axis=axis, keepdims=axis is not None)
+
+
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a - b) ** 2).sum(axis=1)
+
+
+def opposed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Negative inner product: the larger the product, the nearer."""
+    return -(a * b).sum(axis=1)
+
+
 def lifted(vectors: np.ndarray) -> np.ndarray:
     """One more coordinate, so that all have the length of the longest."""
     squares = (vectors**2).sum(axis=1)
     return np.c_[vectors, np.sqrt(np.maximum(squares.max() - squares, 0))].astype(np.float32)
 
 
-def walk(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def walk(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int, apart: Callable = squared) -> tuple[np.ndarray, np.ndarray]:
     """Beam search of all queries in step. Ids and distances of the beams, nearest first.
 
     ``graph`` has one row of neighbours for each point, -1 where there is none.
     """
     n, rows = len(queries), np.arange(len(queries))[:, None]
     ids = np.full((n, beam), -1)
-    dist = np.full((n, beam), np.inf, np.float32)
-    ids[:, 0], dist[:, 0] = start, ((queries - points[start]) ** 2).sum(axis=1)
+    dist = np.full((n, beam), np.inf, points.dtype)
+    ids[:, 0], dist[:, 0] = start, apart(queries, points[start])
     seen = np.zeros((n, len(points)), bool)
     seen[:, start] = True
     opened = np.zeros((n, beam), bool)
@@ -75,8 +99,8 @@ def walk(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray,
         fresh = (around >= 0) & ~seen[live[:, None], around]
         r, c = np.nonzero(fresh)
         seen[live[r], around[r, c]] = True
-        new = np.full(around.shape, np.inf, np.float32)
-        new[r, c] = ((queries[live[r]] - points[around[r, c]]) ** 2).sum(axis=1)
+        new = np.full(around.shape, np.inf, points.dtype)
+        new[r, c] = apart(queries[live[r]], points[around[r, c]])
         all_ids, all_dist = np.c_[ids[live], np.where(fresh, around, -1)], np.c_[dist[live], new]
         all_open = np.c_[opened[live], np.zeros(around.shape, bool)]
         best = np.argsort(all_dist, axis=1, kind="stable")[:, :beam]
@@ -133,16 +157,26 @@ def built(points: np.ndarray, p: GraphParams) -> tuple[np.ndarray, int]:
     return graph, start
 
 
-def shard_graphs(distinct: DataFrame, shards: int, p: GraphParams) -> DataFrame:
+def shard_classes(distinct: DataFrame, p: GraphParams) -> tuple[DataFrame, int]:
+    """(dim, octave, first, shards): numbers of the shards of each class; and their count."""
+    rows, first = [], 0
+    for r in distinct.groupBy("dim", "octave").count().orderBy("dim", "octave").collect():
+        shards = -(-r["count"] // p.shard)
+        rows.append((r["dim"], r["octave"], first, shards))
+        first += shards
+    return distinct.sparkSession.createDataFrame(rows, "dim int, octave int, first int, shards int"), max(1, first)
+
+
+def shard_graphs(distinct: DataFrame, classes: DataFrame, p: GraphParams) -> DataFrame:
     """One row for each shard: vectors, ids and neighbours as packed arrays."""
 
     def build(batch: pd.DataFrame) -> pd.DataFrame:
         vectors = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-        graph, start = built(lifted(vectors), p)
+        graph, start = built(lifted(scaled(vectors)), p)
         return pd.DataFrame([(*batch[["dim", "shard"]].iloc[0], start, vectors.tobytes(), graph.astype(np.int32).tobytes(), batch["ids"].tolist())], columns=["dim", "shard", "start", "vectors", "graph", "ids"])
 
     # a range of the hash fills the shards evenly; the bound on their size holds on average
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
+    dealt = distinct.join(F.broadcast(classes), ["dim", "octave"]).withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
     return dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, start int, vectors binary, graph binary, ids array<array<long>>")
 
 
@@ -155,10 +189,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, p: GraphParams = GraphParams
     named = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")).filter(usable(F.col("vector")) & F.col("vec_id").isNotNull())
     same = Window.partitionBy("vector").orderBy("vec_id")
     lowest = named.withColumn("place", F.row_number().over(same)).filter(F.col("place") <= p.k + 1)
-    distinct = lowest.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("vector"))
+    distinct = lowest.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumns({"dim": F.size("vector"), "octave": octave(F.col("vector"))})
     distinct = settled(distinct, "graph-points")
-    shards = max(1, -(-distinct.count() // p.shard))
-    graphs = settled(shard_graphs(distinct, shards, p), "graph-shards")
+    classes, shards = shard_classes(distinct, p)
+    graphs = settled(shard_graphs(distinct, classes, p), "graph-shards")
 
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")).filter(usable(F.col("vector")) & F.col("query_id").isNotNull())
     asked = settled(asked.withColumn("dim", F.size("vector")), "graph-queries")
@@ -172,10 +206,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, p: GraphParams = GraphParams
             g = graph.iloc[0]
             points = np.frombuffer(g["vectors"]).reshape(-1, g["dim"])
             neighbours = np.frombuffer(g["graph"], np.int32).reshape(len(points), -1).astype(np.int64)
-            high, wanted = lifted(points), np.stack(asking["vector"].to_numpy())
+            level, wanted = scaled(points), np.stack(asking["vector"].to_numpy())
             for begin in range(0, len(asking), 512):
                 part = wanted[begin : begin + 512]
-                ids, _ = walk(high, neighbours, g["start"], np.c_[part, np.zeros(len(part))].astype(np.float32), max(p.beam, p.k))
+                ids, _ = walk(level, neighbours, g["start"], scaled(part, 1), max(p.beam, p.k), opposed)
                 for q, vector, found in zip(asking["query_id"].iloc[begin : begin + 512], part, ids, strict=True):
                     found = found[found >= 0]
                     rows += sorted(((q, float(np.dot(points[i], vector)), v) for i in found for v in g["ids"][i] if v != q), key=lambda x: (-x[1], x[2]))[: p.k]

@@ -140,6 +140,22 @@ def test_graph_search_recall_and_odd_vectors(spark):
     assert graph_search.nearest(small.limit(0), small.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lengths", ["one long", "spread", "extreme"])
+def test_graph_search_recall_with_mixed_lengths(spark, lengths):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    scale = {"one long": np.where(np.arange(1200) == 7, 1e6, 1.0), "spread": 10.0 ** rng.uniform(-4, 4, 1200), "extreme": np.where(np.arange(1200) % 100 == 7, 1e150, 1.0)}[lengths]
+    x *= scale[:, None]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = graph_search.nearest(table, table.filter("vec_id % 40 = 0")).collect()
+    hits = 0
+    for q in range(0, 1200, 40):
+        best = [i for i in np.lexsort((np.arange(1200), -(x @ x[q]))).tolist() if i != q][:20]
+        hits += len(set(best) & {r["vec_id"] for r in found if r["query_id"] == q})
+    assert len(found) == 600 and hits >= 0.95 * len(found)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, small = "<p>é</p>" * 400, "<p>"
     rows = [(1, "http://a/\n", big), (2, None, big), (3, "u", big), (4, "u", small), (5, "u", small), (6, "u", None), (3, "u", big), (None, "u", "x")]
