@@ -9,11 +9,11 @@ are constant: then the line is a template of its own (variable tokens masked).
 This needs no order of arrival, so any number of tasks build the same tree.
 
 A template recurs, and all its lines are dropped, if ``min_documents`` texts
-of different families have it and they are at least half of the different texts
-that have it. A line's family is the smallest three-word hash in the other lines
-of its text. Exact copies of a document are one text and near copies mostly one
-family, so copies do not turn a document's own lines into boilerplate;
-near-duplicate removal is another operator's work.
+that are no near copies of each other have it, whatever the number of all texts.
+Texts are near copies if their sets of three-word runs overlap by ``alike``,
+estimated from one-permutation sketches of BINS bins. So copies of a document
+do not turn its own lines into boilerplate, while texts that share a passage
+stay apart; near-duplicate removal is another operator's work.
 
 NULL text stays NULL and empty text stays empty; blank lines are never
 templates and stay. A document can lose all lines; it then has the text "".
@@ -36,6 +36,9 @@ from gapgauge.llm.common import hashed, mixed, settled, slices
 DIGIT = re.compile(r"\d")
 VARIABLE = "<*>"
 BITMAP_BITS = 1 << 22
+BINS = 256
+#: Parts into which the texts of a template are dealt before they are compared.
+PARTS = 64
 PRIME = 0x9E3779B97F4A7C15
 
 
@@ -44,6 +47,7 @@ class LineParams:
     depth: int = 3
     min_documents: int = 3
     constant: float = 0.5
+    alike: float = 0.65
 
 
 def tokens_of(line: str) -> list[str]:
@@ -67,29 +71,58 @@ def chained(hashes: np.ndarray, taken: np.ndarray, sizes: np.ndarray | None = No
         return mixed(np.add.reduceat(terms, starts) + (taken if sizes is None else sizes).astype(np.uint64))
 
 
-def families(hashes: np.ndarray, sizes: np.ndarray, doc: np.ndarray, text_hash: np.ndarray) -> np.ndarray:
-    """For each line, the smallest hash of three neighbouring words in the other lines of its text.
+def text_sketches(hashes: np.ndarray, sizes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """One row of BINS values for each of ``n`` texts: the smallest three-word run in each bin, 0 for an empty bin.
 
-    Shorter lines give their single words; a text without another line its own hash.
+    Runs stay within a line; shorter lines give their single words.
     """
-    if not len(sizes):
-        return np.empty(0, np.int64)
-    most = np.iinfo(np.uint64).max
     starts = np.cumsum(sizes) - sizes
     padded = np.r_[hashes, np.zeros(2, np.uint64)]
     left = np.repeat(starts + sizes, sizes) - np.arange(len(hashes))
     with np.errstate(over="ignore"):
         grams = mixed(sum((padded[i : len(hashes) + i] * np.uint64(PRIME + 2 * i) for i in range(3)), np.uint64(0)))
     short = np.repeat(sizes < 3, sizes)
-    grams[left < 3] = most
     grams[short] = mixed(hashes[short])
-    lowest = np.minimum.reduceat(grams, starts)
-    first, of_text = np.unique(doc, return_index=True, return_inverse=True)[1:]
-    smallest = np.minimum.reduceat(lowest, first)[of_text]
-    others = np.where(lowest == smallest, most, lowest)
-    second = np.minimum.reduceat(others, first)[of_text]
-    rest = np.where(lowest == smallest, second, smallest)
-    return np.where(rest == most, text_hash[doc], rest.view(np.int64))
+    taken = short | (left >= 3)
+    grams, owner = grams[taken], np.repeat(doc, sizes)[taken]
+    slot = owner * BINS + (grams >> np.uint64(56)).astype(np.int64)
+    lowest = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(lowest, slot, grams)
+    out = np.zeros(n * BINS, np.uint16)
+    filled = np.unique(slot)
+    # the bin is in the upper bits, so the lower ones tell the runs of a bin apart
+    out[filled] = lowest[filled] % np.uint64(65521) + np.uint64(1)
+    return out.reshape(n, BINS)
+
+
+def overlap(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Estimated share of common three-word runs of one text with each of ``others``."""
+    used = ((others != 0) | (sketch != 0)).sum(axis=1)
+    return ((others == sketch) & (sketch != 0)).sum(axis=1) / np.maximum(used, 1)
+
+
+def apart(texts: DataFrame, by: list[str], p: LineParams) -> DataFrame:
+    """Up to ``min_documents`` texts of each group, none of them near copies of each other.
+
+    Texts come in the order of their hashes, so the choice repeats.
+    """
+
+    def pick(batches):
+        at, held = None, np.zeros((0, BINS), np.uint16)
+        for batch in batches:
+            chosen = np.zeros(len(batch), bool)
+            groups = batch[by].itertuples(index=False, name=None)
+            for i, (group, sketch) in enumerate(zip(groups, batch["sketch"], strict=True)):
+                if group != at:
+                    at, held = group, held[:0]
+                if len(held) < p.min_documents:
+                    own = np.frombuffer(sketch, np.uint16)
+                    if not (overlap(own, held) >= p.alike).any():
+                        held, chosen[i] = np.r_[held, own[None]], True
+            yield batch.loc[chosen, ["template", "text_hash", "sketch"]]
+
+    sorted_texts = texts.repartition(*by).sortWithinPartitions(*by, "text_hash")
+    return sorted_texts.mapInPandas(pick, "template long, text_hash long, sketch binary")
 
 
 def leaf_bitmap(leaves: DataFrame) -> np.ndarray:
@@ -106,7 +139,10 @@ def leaf_bitmap(leaves: DataFrame) -> np.ndarray:
 
 
 def scanned(docs: DataFrame, p: LineParams, keys: list[str]) -> DataFrame:
-    """One row for each line that is not blank: the keys and hashes of the line."""
+    """One row for each line that is not blank: the keys and hashes of the line.
+
+    The first line of a text also has the text's sketch.
+    """
 
     def parse(batches):
         for whole in batches:
@@ -125,12 +161,14 @@ def scanned(docs: DataFrame, p: LineParams, keys: list[str]) -> DataFrame:
                 present, size = np.unique(doc), np.bincount(doc, weights=of_line, minlength=len(split)).astype(np.int64)
                 text_hash = np.zeros(len(split), np.int64)
                 text_hash[present] = chained(codes, size[present]).view(np.int64)
-                family = families(codes, of_line, doc, text_hash)
+                sketch = np.empty(len(doc), object)
+                first = np.unique(doc, return_index=True)[1]
+                sketch[first] = [row.tobytes() for row in text_sketches(codes, of_line, doc, len(split))[present]]
                 own = {c: batch[c].to_numpy()[doc] if not batch[c].isna().any() else batch[c].iloc[doc].array for c in keys}
-                yield pd.DataFrame({**own, "line_no": number, "leaf": leaf, "masked": masked, "text_hash": text_hash[doc], "family": family})
+                yield pd.DataFrame({**own, "line_no": number, "leaf": leaf, "masked": masked, "text_hash": text_hash[doc], "sketch": sketch})
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select(keys).schema]
-    return docs.select(*keys, "text").mapInPandas(parse, ", ".join([*fields, "line_no int", "leaf long", "masked long", "text_hash long", "family long"]))
+    return docs.select(*keys, "text").mapInPandas(parse, ", ".join([*fields, "line_no int", "leaf long", "masked long", "text_hash long", "sketch binary"]))
 
 
 def masked_tokens(docs: DataFrame, p: LineParams, wanted: np.ndarray) -> DataFrame:
@@ -179,16 +217,24 @@ def line_templates(docs: DataFrame, candidates: DataFrame, p: LineParams) -> Dat
 
 
 def recurring_lines(docs: DataFrame, p: LineParams = LineParams(), keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Lines of recurring templates: the keys, line_no, template, texts, families."""
+    """Lines of recurring templates: the keys, line_no, template, texts, families.
+
+    ``families`` counts up to ``min_documents``, which decides.
+    """
     lines = settled(scanned(docs, p, list(keys)), "line-rows")
     shared = lines.groupBy("leaf").agg(F.count_distinct("text_hash").alias("n")).filter(F.col("n") >= p.min_documents).select("leaf")
-    candidates = settled(lines.join(shared, "leaf", "left_semi"), "line-candidates")
+    candidates = settled(lines.drop("sketch").join(shared, "leaf", "left_semi"), "line-candidates")
     templates = settled(line_templates(docs, candidates, p), "line-templates")
     named = candidates.join(templates, "masked", "left").withColumn("template", F.coalesce("template", "masked"))
-    named = settled(named.select(*keys, "line_no", "template", "text_hash", "family"), "line-named")
-    counted = named.groupBy("template").agg(F.count_distinct("text_hash").alias("texts"), F.count_distinct("family").alias("families"))
-    counted = counted.filter((F.col("families") >= p.min_documents) & (2 * F.col("families") >= F.col("texts")))
-    counted = settled(counted, "line-counts")
+    named = settled(named.select(*keys, "line_no", "template", "text_hash"), "line-named")
+    having = named.select("template", "text_hash").distinct()
+    counted = settled(having.groupBy("template").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= p.min_documents), "line-counts")
+    # any text of a hash has the same words; the smallest sketch makes the choice repeatable
+    sketches = settled(lines.filter("sketch is not null").groupBy("text_hash").agg(F.min("sketch").alias("sketch")), "line-sketches")
+    sketched = having.join(counted, "template", "left_semi").join(sketches, "text_hash")
+    some = settled(apart(sketched.withColumn("part", F.pmod("text_hash", F.lit(PARTS))), ["template", "part"], p), "line-apart")
+    families = apart(some, ["template"], p).groupBy("template").agg(F.count(F.lit(1)).alias("families"))
+    counted = settled(counted.join(families.filter(F.col("families") >= p.min_documents), "template"), "line-families")
     return named.join(counted, "template").select(*keys, "line_no", "template", "texts", "families")
 
 

@@ -104,6 +104,29 @@ def test_line_templates(spark, odd, none):
     assert line_dedup.drop_recurring_lines(none).count() == 0
 
 
+def dropped_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["lines_dropped"] for r in line_dedup.drop_recurring_lines(docs).collect()}
+
+
+def own_words(rng, n):
+    return " ".join(f"w{''.join(rng.choice(list('abcdefghij'), 7))}" for _ in range(n))
+
+
+def test_passages_of_unrelated_texts_are_dropped_and_copies_kept(spark):
+    rng = np.random.default_rng(5)
+    passage = [own_words(rng, 12) for _ in range(10)]
+    texts = ["\n".join([own_words(rng, 40), *passage, own_words(rng, 40)]) for _ in range(120)]
+    copied = [own_words(rng, 12) for _ in range(25)]
+    for i in range(60):
+        copy = list(copied)
+        copy[i % 25] = own_words(rng, 12)
+        texts.append("\n".join(copy))
+    dropped = dropped_of(spark, texts)
+    assert [dropped[i] for i in range(120)] == [10] * 120
+    assert not any(dropped[i] for i in range(120, 180))
+
+
 def test_length_histogram(odd, none, documents):
     encode = token_counts.encoding(token_counts.tokenizer_path("byte_bpe_50k.tiktoken")).encode_ordinary
     lengths = [len(encode(r["text"])) for r in documents.collect()]
