@@ -3,10 +3,12 @@
 A line is its whitespace-separated tokens. The tree has a fixed depth: the
 token count, then the ``depth`` leading tokens, where a token with a digit
 counts as variable. Within a leaf, a token stays constant if at least
-``min_documents`` different texts have it at that place; all others become the
-wildcard. The rest is the template, unless less than ``constant`` of the places
-are constant: then the line is a template of its own (variable tokens masked).
-This needs no order of arrival, so any number of tasks build the same tree.
+``min_documents`` texts and half of the leaf's have it at that place; all others
+become the wildcard. Lines with too few constant places (share ``constant``)
+are judged again among those of the same pattern, by a quarter of the share
+each time; what never gets enough is a template of its own (variable tokens
+masked). Shares do not depend on the size of the table, and no order of arrival
+is needed, so any number of tasks build the same tree.
 
 A template recurs, and all its lines are dropped, if ``min_documents`` texts
 that are no near copies of each other have it, whatever the number of all texts.
@@ -24,11 +26,12 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapgauge.llm.common import hashed, mixed, settled, slices
@@ -39,6 +42,7 @@ BITMAP_BITS = 1 << 22
 BINS = 256
 #: Parts into which the texts of a template are dealt before they are compared.
 PARTS = 64
+SALTS = 16
 PRIME = 0x9E3779B97F4A7C15
 
 
@@ -204,16 +208,39 @@ def line_templates(docs: DataFrame, candidates: DataFrame, p: LineParams) -> Dat
     distinct = settled(candidates.groupBy("leaf", "masked").agg(F.count_distinct("text_hash").alias("texts")), "line-masked")
     leaves = settled(distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf"), "line-leaves")
     found = masked_tokens(docs, p, leaf_bitmap(leaves)).groupBy("leaf", "masked").agg(F.first("tokens").alias("tokens"))
-    several = settled(found.join(distinct, ["leaf", "masked"]).join(leaves, "leaf", "left_semi"), "line-several")
-    placed = several.select("leaf", "masked", "texts", F.posexplode("tokens").alias("place", "token"))
-    known = placed.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).filter(F.col("n") >= p.min_documents)
-    known = settled(known.select("leaf", "place", "token", F.lit(True).alias("constant")), "line-constants")
-    marked = placed.join(known, ["leaf", "place", "token"], "left")
-    parts = F.sort_array(F.collect_list(F.struct("place", F.when(F.col("constant"), F.col("token")).alias("token"))))
-    rebuilt = marked.groupBy("leaf", "masked").agg(parts.alias("parts"))
-    share = F.expr("size(filter(parts, x -> x.token is not null)) / size(parts)")
-    general = F.when(share >= p.constant, F.xxhash64("leaf", F.transform("parts", lambda x: F.coalesce(x["token"], F.lit(0)))))
-    return rebuilt.select("masked", F.coalesce(general, F.col("masked")).alias("template"))
+    several = found.join(distinct, ["leaf", "masked"]).join(leaves, "leaf", "left_semi")
+    active = several.select("leaf", "masked", "texts", "tokens", F.expr("transform(tokens, x -> cast(null as long))").alias("pattern"), F.col("leaf").alias("cluster"))
+    active = settled(active, "line-several")
+    done, share, salt = [], 0.5, F.pmod("masked", F.lit(SALTS)).cast("int")
+    while True:
+        active = settled(refined(active, share, salt, p), "line-clusters")
+        enough = F.expr("size(filter(pattern, x -> x is not null)) / size(pattern)") >= p.constant
+        general = F.when(enough, F.xxhash64("leaf", F.transform("pattern", lambda x: F.coalesce(x, F.lit(0)))))
+        # a share of less than min_documents texts is no bound any more
+        ends = enough | (share * F.col("total") <= p.min_documents)
+        done.append(active.filter(ends).select("masked", F.coalesce(general, F.col("masked")).alias("template")))
+        active, share = active.filter(~ends).drop("total"), share / 4
+        if active.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
+def refined(lines: DataFrame, share: float, salt: Column, p: LineParams) -> DataFrame:
+    """``lines`` with the constants of their cluster in ``pattern``, the new cluster and the texts of the old one.
+
+    Constants are few for each cluster; they are repeated for SALTS parts of
+    its lines, so that a cluster with many lines is spread over tasks.
+    """
+    totals = settled(lines.groupBy("cluster").agg(F.sum("texts").alias("total")), "line-totals")
+    placed = lines.select("cluster", "texts", F.posexplode("tokens").alias("place", "token"))
+    known = placed.groupBy("cluster", "place", "token").agg(F.sum("texts").alias("n")).filter(F.col("n") >= p.min_documents)
+    known = known.join(totals, "cluster").filter(F.col("n") >= share * F.col("total"))
+    known = known.groupBy("cluster").agg(F.collect_set(F.struct("place", "token")).alias("known"))
+    known = totals.join(known, "cluster", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = F.expr("transform(tokens, (x, i) -> if(array_contains(known, named_struct('place', i, 'token', x)), x, pattern[i]))")
+    joined = lines.withColumn("salt", salt).join(known, ["cluster", "salt"])
+    pattern = F.when(F.col("known").isNull(), F.col("pattern")).otherwise(held)
+    out = joined.select("leaf", "masked", "texts", "tokens", pattern.alias("pattern"), "total")
+    return out.withColumn("cluster", F.xxhash64("leaf", F.transform("pattern", lambda x: F.coalesce(x, F.lit(0)))))
 
 
 def recurring_lines(docs: DataFrame, p: LineParams = LineParams(), keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

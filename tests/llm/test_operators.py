@@ -127,6 +127,14 @@ def test_passages_of_unrelated_texts_are_dropped_and_copies_kept(spark):
     assert not any(dropped[i] for i in range(120, 180))
 
 
+@pytest.mark.parametrize("texts", [60, 600, 6000])
+def test_templates_do_not_depend_on_the_size_of_the_table(spark, texts):
+    rng = np.random.default_rng(6)
+    names, cities = ([own_words(rng, 1) for _ in range(40)] for _ in range(2))
+    rows = [f"{own_words(rng, 20)}\nPosted in section by {rng.choice(names)} at {rng.choice(cities)} desk" for _ in range(texts)]
+    assert set(dropped_of(spark, rows).values()) == {1}
+
+
 def test_length_histogram(odd, none, documents):
     encode = token_counts.encoding(token_counts.tokenizer_path("byte_bpe_50k.tiktoken")).encode_ordinary
     lengths = [len(encode(r["text"])) for r in documents.collect()]
