@@ -116,7 +116,6 @@ def mixing_plan(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """The mix: every copy a row, range-sorted by position, columns of ``docs``."""
-    columns = docs.columns
-    each = mixing_plan(docs, p).withColumn("_position", F.explode("positions"))
-    names = [c for c in columns if c in each.columns]
-    return each.select(*names, "_position").orderBy("_position", "doc_id").select(*names)
+    packed = docs.select("doc_id", "text", "source", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    each = mixing_plan(packed, p).select("doc_id", "row", F.explode("positions").alias("position"))
+    return each.orderBy("position", "doc_id").select("row.*")

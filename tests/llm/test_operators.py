@@ -296,6 +296,15 @@ def test_mixing(odd, none, documents):
     assert mixing.mixing_plan(odd).count() == len(ODD) and mixing.mixing_plan(none).count() == 0
 
 
+def test_mix_returns_all_columns_as_they_are(spark):
+    names = ["size", "source_size", "target", "copies", "taken", "positions", "_u", "_source", "row", "position"]
+    rows = [(i, f"some words of text {i}", "ab"[i % 2], *(f"{n}{i}" for n in names)) for i in range(8)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    mixed = mixing.mixed_documents(docs)
+    found = {tuple(r) for r in mixed.collect()}
+    assert mixed.columns == docs.columns and found and found <= set(rows)
+
+
 def test_fingerprints(odd, none, documents):
     rows = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(documents, fingerprints.SketchParams(shard_chars=50_000)).collect()}
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
