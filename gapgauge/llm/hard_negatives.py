@@ -181,7 +181,9 @@ def _scored(rows: DataFrame, anchors: DataFrame, chunks: int, blocks: int, work)
     right = anchors.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     # A number of tasks that Spark does not lower: the bytes are few, the work is not.
     tasks = min(2 * chunks * blocks, MOST_TASKS)
-    left, right = (side.repartition(tasks, "chunk", "block") for side in (left, right))
+    # Of one type on both sides, or equal numbers would hash to different places.
+    keys = {c: F.col(c).cast("int") for c in ("chunk", "block")}
+    left, right = (side.withColumns(keys).repartition(tasks, "chunk", "block") for side in (left, right))
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _frame(work(a, b) if len(a) and len(b) else {})
