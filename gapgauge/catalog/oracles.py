@@ -207,6 +207,23 @@ ORACLES["load_contact_board"] = f"""WITH {BOARDS}
 ORACLES["snapshot_ingest"] = f"""WITH {BOARDS}
 {contact_board("batter", b.CONTACT_MINIMUM)} UNION ALL {contact_board("pitcher", b.CONTACT_MINIMUM)}"""
 
+
+
+def repeated(rows: str) -> str:
+    """Every entity twice, as the query makes it, of which the row with more attempts counts."""
+    return f"""SELECT * FROM (
+    SELECT * FROM {rows} UNION ALL
+    SELECT * REPLACE (attempts + CASE WHEN player_id % 2 = 0 THEN 1 ELSE -1 END AS attempts, avg_hit_speed + 1 AS avg_hit_speed) FROM {rows})"""
+
+
+def repeated_board(kind: str) -> str:
+    return f"""SELECT '{kind}' AS player_type, player_id, attempts, {r9("avg_hit_speed")}, barrels
+  FROM ({repeated(f"board_{kind}")}) WHERE attempts >= {b.CONTACT_MINIMUM}
+  QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY attempts DESC) = 1"""
+
+
+ORACLES["snapshot_ingest_repeated"] = f"""WITH {BOARDS}
+{repeated_board("batter")} UNION ALL {repeated_board("pitcher")}"""
 ORACLES["season_calendar"] = f"""WITH {CALENDAR}
 SELECT day, coalesce(rows, 0) AS rows FROM calendar LEFT JOIN day_rows USING (day)"""
 ORACLES["pending_days"] = f"""WITH {CALENDAR}
@@ -227,6 +244,15 @@ SELECT event_id, user_id, event_type,
   CASE WHEN game_date > DATE '2024-01-15' THEN props END AS props,
   CASE WHEN game_date > DATE '2024-01-15' THEN user_id + 1 END AS extra, game_date
 FROM dated"""
+ORACLES["append_lossless"] = f"""
+WITH {DATED}
+SELECT event_id, ts, props, game_date,
+  CASE WHEN day(game_date) BETWEEN 11 AND 20 THEN CAST(value AS VARCHAR) ELSE CAST(event_id + 9007199254740993 AS VARCHAR) END AS big,
+  CAST(CASE WHEN day(game_date) <= 10 THEN CAST(CAST(value AS DECIMAL(10, 2)) AS DECIMAL(22, 3))
+    WHEN day(game_date) <= 20 THEN CAST(value AS DECIMAL(22, 3)) ELSE CAST(user_id AS DECIMAL(22, 3)) END AS VARCHAR) AS money,
+  {rounding("CASE WHEN day(game_date) <= 20 THEN CAST(user_id AS DOUBLE) ELSE value END")} AS whole,
+  CASE WHEN day(game_date) <= 10 THEN user_id WHEN day(game_date) <= 20 THEN user_id + 1 END AS extra
+FROM dated"""
 ORACLES["ledger_upsert"] = f"""
 WITH {DATED},
 entries AS (
@@ -242,6 +268,17 @@ stored AS (
   FROM dated GROUP BY game_date)
 SELECT 'pitches' AS scope, day, coalesce(rows, 0) AS rows, {r9("value", digits=6)}, users
 FROM calendar LEFT JOIN stored USING (day)"""
+ORACLES["daily_ingest_damaged"] = f"""
+WITH {DATED},
+aside AS (
+  SELECT game_date, CASE event_id % 3 WHEN 0 THEN 'missing fields' WHEN 1 THEN 'surplus fields' ELSE 'unreadable value' END AS reason,
+    CASE WHEN event_id % 3 = 2 THEN 'user_id' END AS field
+  FROM dated WHERE event_id % 50 = 0)
+SELECT event_id, ts, user_id, event_type, {r9("value")}, props, game_date,
+  CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS BIGINT) AS rows
+FROM dated WHERE event_id % 50 <> 0
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, NULL, NULL, game_date, reason, field, count(*) AS rows FROM aside GROUP BY game_date, reason, field"""
 ORACLES["daily_ingest_misdated"] = f"""
 WITH {DATED} SELECT event_id, event_type, game_date AS landed_on,
   CAST(game_date + CAST(event_id % 10 = 0 AS INTEGER) AS DATE) AS game_date FROM dated"""
@@ -308,6 +345,10 @@ SELECT {PA_COLUMNS} FROM pa_rows WHERE pid IN (SELECT player_id FROM calibrated
 ORACLES["attach_contact"] = f"""WITH {GAPPED},{CONTACT}
 SELECT player_type, player_id, {r9("avg_hit_speed", "brl_percent", "ev95percent", "avg_launch_angle")}, attempts
 FROM gapped LEFT JOIN contact USING (player_type, player_id)"""
+ORACLES["attach_contact_repeated"] = f"""WITH {GAPPED},{CONTACT},
+winners AS ({repeated("contact")} QUALIFY row_number() OVER (PARTITION BY player_type, player_id ORDER BY attempts DESC) = 1)
+SELECT player_type, player_id, {r9("avg_hit_speed", "brl_percent", "ev95percent", "avg_launch_angle")}, attempts
+FROM gapped LEFT JOIN winners USING (player_type, player_id)"""
 ORACLES["pool_calibration"] = f"""WITH {CALIBRATED}
 SELECT player_type, n_qualified, {r9("gap_mean", "gap_sd", "league_mean_est_woba")} FROM pools"""
 ORACLES["pct_rank_avg"] = f"""WITH {SIGNALS}

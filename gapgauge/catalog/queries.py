@@ -176,6 +176,23 @@ def append_with_drift(spark, sf):
     return rounded(sources.read_events(spark, path))
 
 
+@query
+def append_lossless(spark, sf):
+    """Three thirds of January: other types, other spellings, numbers that no double holds."""
+    events = dated_events(spark, sf)
+    path, day = f"{scratch(spark, 'lossless')}/events", F.day(DAY_COLUMN)
+    large = F.col("event_id") + F.lit((1 << 53) + 1)
+    batches = (
+        (day <= 10, {"big": large, "Money": F.col("value").cast("decimal(10,2)"), "whole": F.col("user_id").cast("int"), "extra": F.col("user_id")}),
+        ((day > 10) & (day <= 20), {"BIG": F.col("value"), "money": F.col("value").cast("decimal(12,3)"), "whole": F.col("user_id"), "Extra": F.col("user_id") + 1}),
+        (day > 20, {"Big": large, "MONEY": F.col("user_id"), "Whole": F.col("value"), "EXTRA": F.lit(None)}),
+    )
+    for part, columns in batches:
+        sources.append_days(events.filter(part).select("event_id", "ts", "props", DAY_COLUMN, *[c.alias(n) for n, c in columns.items()]), path)
+    table = sources.read_events(spark, path)
+    return rounded(table.select("event_id", "ts", "props", DAY_COLUMN, "big", F.col("money").cast("string").alias("money"), "whole", "extra"))
+
+
 @query
 def ledger_upsert(spark, sf):
     """Hourly entries per event type and day; the last one stands."""
@@ -209,9 +226,9 @@ def landed(spark: SparkSession, sf: str, name: str) -> plans.IngestPaths:
     return paths
 
 
-def ingest_january(spark: SparkSession, paths: plans.IngestPaths) -> dict:
+def ingest_january(spark: SparkSession, paths: plans.IngestPaths, fmt: str = "parquet") -> dict:
     """January and a day more stand for the season of this table."""
-    return plans.daily_ingest(spark, paths, 2024, through=date(2024, 2, 1), season_start={2024: "2024-01-01"})
+    return plans.daily_ingest(spark, paths, 2024, through=date(2024, 2, 1), season_start={2024: "2024-01-01"}, fmt=fmt)
 
 
 @query
@@ -230,6 +247,37 @@ def daily_ingest(spark, sf):
     return rounded(ledger.join(stored, "day", "left"), 6)
 
 
+def land_damaged_csv(spark: SparkSession, sf: str, paths: plans.IngestPaths) -> None:
+    """Events as CSV by day; every 50th line is cut, has fields too many, or a user that is no number."""
+    events = dated_events(spark, sf)
+    quoted = F.concat(F.lit('"'), F.replace("props", F.lit('"'), F.lit('\\"')), F.lit('"'))
+    cells = [F.col("event_id").cast("string"), F.col("ts").cast("string"), F.col("user_id").cast("string"), F.col("event_type"), F.col("value").cast("string"), quoted]
+    way = F.when(F.col("event_id") % 50 == 0, F.col("event_id") % 3)
+    unreadable = [F.lit("n/a") if i == 2 else c for i, c in enumerate(cells)]
+    line = (
+        F.when(way == 0, F.concat_ws(",", *cells[:3]))
+        .when(way == 1, F.concat_ws(",", *cells, F.lit("more"), F.lit("")))
+        .when(way == 2, F.concat_ws(",", *unreadable))
+        .otherwise(F.concat_ws(",", *cells))
+    )
+    day = F.col(DAY_COLUMN).alias("day")
+    lines = events.select(day, F.lit(1).alias("place"), "event_id", line.alias("line"))
+    headers = events.select(day, F.lit(0).alias("place"), F.lit(0).cast("bigint").alias("event_id"), F.lit("event_id,ts,user_id,event_type,value,props").alias("line")).distinct()
+    ordered = lines.unionByName(headers).repartition("day").sortWithinPartitions("day", "place", "event_id")
+    ordered.select("day", "line").write.partitionBy("day").text(paths.landing)
+
+
+@query
+def daily_ingest_damaged(spark, sf):
+    """Rows that could be read, and what was set aside by day, reason and field."""
+    paths = ingest_paths(spark, "damaged")
+    land_damaged_csv(spark, sf, paths)
+    ingest_january(spark, paths, "csv")
+    stored = sources.read_events(spark, paths.events)
+    aside = plans.rejected_counts(spark, paths).groupBy(F.col("ingest_day").alias(DAY_COLUMN), "reason", "field").agg(F.sum("rows").alias("rows"))
+    return rounded(stored.unionByName(aside, allowMissingColumns=True).select("event_id", "ts", "user_id", "event_type", "value", "props", DAY_COLUMN, "reason", "field", "rows"))
+
+
 @query
 def daily_ingest_misdated(spark, sf):
     """Every tenth row is dated a day later than the folder it landed in; a run is repeated."""
@@ -288,6 +336,23 @@ def snapshot_ingest(spark, sf):
     return rounded(sources.read_board(spark, path, schemas.BATTED_BALL))
 
 
+def with_repeats(board: DataFrame) -> DataFrame:
+    """Every entity twice; the copy has one attempt more where the id is even, else one less."""
+    more = F.when(F.col("player_id") % 2 == 0, 1).otherwise(-1)
+    copy = board.withColumns({"attempts": F.col("attempts") + more, "avg_hit_speed": F.col("avg_hit_speed") + 1})
+    return board.unionByName(copy)
+
+
+@query
+def snapshot_ingest_repeated(spark, sf):
+    """A source that repeats entities; the row with more attempts is stored."""
+    path = f"{scratch(spark, 'repeated')}/batted_ball"
+    plans.snapshot_ingest(
+        lambda kind: with_repeats(b.board_source(spark, sf, kind)), path, b.LATE, b.LATE.year, board="contact", minimum=b.CONTACT_MINIMUM
+    )
+    return rounded(sources.read_board(spark, path, schemas.BATTED_BALL).select("player_type", "player_id", "attempts", "avg_hit_speed", "barrels"))
+
+
 @query
 def display_name(spark, sf):
     layouts = [b.named(source, layout) for layout, source in b.name_sources(spark, sf).items()]
@@ -396,6 +461,14 @@ def attach_contact(spark, sf):
     return rounded(with_contact(spark, sf).select(*sg.ENTITY, *sg.CONTACT_COLUMNS))
 
 
+@query
+def attach_contact_repeated(spark, sf):
+    """The join with a board that repeats its entities adds no rows."""
+    expected, contact = b.boards(spark, sf)
+    joined = sg.attach_contact(sg.with_gaps(sg.at_snapshot(expected), b.SIGNALS), with_repeats(sg.at_snapshot(contact)))
+    return rounded(joined.select(*sg.ENTITY, *sg.CONTACT_COLUMNS))
+
+
 @query
 def pool_calibration(spark, sf):
     return rounded(sg.pool_calibration(latest_gapped(spark, sf), b.SIGNALS))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from gapgauge.functions import null_if_nan, numeric_columns
 from gapgauge.operators.ranks import tie_averaged_percentiles
 from gapgauge.params import SignalParams
+from gapgauge.sources.boards import one_per_entity
 
+# Column names of the boards and of the percentiles.
 RATE_COLUMNS = ("ba", "est_ba", "slg", "est_slg", "woba", "est_woba", "pa", "bip")
 CONTACT_COLUMNS = ("avg_hit_speed", "brl_percent", "ev95percent", "avg_launch_angle", "attempts")
 ENTITY = ["player_type", "player_id"]
@@ -92,6 +94,7 @@ def calibrate(gapped: DataFrame, pools: DataFrame, params: SignalParams = Signal
         .withColumns(
             {
                 "proj_vs_current": F.col("proj_woba_ros") - F.col("woba"),
+                # The two texts are fixed values.
                 "direction": F.when(F.col("outlook") > 0, F.lit("positive regression")).otherwise(
                     F.lit("negative regression")
                 ),
@@ -102,8 +105,12 @@ def calibrate(gapped: DataFrame, pools: DataFrame, params: SignalParams = Signal
 
 
 def attach_contact(signals: DataFrame, contact: DataFrame) -> DataFrame:
-    """Left join of the contact board; entities without a row keep NULLs."""
-    columns = contact.select(*ENTITY, *[c for c in CONTACT_COLUMNS if c in contact.columns])
+    """Left join of the contact board; entities without a row keep NULLs.
+
+    Of an entity's repeated rows on the board the one with most attempts counts,
+    so the join never adds rows.
+    """
+    columns = one_per_entity(contact.select(*ENTITY, *[c for c in CONTACT_COLUMNS if c in contact.columns]), ENTITY, "attempts")
     missing = {c: F.lit(None).cast("double") for c in CONTACT_COLUMNS if c not in contact.columns}
     joined = signals.join(columns, ENTITY, "left")
     return joined.withColumns(missing) if missing else joined

@@ -1,4 +1,4 @@
-from gapgauge.plans.ingest import IngestPaths, daily_ingest, ingest_days, snapshot_ingest
+from gapgauge.plans.ingest import IngestPaths, daily_ingest, ingest_days, rejected_counts, snapshot_ingest
 from gapgauge.plans.refresh import Store, load_signals, refresh
 from gapgauge.plans.report import build_report, group_summary, report_rows, write_report
 from gapgauge.plans.study import study_pairs, validation_study
@@ -12,6 +12,7 @@ __all__ = [
     "ingest_days",
     "load_signals",
     "refresh",
+    "rejected_counts",
     "report_rows",
     "snapshot_ingest",
     "study_pairs",

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from gapgauge.sources.boards import load_contact_board, load_expected_board, replace_snapshot
 from gapgauge.sources.calendar import pending_days, season_calendar
-from gapgauge.sources.events import DAY_COLUMN, INGEST_DAY, append_days, normalize_event_date, read_events, storage_type, stringify_exotic, wider_type
+from gapgauge.sources.damaged import SortedRows, read_csv_days, read_json_days, read_rejected, replace_rejected
+from gapgauge.sources.events import DAY_COLUMN, INGEST_DAY, append_days, logical_types, normalize_event_date, read_events, stringify_exotic
 from gapgauge.sources.landing import day_folder, days_by_schema, read_folders
 from gapgauge.sources.ledger import ingested_days, ledger_entries, read_ledger, record_days
 from gapgauge.sources.paths import exists
@@ -20,46 +21,44 @@ from gapgauge.sources.paths import exists
 log = logging.getLogger(__name__)
 
 
+# Ledger scope of the number of lines set aside.
+REJECTED_SCOPE = "pitches_rejected"
+
+
 @dataclass(frozen=True)
 class IngestPaths:
     landing: str
     events: str
     ledger: str
+    rejected: str = ""
 
-
-def _storage_types(df: DataFrame) -> dict[str, str]:
-    typed = ((f.name, storage_type(f.dataType)) for f in df.schema.fields)
-    return {name: t for name, t in typed if t is not None}
+    @property
+    def set_aside(self) -> str:
+        """Table of malformed lines, beside the events unless given."""
+        return self.rejected or self.events.rstrip("/") + "_rejected"
 
 
-def _conform(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    own = _storage_types(df)
-    return df.select(*[F.col(f"`{n}`").cast(t).alias(n) for n, t in types.items() if n in own])
+def _dated(rows: DataFrame) -> DataFrame:
+    """Rows with the folder's day as day of ingest, and as date where they have none."""
+    if DAY_COLUMN not in (c.lower() for c in rows.columns):
+        rows = rows.withColumn(DAY_COLUMN, F.lit(None).cast("date"))
+    dated, day = normalize_event_date(stringify_exotic(rows)), F.col("day").cast("date")
+    return dated.withColumns({DAY_COLUMN: F.coalesce(DAY_COLUMN, day), INGEST_DAY: day}).drop("day")
 
 
-def read_days(spark: SparkSession, landing: str, days: Iterable[date], fmt: str = "parquet") -> DataFrame | None:
-    """Rows of the given days in one frame, whatever columns each day has.
+def read_days(spark: SparkSession, landing: str, days: Iterable[date], fmt: str = "parquet", known: dict[str, str] | None = None) -> list[SortedRows]:
+    """Rows of the given days, whatever columns each day has.
 
-    Days with the same columns are read together. Every row of a folder is kept
-    and carries the folder's day as its day of ingest; its own date may differ,
-    and where it is missing it is taken from the folder.
+    Days with the same columns are read together; others apart, since putting
+    them into one frame would force one type on a column. Every row of a folder
+    is kept and carries the folder's day as its day of ingest; its own date may
+    differ, and where it is missing it is taken from the folder.
     """
-    frames = []
-    for schema, same in days_by_schema(spark, landing, days, fmt):
-        dated = normalize_event_date(stringify_exotic(read_folders(spark, landing, same, fmt, schema)))
-        day = F.col("day").cast("date")
-        frames.append(dated.withColumns({DAY_COLUMN: F.coalesce(DAY_COLUMN, day), INGEST_DAY: day}).drop("day"))
-    if not frames:
-        return None
-    types: dict[str, str] = {}
-    for frame in frames:
-        for name, t in _storage_types(frame).items():
-            types[name] = wider_type(types.get(name, t), t)
-    conformed = [_conform(frame, types) for frame in frames]
-    batch = conformed[0]
-    for frame in conformed[1:]:
-        batch = batch.unionByName(frame, allowMissingColumns=True)
-    return batch
+    if fmt == "csv":
+        return read_csv_days(spark, landing, days, known or {})
+    if fmt == "json":
+        return read_json_days(spark, landing, days)
+    return [SortedRows(same, read_folders(spark, landing, same, fmt, schema), None) for schema, same in days_by_schema(spark, landing, days, fmt)]
 
 
 def day_counts(spark: SparkSession, events_path: str, days: list[date]) -> DataFrame:
@@ -73,17 +72,30 @@ def day_counts(spark: SparkSession, events_path: str, days: list[date]) -> DataF
 
 
 def _ingest_together(spark: SparkSession, paths: IngestPaths, days: list[date], fmt: str) -> None:
-    batch = read_days(spark, paths.landing, days, fmt)
-    if batch is not None:
-        append_days(batch, paths.events)
+    text = fmt in ("csv", "json")
+    known = logical_types(spark, paths.events) if text else None
+    for part in read_days(spark, paths.landing, days, fmt, known):
+        append_days(_dated(part.good), paths.events)
+        if text:
+            replace_rejected(part.rejected, part.days, paths.set_aside)
     listed = spark.createDataFrame([(d,) for d in days], "day date")
-    if batch is not None or exists(spark, paths.events):
+    if exists(spark, paths.events):
         counts = day_counts(spark, paths.events, days)
     else:
         counts = spark.createDataFrame([], "day date, rows bigint")
+    if text:
+        found = read_rejected(spark, paths.set_aside).filter(F.col(INGEST_DAY).isin(days))
+        aside = found.groupBy(F.col(INGEST_DAY).alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+        record_days(ledger_entries(aside, listed, REJECTED_SCOPE), paths.ledger)
     record_days(ledger_entries(counts, listed), paths.ledger)
 
 
+def rejected_counts(spark: SparkSession, paths: IngestPaths) -> DataFrame:
+    """Malformed lines by day of ingest, file, reason and field."""
+    found = read_rejected(spark, paths.set_aside)
+    return found.groupBy(INGEST_DAY, "file", "reason", "field").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def ingest_days(spark: SparkSession, paths: IngestPaths, days: list[date], fmt: str = "parquet") -> dict[date, str]:
     """Ingest days in one job; if it fails, one by one so that good days go in.
 
@@ -92,6 +104,10 @@ def ingest_days(spark: SparkSession, paths: IngestPaths, days: list[date], fmt:
     and why; they are not recorded and will be asked for again. So is a day
     whose folder does not exist yet; a day without events has a folder without
     data files (a marker in it will do) and is recorded with no rows.
+
+    Malformed lines of text files are set aside in a table of their own, by day
+    and file, and their number is recorded beside that of the rows; a day of
+    which most lines are malformed fails.
     """
     landed = [d for d in days if exists(spark, day_folder(paths.landing, d))]
     missing = {d: "not landed yet" for d in days if d not in landed}

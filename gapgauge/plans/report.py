@@ -32,6 +32,7 @@ REPORT_COLUMNS = [
 ]
 
 LINE = "section int, kind_no int, part int, sort_key double, sort_id bigint, line string"
+ROW = "_row"
 HEAD, GROUPS, TRENDS = 0, 1, 2
 BREAKOUT, REGRESSION, ALL = 1, 3, 5  # even parts hold the text between the lists
 
@@ -101,7 +102,8 @@ def build_report(
 ) -> DataFrame:
     """Lines of the JSON document with the columns that put them in order."""
     spark = signals.sparkSession
-    signals = cut_lineage(null_safe(signals))
+    # A number for every written row, since an entity may be repeated.
+    signals = cut_lineage(null_safe(signals).withColumn(ROW, F.monotonically_increasing_id()))
     summary = {r["player_type"]: r for r in group_summary(signals).collect()}  # at most one row per kind
     if not summary and signals.isEmpty():
         raise ValueError("no signals to report")
@@ -113,6 +115,7 @@ def build_report(
 
     stamp = (generated_at or datetime.now(timezone.utc)).isoformat(timespec="seconds")
     batter, pitcher = params.signals.batter, params.signals.pitcher
+    # Keys of the document.
     method = {
         "min_pa_batter": batter.min_pa,
         "min_pa_pitcher": pitcher.min_pa,
@@ -137,13 +140,13 @@ def build_report(
     position = F.col("position")
     # The first entity of each full ranking, one row per kind.
     leaders = F.broadcast(
-        qualified.groupBy("player_type").agg(F.min(F.struct(-F.col("est_woba"), "player_id")).alias("leader"))
+        qualified.groupBy("player_type").agg(F.min(F.struct(-F.col("est_woba"), "player_id", ROW)).alias("leader"))
     )
     ranked = qualified.join(leaders, "player_type")
     parts = [
         _elements(top_n(signals, params.top_n), params, BREAKOUT, position, position == 1),
         _elements(bottom_n(signals, params.top_n), params, REGRESSION, position, position == 1),
-        _elements(ranked, params, ALL, -F.col("est_woba"), F.col("player_id") == F.col("leader.player_id")),
+        _elements(ranked, params, ALL, -F.col("est_woba"), F.col(ROW) == F.col(f"leader.{ROW}")),
     ]
     trends = {} if events is None else build_trends(signals, events, params, as_of)
     for order, (i, kind) in enumerate([(i, k) for i, k in present if k in trends]):
@@ -171,5 +174,6 @@ def build_report(
 
 def write_report(lines: DataFrame, path: str) -> None:
     """Text part files that hold the JSON document when read in order."""
-    ordered = lines.orderBy("section", "kind_no", "part", "sort_key", "sort_id")
+    # Of lines in the same place the one without a comma comes first.
+    ordered = lines.orderBy("section", "kind_no", "part", "sort_key", "sort_id", F.desc("line"))
     ordered.select("line").write.mode("overwrite").text(path)

@@ -12,6 +12,7 @@ _TYPES = {
     "int": T.IntegerType(),
     "bigint": T.LongType(),
     "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
 }
 
 

@@ -1,4 +1,4 @@
-from gapgauge.sources.boards import load_contact_board, load_expected_board, project_board, read_board, replace_snapshot
+from gapgauge.sources.boards import load_contact_board, load_expected_board, one_per_entity, project_board, read_board, replace_snapshot
 from gapgauge.sources.calendar import pending_days, season_calendar
 from gapgauge.sources.events import append_days, normalize_event_date, read_events, stringify_exotic
 from gapgauge.sources.landing import read_landing_day
@@ -12,6 +12,7 @@ __all__ = [
     "load_contact_board",
     "load_expected_board",
     "normalize_event_date",
+    "one_per_entity",
     "pending_days",
     "project_board",
     "read_board",

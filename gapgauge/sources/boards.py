@@ -75,16 +75,34 @@ def load_contact_board(
     return project_board(kept, schemas.BATTED_BALL, kind, snapshot, renames=CONTACT_RENAMES)
 
 
+def one_per_entity(board: DataFrame, keys: list[str], sample: str) -> DataFrame:
+    """The row with the largest sample of every key; ties go by the other columns, in order.
+
+    Partial maxima are merged, so a key that is repeated very often costs one
+    row per task.
+    """
+    rest = [c for c in board.columns if c not in (*keys, sample)]
+    present = [sample] if sample in board.columns else []
+    best = board.groupBy(*keys).agg(F.max(F.struct(*present, *rest)).alias("best"))
+    return best.select(*[c if c in keys else F.col(f"best.{c}").alias(c) for c in board.columns])
+
+
 def replace_snapshot(board: DataFrame, path: str) -> None:
     """Write a board; a second run for the same date and kind replaces the first.
 
-    Only the partitions present in ``board`` are overwritten. Rows are
-    gathered by partition first, so a snapshot is a few files, and a large
-    one is split over several tasks by entity.
+    (snapshot_date, player_type, player_id) is a key of the stored table: of an
+    entity's repeated rows the one with the largest sample is kept. Rows without
+    an id refer to nobody and are kept as they are. Only the partitions present
+    in ``board`` are overwritten. Rows are gathered by partition first, so a
+    snapshot is a few files, and a large one is split over several tasks by
+    entity.
     """
     keys = ["snapshot_date", "player_type"]
+    known = F.col("player_id").isNotNull()
+    unique = one_per_entity(board.filter(known), [*keys, "player_id"], "pa" if "pa" in board.columns else "attempts")
     (
-        board.hint("rebalance", *keys)
+        unique.unionByName(board.filter(~known))
+        .hint("rebalance", *keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys)

@@ -14,8 +14,7 @@ from gapgauge.sources.paths import has_data_files
 # Files of one day may differ too, so their schemas are merged.
 READ_OPTIONS = {
     "parquet": {"mergeSchema": "true"},
-    "csv": {"header": "true", "inferSchema": "true", "mode": "PERMISSIVE"},
-    "json": {"mode": "PERMISSIVE"},
+    "csv": {"header": "true", "inferSchema": "true"},
 }
 
 
@@ -43,9 +42,8 @@ def days_by_schema(
 ) -> list[tuple[T.StructType, list[date]]]:
     """Days that can be read together, with their common schema.
 
-    Parquet files name their columns, so one look at all footers usually gives
-    one schema for all days. Where types clash, and for text files, whose
-    columns are known by position only, every day is looked at by itself.
+    One look at all footers usually gives one schema for all days. Where types
+    clash every day is looked at by itself. Text files are read by ``damaged``.
     """
     landed = [d for d in days if has_data_files(spark, day_folder(landing, d))]
     if not landed:

@@ -20,6 +20,12 @@ def make_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(target)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the table that is about to be written anew."""
+    fs, target = _hadoop(spark, path)
+    fs.delete(target, True)
+
+
 def _hidden(name: str) -> bool:
     """Names that Spark's readers pass over, too."""
     return name.startswith(".") or (name.startswith("_") and "=" not in name)
