@@ -23,6 +23,8 @@ EARLY, LATE = date(1998, 12, 31), date(2001, 12, 31)
 # Gates that fit the test tables, where a pitcher has about 30 appearances.
 SIGNALS = SignalParams().with_min_pa(batter=150, pitcher=20)
 STUDY = StudyParams(windows=(180, 360, 720), min_pa=20, bootstrap=50, permutations=50)
+# A study within one year has room for short windows only.
+STUDY_YEAR, SHORT_WINDOWS = 2000, (30, 60, 120)
 TRENDS = TrendParams(window=50, days=None)
 REPORT = ReportParams(signals=SIGNALS, trend=TRENDS)
 CONTACT_MINIMUM = 20
@@ -34,8 +36,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event rows in the layout the analysis reads."""
-    contact = F.col("l_returnflag") != "R"
+    return table(spark, sf_dir, "lineitem").select(*_pitch_columns())
+
+
+def detailed_pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with count, type of pitch and the sides of both entities.
+
+    Some strikes, types and sides are unknown, and some pitchers and batters meet
+    one side only.
+    """
+    types = F.array(*[F.lit(t) for t in ("FF", "SL", "CH", "CU")])
     return table(spark, sf_dir, "lineitem").select(
+        *_pitch_columns(),
+        (F.col("l_linenumber") % 4).alias("balls"),
+        F.when(F.col("l_quantity") <= 48, F.col("l_quantity").cast("int") % 3).alias("strikes"),
+        F.when(F.col("l_orderkey") % 5 < 4, F.get(types, (F.col("l_orderkey") % 5).cast("int"))).alias("pitch_type"),
+        F.when(F.col("l_partkey") % 50 == 0, "R").when(F.col("l_suppkey") % 3 == 0, "L").otherwise("R").alias("stand"),
+        F.when(F.col("l_suppkey") % 10 == 0, F.when(F.col("l_quantity") > 25, "L"))
+        .when(F.col("l_partkey") % 3 == 0, "L")
+        .otherwise("R")
+        .alias("p_throws"),
+    )
+
+
+def _pitch_columns() -> list[Column]:
+    contact = F.col("l_returnflag") != "R"
+    return [
         F.col("l_suppkey").alias("batter"),
         F.col("l_partkey").alias("pitcher"),
         F.col("l_shipdate").cast("date").alias("game_date"),
@@ -51,7 +77,7 @@ def pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), 0).otherwise(1).alias("woba_denom"),
         F.when(contact, F.col("l_quantity") + 60).alias("launch_speed"),
         F.when(contact, F.col("l_linenumber") * F.lit(5.0)).alias("launch_angle"),
-    )
+    ]
 
 
 def _entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

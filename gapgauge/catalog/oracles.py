@@ -268,6 +268,8 @@ stored AS (
   FROM dated GROUP BY game_date)
 SELECT 'pitches' AS scope, day, coalesce(rows, 0) AS rows, {r9("value", digits=6)}, users
 FROM calendar LEFT JOIN stored USING (day)"""
+ORACLES["stream_dedup"] = f"""
+WITH {DATED} SELECT event_id, ts, user_id, event_type, {r9("value")}, props, game_date FROM dated"""
 ORACLES["daily_ingest_damaged"] = f"""
 WITH {DATED},
 aside AS (
@@ -468,12 +470,70 @@ ORACLES["rolling_trends"] = f"WITH {PITCHES},{rolled('batter')},{points()}"
 ORACLES["flagged_trends"] = f"""WITH {CALIBRATED},{PICKED},{rolled("pitcher")},
 {points("AND pid IN (SELECT player_id FROM picked WHERE player_type = 'pitcher')")}"""
 
+# Splits
+
+DETAILED = """
+detailed AS (
+  SELECT l_suppkey AS batter, l_partkey AS pitcher, l_linenumber % 4 AS balls,
+    CASE WHEN l_quantity <= 48 THEN CAST(l_quantity AS INTEGER) % 3 END AS strikes,
+    CASE l_orderkey % 5 WHEN 0 THEN 'FF' WHEN 1 THEN 'SL' WHEN 2 THEN 'CH' WHEN 3 THEN 'CU' END AS pitch_type,
+    CASE WHEN l_partkey % 50 = 0 THEN 'R' WHEN l_suppkey % 3 = 0 THEN 'L' ELSE 'R' END AS stand,
+    CASE WHEN l_suppkey % 10 = 0 THEN CASE WHEN l_quantity > 25 THEN 'L' END WHEN l_partkey % 3 = 0 THEN 'L' ELSE 'R' END AS p_throws,
+    NOT (l_returnflag = 'N' AND l_linestatus = 'O') AS completed,
+    CASE WHEN l_quantity <= 48 THEN CAST(round(l_tax * 100) AS INTEGER) * 13 / 256::DOUBLE ELSE 0 END AS w,
+    CASE WHEN l_returnflag <> 'R' THEN CAST(round(l_discount * 100) AS INTEGER) * 41 / 1024::DOUBLE END AS contact
+  FROM lineitem),
+valued AS (SELECT *, coalesce(contact, w) AS x FROM detailed)"""
+
+ORACLES["count_state_splits"] = f"""WITH {DETAILED},
+states AS (
+  SELECT batter AS pid, balls, strikes, 0 AS level, w, x FROM valued WHERE completed
+  UNION ALL SELECT batter, balls, NULL, 1, w, x FROM valued WHERE completed
+  UNION ALL SELECT batter, NULL, strikes, 2, w, x FROM valued WHERE completed
+  UNION ALL SELECT batter, NULL, NULL, 3, w, x FROM valued WHERE completed),
+rates AS (
+  SELECT pid, balls, strikes, level, count(*) AS n, avg(w) AS woba, avg(x) AS est_woba FROM states GROUP BY pid, balls, strikes, level)
+SELECT pid, balls, strikes, level, n, {r9("woba", "est_woba")}, {rounding("est_woba - woba")} AS gap FROM rates"""
+ORACLES["pitch_type_mix"] = f"""WITH {DETAILED},
+typed AS (SELECT pitcher AS pid, pitch_type, completed, x FROM valued WHERE pitch_type IS NOT NULL),
+kind AS (SELECT avg(x) AS kind_rate FROM typed WHERE completed),
+entities AS (
+  SELECT pid, count(*) AS n, (coalesce(sum(x) FILTER (completed), 0) + any_value(kind_rate) * 250) / (count(*) FILTER (completed) + 250) AS rate
+  FROM typed, kind GROUP BY pid),
+types AS (
+  SELECT pid, pitch_type, count(*) AS k, count(*) FILTER (completed) AS n_pa, coalesce(sum(x) FILTER (completed), 0) AS s FROM typed GROUP BY pid, pitch_type)
+SELECT pid, n, {r9("rate")}, pitch_type, {rounding("k / CAST(n AS DOUBLE)")} AS share, n_pa, {rounding("(s + rate * 50) / (n_pa + 50)")} AS type_rate
+FROM entities JOIN types USING (pid)"""
+
+
+def platoon(role: str, side: str) -> str:
+    return f"""SELECT '{role}' AS role, {role} AS pid, count(*) FILTER ({side} = 'L') AS n_left, count(*) FILTER ({side} = 'R') AS n_right,
+    avg(w) FILTER ({side} = 'L') AS left_rate, avg(w) FILTER ({side} = 'R') AS right_rate,
+    var_samp(w) FILTER ({side} = 'L') AS var_left, var_samp(w) FILTER ({side} = 'R') AS var_right
+  FROM valued WHERE completed AND {side} IS NOT NULL GROUP BY {role}"""
+
+
+PLATOON = f"""{DETAILED},
+sides AS ({platoon("batter", "p_throws")} UNION ALL {platoon("pitcher", "stand")}),
+platoons AS (SELECT *, left_rate - right_rate AS difference, var_left / n_left + var_right / n_right AS variance FROM sides)"""
+ORACLES["platoon_splits"] = f"""WITH {PLATOON}
+SELECT role, pid, n_left, n_right, {r9("left_rate", "right_rate", "difference", "variance")},
+  {rounding("difference / sqrt(nullif(variance, 0))")} AS z FROM platoons"""
+ORACLES["platoon_summary"] = f"""WITH {PLATOON},
+weighted AS (SELECT *, n_left * n_right / CAST(n_left + n_right AS DOUBLE) AS weight FROM platoons WHERE role = 'batter' AND variance IS NOT NULL),
+total AS (
+  SELECT count(*) AS n_entities, sum(weight * difference) / sum(weight) AS difference,
+    sum(weight * weight * variance) / pow(sum(weight), 2) AS variance
+  FROM weighted)
+SELECT n_entities, {r9("difference", "variance")}, {rounding("difference / sqrt(variance)")} AS z FROM total"""
+
 # Validation study
 
-_windows = ", ".join(str(w) for w in b.STUDY.windows)
-PAIRS = f"""{PITCHES},{pa_rows()},
+
+def pairs(windows: tuple[int, ...] = b.STUDY.windows, min_pa: int = b.STUDY.min_pa, role: str = "batter", extra: str = "") -> str:
+    return f"""{PITCHES},{pa_rows(role, extra)},
 extent AS (SELECT min(game_date) AS lo, max(game_date) AS hi FROM pitches),
-windows AS (SELECT unnest([{_windows}]) AS win),
+windows AS (SELECT unnest([{", ".join(str(w) for w in windows)}]) AS win),
 blocks AS (
   SELECT win, half, lo + CAST(half * win AS INTEGER) AS a, lo + CAST((half + 1) * win AS INTEGER) AS m,
     lo + CAST((half + 2) * win AS INTEGER) AS z
@@ -487,16 +547,25 @@ second_half AS (
   FROM blocks JOIN pa_rows ON game_date >= m AND game_date < z GROUP BY ALL),
 pairs AS (
   SELECT * FROM first_half JOIN second_half USING (win, half, pid)
-  WHERE pa_1 >= {b.STUDY.min_pa} AND pa_2 >= {b.STUDY.min_pa}
+  WHERE pa_1 >= {min_pa} AND pa_2 >= {min_pa}
   QUALIFY count(*) OVER (PARTITION BY win, half) >= {b.STUDY.min_pairs})"""
 
-NUMBERED = f"""{PAIRS},
+
+PAIRS = pairs()
+_windows = ", ".join(str(w) for w in b.STUDY.windows)
+
+
+def numbered(source: str) -> str:
+    return f"""{source},
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY win ORDER BY half, pid % 1021, pid) - 1 AS idx,
     row_number() OVER (PARTITION BY win, half ORDER BY pid % 1021, pid) - 1 AS blk_idx,
     count(*) OVER (PARTITION BY win) AS n, count(*) OVER (PARTITION BY win, half) AS n_block
   FROM pairs)"""
 
+
+NUMBERED = numbered(PAIRS)
+
 ORACLES["table_extent"] = f"""WITH {PITCHES}
 SELECT min(game_date) AS first_day, max(game_date) AS last_day, count(*) AS n_rows FROM pitches"""
 ORACLES["eligible_entities"] = f"""WITH {PITCHES}
@@ -528,16 +597,28 @@ stats AS (
 _stat_columns = r9("sd_w1", "sd_x1", "r_w", "r_x", "dr", "b_partial", "b_coupled", "rmse_w", "rmse_x")
 
 
-def draw(kind: str) -> str:
-    text = f"'{b.STUDY.seed}|{kind}|' || win || '|' || rep || '|' || idx"
+def draw(kind: str, of: str = "win || '|' || rep || '|' || idx") -> str:
+    text = f"'{b.STUDY.seed}|{kind}|' || {of}"
     return f"CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT) / {float(1 << 48):.0f}::DOUBLE"
 
 
-BOOT = f"""{NUMBERED},
-reps AS (SELECT unnest(range(0, {b.STUDY.bootstrap})) AS rep),
+def boot(replicates: int = b.STUDY.bootstrap) -> str:
+    return f"""
+reps AS (SELECT unnest(range(0, {replicates})) AS rep),
 draws AS (SELECT win, rep, CAST(floor({draw("boot")} * n) AS BIGINT) AS idx FROM numbered, reps),
 resampled AS (SELECT rep, numbered.* FROM draws JOIN numbered USING (win, idx)),
 {statistics("resampled", "win, rep")}"""
+
+
+BOOT = f"{NUMBERED},{boot()}"
+# Every pair as often as its Poisson(1) number says.
+POISSON = f"""{PAIRS},
+reps AS (SELECT unnest(range(0, {b.STUDY.bootstrap})) AS rep),
+drawn AS (SELECT *, {draw("poisson", "win || '|' || half || '|' || pid || '|' || rep")} AS u FROM pairs, reps),
+chances AS (
+  SELECT k, exp(-1) * sum(1 / CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE)) OVER (ORDER BY k) AS p FROM (SELECT unnest(range(0, 17)) AS k)),
+resampled AS (SELECT drawn.* FROM drawn JOIN chances ON u >= p),
+{statistics("resampled", "win, rep")}"""
 BOOT_CI = """
 boot AS (
   SELECT win, count(*) AS n_boot, quantile_cont(dr, 0.025) AS dr_lo, quantile_cont(dr, 0.975) AS dr_hi,
@@ -554,16 +635,27 @@ placed AS (
   FROM numbered, perms)"""
 
 
-PERM = f"""{shuffled(b.STUDY.permutations)},
+def perm(replicates: int = b.STUDY.permutations) -> str:
+    return f"""{shuffled(replicates)},
 permuted AS (
   SELECT p.rep, k.win, k.woba_1, k.woba_2, p.xwoba_1
   FROM placed p JOIN numbered k ON p.win = k.win AND p.half = k.half AND p.pos = k.blk_idx),
 slopes AS (
   SELECT win, rep, regr_slope(woba_2 - woba_1, xwoba_1 - woba_1) AS b_coupled FROM permuted GROUP BY win, rep)"""
+
+
+PERM = perm()
 PERM_NULL = """
+null_counts AS (
+  SELECT win, count(s.b_coupled) AS n_perm, avg(s.b_coupled) AS null_mean, quantile_cont(s.b_coupled, 0.975) AS null_hi,
+    count(*) FILTER (s.b_coupled >= o.slope) AS n_above, count(*) FILTER (s.b_coupled <= o.slope) AS n_below
+  FROM slopes s JOIN (SELECT win, regr_slope(woba_2 - woba_1, xwoba_1 - woba_1) AS slope FROM pairs GROUP BY win) o USING (win)
+  GROUP BY win),
 null_band AS (
-  SELECT win, count(b_coupled) AS n_perm, avg(b_coupled) AS null_mean, quantile_cont(b_coupled, 0.975) AS null_hi
-  FROM slopes GROUP BY win)"""
+  SELECT *, (1 + n_above) / CAST(1 + n_perm AS DOUBLE) AS p_above, (1 + n_below) / CAST(1 + n_perm AS DOUBLE) AS p_below,
+    least(1.0, 2 * (1 + least(n_above, n_below)) / CAST(1 + n_perm AS DOUBLE)) AS p_both
+  FROM null_counts)"""
+NULL_COLUMNS = f"n_perm, {r9('null_mean', 'null_hi')}, n_above, n_below, {r9('p_above', 'p_below', 'p_both')}"
 
 ORACLES["predictive_stats"] = f"WITH {PAIRS},{statistics('pairs', 'win')} SELECT win, n, {_stat_columns} FROM stats"
 ORACLES["bootstrap_replicates"] = f"WITH {BOOT} SELECT win, rep, n, {_stat_columns} FROM stats"
@@ -571,19 +663,32 @@ ORACLES["bootstrap_ci"] = f"WITH {BOOT},{BOOT_CI} SELECT win, n_boot, {r9('dr_lo
 ORACLES["null_shuffle_rank"] = f"WITH {NUMBERED},{shuffled(5)} SELECT rep, win, half, blk_idx, pos FROM placed"
 ORACLES["permutation_replicates"] = f"WITH {NUMBERED},{PERM} SELECT win, rep, {r9('b_coupled')} FROM slopes"
 ORACLES["permutation_null"] = f"""WITH {NUMBERED},{PERM},{PERM_NULL}
-SELECT win, n_perm, {r9("null_mean", "null_hi")} FROM null_band"""
-ORACLES["validation_study"] = f"""
-WITH {BOOT.replace("stats AS", "boot_stats AS").replace("moments", "boot_moments")},
-{BOOT_CI.replace("FROM stats", "FROM boot_stats")},{PERM},{PERM_NULL},{statistics("pairs", "win")},
+SELECT win, {NULL_COLUMNS} FROM null_band"""
+
+
+def study(source: str, bootstrap: int, permutations: int) -> str:
+    resampled = boot(bootstrap).replace("stats AS", "boot_stats AS").replace("moments", "boot_moments")
+    return f"""
+WITH {numbered(source)},{resampled},
+{BOOT_CI.replace("FROM stats", "FROM boot_stats")},{perm(permutations)},{PERM_NULL},{statistics("pairs", "win")},
 counted AS (SELECT win, count(DISTINCT half) AS n_blocks FROM pairs GROUP BY win)
 SELECT CAST(w.win AS INTEGER) AS win, n_blocks, n, {r9("r_w", "r_x", "dr", "b_partial", "b_coupled", "rmse_w", "rmse_x")},
-  n_boot, {r9("dr_lo", "dr_hi", "bp_lo", "bp_hi")}, n_perm, {r9("null_mean", "null_hi")},
+  n_boot, {r9("dr_lo", "dr_hi", "bp_lo", "bp_hi")}, {NULL_COLUMNS},
   CASE WHEN n_blocks IS NULL THEN 'not enough paired blocks' ELSE
     CASE WHEN dr_lo IS NULL THEN 'inconclusive' WHEN dr_lo > 0 THEN 'xwOBA wins' WHEN dr_hi < 0 THEN 'wOBA wins'
       ELSE 'no evidence' END
     || CASE WHEN n_blocks < 3 THEN ' (only ' || n_blocks || ' blk)' ELSE '' END END AS verdict
 FROM windows w LEFT JOIN counted USING (win) LEFT JOIN stats USING (win) LEFT JOIN boot USING (win)
   LEFT JOIN null_band USING (win)"""
+
+
+ORACLES["validation_study"] = study(PAIRS, b.STUDY.bootstrap, b.STUDY.permutations)
+ORACLES["validation_study_year"] = study(
+    pairs(b.SHORT_WINDOWS, 5, extra=f"AND game_date BETWEEN DATE '{b.STUDY_YEAR}-01-01' AND DATE '{b.STUDY_YEAR}-12-31'"), 20, 20
+)
+ORACLES["validation_study_pitcher"] = study(pairs(min_pa=5, role="pitcher"), 20, 20)
+ORACLES["poisson_replicates"] = f"WITH {POISSON} SELECT win, rep, n, {_stat_columns} FROM stats"
+ORACLES["poisson_ci"] = f"WITH {POISSON},{BOOT_CI} SELECT win, n_boot, {r9('dr_lo', 'dr_hi', 'bp_lo', 'bp_hi')} FROM boot"
 ORACLES["window_sweep_empty"] = f"""
 WITH {PAIRS.replace(f"[{_windows}]", "[720, 2000, 3000]")},
 counted AS (SELECT win, count(DISTINCT half) AS n_blocks, count(*) AS n FROM pairs GROUP BY win)

@@ -26,7 +26,7 @@ from gapgauge.sources.events import DAY_COLUMN
 from gapgauge.sources.landing import day_folder
 from gapgauge.sources.ledger import latest_entries, ledger_entries
 from gapgauge.sources.paths import make_folder
-from gapgauge.streaming import ingest_stream
+from gapgauge.streaming import dedup_stream, ingest_stream
 
 SHIFT = 3e-11
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,6 +317,22 @@ def stream_ingest(spark, sf):
     return rounded(sources.read_events(spark, paths.events).select("event_id", "user_id", "event_type", "value", DAY_COLUMN))
 
 
+@query
+def stream_dedup(spark, sf):
+    """All events land twice in other files, the second time under other days; every event is stored once."""
+    paths, checkpoint = ingest_paths(spark, "dedup"), scratch(spark, "dedup-checkpoint")
+    number = F.col("event_id")
+    keyed = dated_events(spark, sf).withColumns({"game_pk": F.floor(number / 100), "at_bat_number": F.floor(number / 10) % 10, "pitch_number": number % 10})
+    for run in (0, 1):
+        shuffled = keyed.repartition(5, F.xxhash64("event_id", F.lit(run))).withColumn("day", F.date_add(DAY_COLUMN, run))
+        # The first time two thirds come, then all of them.
+        come = shuffled.filter(F.lit(bool(run)) | (number % 3 > 0))
+        come.write.mode("append").partitionBy("day").parquet(paths.landing)
+        dedup_stream(spark, paths, checkpoint, keyed.schema, event_time="ts", delay="60 days").awaitTermination()
+    table = sources.read_events(spark, paths.events)
+    return rounded(table.select("event_id", "ts", "user_id", "event_type", "value", "props", DAY_COLUMN))
+
+
 @query
 def replace_snapshot(spark, sf):
     """A snapshot written twice on one date holds the second run only."""
@@ -599,6 +615,41 @@ def flagged_trends(spark, sf):
     return trends.select("pid", F.explode("points").alias("p")).select("pid", "p.*")
 
 
+# Splits
+
+
+@query
+def count_state_splits(spark, sf):
+    """Every batter by balls and strikes, with totals."""
+    return rounded(op.count_state_splits(b.detailed_pitches(spark, sf)))
+
+
+@query
+def pitch_type_mix(spark, sf):
+    """Shares and shrunk rates of every pitcher's types of pitch."""
+    mix = op.pitch_type_mix(b.detailed_pitches(spark, sf))
+    types = mix.select("pid", "n", "rate", F.explode("mix").alias("pitch_type", "of_type"))
+    return rounded(types.select("pid", "n", "rate", "pitch_type", "of_type.share", "of_type.n_pa", F.col("of_type.rate").alias("type_rate")))
+
+
+def all_platoon_splits(spark: SparkSession, sf: str) -> DataFrame:
+    events = b.detailed_pitches(spark, sf)
+    roles = [op.platoon_splits(events, role).withColumn("role", F.lit(role)) for role in ("batter", "pitcher")]
+    return roles[0].unionByName(roles[1])
+
+
+@query
+def platoon_splits(spark, sf):
+    """Left less right of every entity of both kinds; some met one side only."""
+    return rounded(all_platoon_splits(spark, sf))
+
+
+@query
+def platoon_summary(spark, sf):
+    """The matched difference over all batters."""
+    return rounded(op.platoon_summary(op.platoon_splits(b.detailed_pitches(spark, sf))))
+
+
 # Validation study
 
 
@@ -652,6 +703,16 @@ def bootstrap_ci(spark, sf):
     return rounded(op.bootstrap_ci(numbered(spark, sf), b.STUDY.bootstrap, b.STUDY.seed))
 
 
+@query
+def poisson_replicates(spark, sf):
+    return rounded(op.poisson_replicates(paired(spark, sf), b.STUDY.bootstrap, b.STUDY.seed))
+
+
+@query
+def poisson_ci(spark, sf):
+    return rounded(op.poisson_ci(paired(spark, sf), b.STUDY.bootstrap, b.STUDY.seed))
+
+
 @query
 def null_shuffle_rank(spark, sf):
     positions = resampling.shuffled_positions(numbered(spark, sf), 5, b.STUDY.seed)
@@ -673,6 +734,20 @@ def validation_study(spark, sf):
     return rounded(plans.validation_study(b.pitches(spark, sf), b.STUDY))
 
 
+@query
+def validation_study_year(spark, sf):
+    """Appearances of one calendar year, blocks anchored at the first day of all."""
+    params = b.StudyParams(windows=b.SHORT_WINDOWS, min_pa=5, bootstrap=20, permutations=20)
+    return rounded(plans.validation_study(b.pitches(spark, sf), params, year=b.STUDY_YEAR))
+
+
+@query
+def validation_study_pitcher(spark, sf):
+    """The study of the other kind."""
+    params = b.StudyParams(windows=b.STUDY.windows, min_pa=5, bootstrap=20, permutations=20)
+    return rounded(plans.validation_study(b.pitches(spark, sf), params, role="pitcher"))
+
+
 @query
 def window_sweep_empty(spark, sf):
     """Windows longer than the data next to one that fits: the former have no pairs."""

@@ -10,14 +10,16 @@ from gapgauge.operators.blocks import (
 from gapgauge.operators.checks import signal_checks
 from gapgauge.operators.ordinals import entity_ordinals
 from gapgauge.operators.ranks import tie_averaged_percentiles
-from gapgauge.operators.resampling import bootstrap_ci, bootstrap_replicates, permutation_null, permutation_replicates
+from gapgauge.operators.resampling import bootstrap_ci, bootstrap_replicates, permutation_null, permutation_replicates, poisson_ci, poisson_replicates
 from gapgauge.operators.signals import build_signals
-from gapgauge.operators.statistics import predictive_stats, verdict
+from gapgauge.operators.splits import count_state_splits, pitch_type_mix, platoon_splits, platoon_summary
+from gapgauge.operators.statistics import predictive_stats, verdict, weighted_predictive_stats
 from gapgauge.operators.toplists import bottom_n, ranked_all, top_n
 from gapgauge.operators.trends import rolling_means, rolling_trends, trend_points
 
 __all__ = [
     "block_pairs",
+    "count_state_splits",
     "bootstrap_ci",
     "bootstrap_replicates",
     "bottom_n",
@@ -31,6 +33,11 @@ __all__ = [
     "paired_halves",
     "permutation_null",
     "permutation_replicates",
+    "pitch_type_mix",
+    "platoon_splits",
+    "platoon_summary",
+    "poisson_ci",
+    "poisson_replicates",
     "predictive_stats",
     "ranked_all",
     "rolling_means",
@@ -40,4 +47,5 @@ __all__ = [
     "top_n",
     "trend_points",
     "verdict",
+    "weighted_predictive_stats",
 ]

@@ -9,12 +9,13 @@ its rows are reduced to moments inside each task before anything is shuffled.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapgauge.functions import unit_draw
-from gapgauge.operators.statistics import predictive_stats
+from gapgauge.operators.statistics import predictive_stats, weighted_predictive_stats
 
 # Pairs up to this number (three doubles and a row number each, 16 MB in all)
 # are sent to every task; beyond it both sides are shuffled on the row number.
@@ -25,13 +26,13 @@ ROWS_PER_TASK = 2_000_000
 SORT_ROWS = 262_144
 
 
-def _spread(indexed: DataFrame, replicates: int) -> tuple[DataFrame, int]:
+def _spread(indexed: DataFrame, replicates: int, by: Sequence[str] = ("win", "idx")) -> tuple[DataFrame, int]:
     """Rows x replicates, over enough tasks; also the number of pairs."""
     n_pairs = indexed.count()
     floor = indexed.sparkSession.sparkContext.defaultParallelism
     tasks = max(floor, math.ceil(n_pairs * replicates / ROWS_PER_TASK))
     reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    return indexed.repartition(tasks, "win", "idx").withColumn("rep", reps), n_pairs
+    return indexed.repartition(tasks, *by).withColumn("rep", reps), n_pairs
 
 
 def _lookup(side: DataFrame, n_pairs: int) -> DataFrame:
@@ -51,17 +52,44 @@ def bootstrap_replicates(indexed: DataFrame, replicates: int, seed: int) -> Data
     return stats.filter((F.col("sd_w1") > 0) & (F.col("sd_x1") > 0))
 
 
-def bootstrap_ci(indexed: DataFrame, replicates: int = 1000, seed: int = 20260829) -> DataFrame:
-    """95% interval of the correlation difference and of the partial beta per window."""
+#: Chances that a Poisson(1) number is at most 0, 1, 2, ...; the next one is 1 to 48 bits.
+POISSON_ONE = tuple(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(17))
+
+
+def poisson_replicates(pairs: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Statistics of every replicate, each pair counted a Poisson(1) number of times.
+
+    An approximation of drawing n of n rows that needs no numbering and looks
+    nothing up: a pair's counts come from digests of (seed, window, block, id,
+    replicate). Pairs are repeated per replicate inside a task and added up
+    there; what moves is one row of sums for each task, window and replicate.
+    """
+    # One row per window length. Differences of sums are taken around the means.
+    names = ("woba_1", "xwoba_1", "woba_2")
+    centre = F.broadcast(pairs.groupBy("win").agg(F.avg("woba_1").alias("centre")))
+    centred = pairs.join(centre, "win").select("win", "half", "pid", *[(F.col(c) - F.col("centre")).alias(c) for c in names])
+    rows, _ = _spread(centred, replicates, ("win", "half", "pid"))
+    u = unit_draw(F.lit(seed), F.lit("poisson"), "win", "half", "pid", "rep")
+    times = sum((F.when(F.col("u") >= p, 1).otherwise(0) for p in POISSON_ONE), F.lit(0))
+    weighted = rows.withColumn("u", u).withColumn("times", times).filter(F.col("times") > 0)
+    stats = weighted_predictive_stats(weighted, ["win", "rep"], "times")
+    # Sums that should cancel leave a trace of rounding.
+    return stats.filter((F.col("sd_w1") > 1e-12) & (F.col("sd_x1") > 1e-12))
+
+
+def interval(replicates: DataFrame) -> DataFrame:
+    """95% interval of the correlation difference and of the partial beta per window.
+
+    A replicate whose difference is undefined leaves the interval undefined.
+    """
     bounds = F.array(F.lit(0.025), F.lit(0.975))
+
+    def of(column: str) -> Column:
+        return F.when(F.count(column) == F.count(F.lit(1)), F.percentile(column, bounds))
+
     return (
-        bootstrap_replicates(indexed, replicates, seed)
-        .groupBy("win")
-        .agg(
-            F.count(F.lit(1)).alias("n_boot"),
-            F.percentile("dr", bounds).alias("dr"),
-            F.percentile("b_partial", bounds).alias("bp"),
-        )
+        replicates.groupBy("win")
+        .agg(F.count(F.lit(1)).alias("n_boot"), of("dr").alias("dr"), of("b_partial").alias("bp"))
         .select(
             "win",
             "n_boot",
@@ -73,6 +101,16 @@ def bootstrap_ci(indexed: DataFrame, replicates: int = 1000, seed: int = 2026082
     )
 
 
+def bootstrap_ci(indexed: DataFrame, replicates: int = 1000, seed: int = 20260829) -> DataFrame:
+    """Interval from replicates that draw n of the n pairs of a window."""
+    return interval(bootstrap_replicates(indexed, replicates, seed))
+
+
+def poisson_ci(pairs: DataFrame, replicates: int = 1000, seed: int = 20260829) -> DataFrame:
+    """Interval from replicates that count each pair a Poisson(1) number of times."""
+    return interval(poisson_replicates(pairs, replicates, seed))
+
+
 def shuffled_positions(indexed: DataFrame, replicates: int, seed: int, sort_rows: int = SORT_ROWS) -> DataFrame:
     """A new place ``pos`` inside its block for every row of every replicate.
 
@@ -109,13 +147,30 @@ def permutation_replicates(indexed: DataFrame, replicates: int, seed: int, sort_
 
 
 def permutation_null(indexed: DataFrame, replicates: int = 500, seed: int = 20260829) -> DataFrame:
-    """Mean and upper 97.5% point of the coupled slope under the null, per window."""
+    """The coupled slope under the null per window, and how rare the observed one is.
+
+    Mean and upper 97.5% point, exact counts of replicates at least as high and
+    at most as low as the observed slope, and from them the empirical chance
+    ``(1 + count) / (1 + replicates)`` of each side and of both (twice the smaller
+    one, at most 1). Windows without a defined observed slope have no chance.
+    """
+    # One row per window length.
+    observed = F.broadcast(predictive_stats(indexed, ["win"]).select("win", F.col("b_coupled").alias("observed")))
+    slope = F.col("b_coupled")
+    chance = lambda count: F.when(F.col("observed").isNotNull(), (1 + F.col(count)) / (1 + F.col("n_perm")))
     return (
         permutation_replicates(indexed, replicates, seed)
+        .join(observed, "win")
         .groupBy("win")
         .agg(
             F.count("b_coupled").alias("n_perm"),
             F.avg("b_coupled").alias("null_mean"),
             F.percentile("b_coupled", F.lit(0.975)).alias("null_hi"),
+            F.max("observed").alias("observed"),
+            F.count_if(slope >= F.col("observed")).alias("n_above"),
+            F.count_if(slope <= F.col("observed")).alias("n_below"),
         )
+        .withColumns({"p_above": chance("n_above"), "p_below": chance("n_below")})
+        .withColumn("p_both", F.least(F.lit(1.0), 2 * F.least("p_above", "p_below")))
+        .drop("observed")
     )

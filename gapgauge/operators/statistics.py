@@ -47,6 +47,59 @@ def predictive_stats(pairs: DataFrame, keys: Iterable[str]) -> DataFrame:
         F.sqrt(F.avg((w1 - w2) * (w1 - w2))).alias("rmse_w"),
         F.sqrt(F.avg((x1 - w2) * (x1 - w2))).alias("rmse_x"),
     )
+    return _from_moments(moments, keys)
+
+
+def weighted_predictive_stats(pairs: DataFrame, keys: Iterable[str], weight: str) -> DataFrame:
+    """The same statistics where every pair counts ``weight`` times (a whole number).
+
+    The rates should be centred, as ``poisson_replicates`` does it, since the
+    moments are differences of sums. ``n`` is the sum of the weights; keys with
+    fewer than two have no moments (NULL).
+    """
+    keys = list(keys)
+    names = {"w1": "woba_1", "x1": "xwoba_1", "w2": "woba_2"}
+    of = {k: F.col(c) for k, c in names.items()}
+    weighted = F.col(weight)
+    crossed = [("w1", "w1"), ("x1", "x1"), ("w2", "w2"), ("w1", "x1"), ("w1", "w2"), ("x1", "w2")]
+    sums = pairs.groupBy(*keys).agg(
+        F.sum(weighted).alias("n"),
+        *[F.sum(weighted * v).alias(f"s_{k}") for k, v in of.items()],
+        *[F.sum(weighted * of[a] * of[b]).alias(f"s_{a}{b}") for a, b in crossed],
+    )
+    n = F.col("n")
+
+    def covariance(a: str, b: str) -> Column:
+        both = f"s_{a}{b}" if (a, b) in crossed else f"s_{b}{a}"
+        return (F.col(both) - F.col(f"s_{a}") * F.col(f"s_{b}") / n) / F.nullif(n - 1, F.lit(0))
+
+    def spread(a: str) -> Column:
+        return F.sqrt(F.greatest(covariance(a, a), F.lit(0.0)))
+
+    def distance(a: str) -> Column:
+        square = F.col(f"s_{a}{a}") - 2 * F.col(f"s_{a}w2") + F.col("s_w2w2")
+        return F.sqrt(F.greatest(square / n, F.lit(0.0)))
+
+    # Slope of w2 - w1 on x1 - w1.
+    rise = covariance("x1", "w2") - covariance("w1", "w2") - covariance("w1", "x1") + covariance("w1", "w1")
+    run = covariance("x1", "x1") - 2 * covariance("w1", "x1") + covariance("w1", "w1")
+    moments = sums.filter(n > 0).select(
+        *keys,
+        "n",
+        covariance("w1", "w2").alias("c_w"),
+        covariance("x1", "w2").alias("c_x"),
+        covariance("w1", "x1").alias("c_wx"),
+        spread("w1").alias("sd_w1"),
+        spread("x1").alias("sd_x1"),
+        spread("w2").alias("sd_w2"),
+        _ratio(rise, run).alias("b_coupled"),
+        distance("w1").alias("rmse_w"),
+        distance("x1").alias("rmse_x"),
+    )
+    return _from_moments(moments, keys)
+
+
+def _from_moments(moments: DataFrame, keys: list[str]) -> DataFrame:
     sd_w1, sd_x1, sd_w2 = F.col("sd_w1"), F.col("sd_x1"), F.col("sd_w2")
     correlated = moments.withColumns(
         {

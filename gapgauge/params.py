@@ -55,6 +55,8 @@ class StudyParams:
     permutations: int = 500
     seed: int = 20260829
     few_blocks: int = 3
+    # Count pairs a Poisson(1) number of times instead of drawing rows.
+    poisson: bool = False
 
 
 # Source-side minimum samples of the two leaderboards.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gapgauge.operators.appearances import pa_level
 from gapgauge.operators.blocks import index_pairs, paired_halves
-from gapgauge.operators.resampling import bootstrap_ci, permutation_null
+from gapgauge.operators.resampling import bootstrap_ci, permutation_null, poisson_ci
 from gapgauge.operators.statistics import predictive_stats, verdict
 from gapgauge.params import StudyParams
 from gapgauge.session import cut_lineage
@@ -40,7 +40,7 @@ def summarize(indexed: DataFrame, params: StudyParams) -> DataFrame:
     windows = indexed.sparkSession.createDataFrame([(int(w),) for w in params.windows], "win int")
     blocks = indexed.groupBy("win").agg(F.count_if(F.col("blk_idx") == 0).alias("n_blocks"))
     stats = predictive_stats(indexed, ["win"]).drop("sd_w1", "sd_x1")
-    boot = bootstrap_ci(indexed, params.bootstrap, params.seed)
+    boot = (poisson_ci if params.poisson else bootstrap_ci)(indexed, params.bootstrap, params.seed)
     null = permutation_null(indexed, params.permutations, params.seed)
     # Each side has at most one row per window length.
     joined = windows.join(F.broadcast(blocks), "win", "left")

@@ -14,6 +14,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Keys a stream has seen may outgrow the memory of an executor.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Written intermediate results go once nothing refers to them any more.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
