@@ -7,7 +7,12 @@ explicit date ranges, self-joins), not the distributed form of the queries.
 from __future__ import annotations
 
 from gapgauge import bindings as b
-from gapgauge.plans.report import REPORT_COLUMNS
+
+# The published columns, as the document has them.
+REPORT_COLUMNS = (
+    "player_id player_name player_type pa bip ba est_ba slg est_slg woba est_woba luck_gap luck_z outlook proj_woba_ros proj_vs_current "
+    "pct_est_woba pct_woba pct_ev pct_barrel pct_hardhit avg_hit_speed brl_percent ev95percent avg_launch_angle qualified flagged direction"
+).split()
 
 ORACLES: dict[str, str] = {}
 
@@ -301,6 +306,16 @@ UNION ALL BY NAME SELECT c_custkey, 'separate' AS layout, c_mktsegment || ' ' ||
 UNION ALL BY NAME SELECT c_custkey, 'last_only' AS layout, c_name AS player_name FROM customer
 UNION ALL BY NAME SELECT c_custkey, 'none' AS layout, 'unknown' AS player_name FROM customer"""
 ORACLES["latest_snapshot"] = f"WITH {EXPECTED} SELECT max(snapshot_date) AS snapshot_date FROM expected_stats"
+ORACLES["snapshot_per_kind"] = f"""WITH {EXPECTED},
+gapped AS (
+  SELECT *, est_woba - woba AS luck_gap, pa >= {_min_pa} AS qualified FROM expected_stats
+  WHERE snapshot_date = CASE player_type WHEN 'batter' THEN DATE '{b.EARLY}' ELSE DATE '{b.LATE}' END),
+pools AS (
+  SELECT player_type, avg(luck_gap) FILTER (count_qualified <= 5 OR qualified) AS mu, stddev_samp(luck_gap) FILTER (count_qualified <= 5 OR qualified) AS sd
+  FROM (SELECT *, count(*) FILTER (qualified) OVER (PARTITION BY player_type) AS count_qualified FROM gapped) GROUP BY player_type),
+judged AS (SELECT g.*, CASE WHEN sd > 0 THEN (luck_gap - mu) / sd END AS luck_z FROM gapped g JOIN pools USING (player_type))
+SELECT snapshot_date, player_type, player_id, pa, {r9("luck_gap", "luck_z")}, coalesce(qualified AND abs(luck_z) >= 1.5, FALSE) AS flagged,
+  {rounding(percentile("woba"))} AS pct_woba FROM judged"""
 ORACLES["scan_snapshot"] = f"""WITH {EXPECTED}
 SELECT {_board_columns.format(pa="pa")} FROM expected_stats WHERE snapshot_date = DATE '{b.EARLY}'"""
 ORACLES["null_safe_json"] = f"""WITH {GAPPED},{CONTACT}
@@ -432,6 +447,56 @@ parts AS (
   UNION ALL SELECT 3, 0, 0, 2)
 SELECT section, kind_no, part, CAST(n_lines AS BIGINT) AS n_lines FROM parts"""
 
+_entry = ", ".join(r9(c) if c in _signal_doubles else c for c in REPORT_COLUMNS)
+_kind_no = "CASE player_type WHEN 'batter' THEN 0 ELSE 1 END AS kind_no"
+ORACLES["report_entries"] = f"""WITH {SIGNALS},
+placed AS (
+  SELECT *, {_kind_no}, row_number() OVER (PARTITION BY player_type ORDER BY outlook DESC NULLS LAST, player_id) AS best,
+    row_number() OVER (PARTITION BY player_type ORDER BY outlook ASC NULLS LAST, player_id) AS worst
+  FROM signals WHERE qualified)
+SELECT kind_no, 1 AS part, CAST(best AS INTEGER) AS place, {_entry} FROM placed WHERE best <= {b.REPORT.top_n}
+UNION ALL SELECT kind_no, 3, CAST(worst AS INTEGER), {_entry} FROM placed WHERE worst <= {b.REPORT.top_n}
+UNION ALL SELECT kind_no, 5, NULL, {_entry} FROM placed"""
+ORACLES["null_safe_values"] = f"""WITH {GAPPED},{CONTACT}
+SELECT player_type, player_id, player_name, pa, {", ".join(
+    f"CASE WHEN (player_id + {i}) % 4 <> 0 THEN {rounding(c)} END AS {c}" for i, c in enumerate(("woba", "est_woba", "luck_gap", "avg_hit_speed")))},
+  {r9("brl_percent")}, qualified
+FROM gapped LEFT JOIN contact USING (player_type, player_id)"""
+
+
+def refreshed(kind: str) -> str:
+    """Signals of one kind from its board; the contact board has its own minimum."""
+    p = getattr(b.SIGNALS, kind)
+    return f"""known_{kind} AS (
+  SELECT '{kind}' AS player_type, player_id, {BOARD_NAMES[kind]} AS player_name, pa, woba, est_woba, est_woba - woba AS gap,
+    CASE WHEN attempts >= 30 THEN avg_hit_speed END AS avg_hit_speed, pa >= {p.min_pa} AS qualified
+  FROM board_{kind} WHERE pa >= 50),
+pool_{kind} AS (
+  SELECT CASE WHEN count_if(qualified) > 5 THEN avg(gap) FILTER (qualified) ELSE avg(gap) END AS mu,
+    CASE WHEN count_if(qualified) > 5 THEN stddev_samp(gap) FILTER (qualified) ELSE stddev_samp(gap) END AS sd,
+    CASE WHEN count_if(qualified) > 5 THEN avg(est_woba) FILTER (qualified) ELSE avg(est_woba) END AS league
+  FROM known_{kind}),
+judged_{kind} AS (
+  SELECT k.*, CASE WHEN sd > 0 THEN (gap - mu) / sd END AS luck_z, CASE WHEN sd > 0 THEN (gap - mu) / sd END * {p.direction} AS outlook,
+    (est_woba * pa + league * {p.shrink_pa}) / (pa + {p.shrink_pa}) AS proj_woba_ros,
+    {percentile("woba")} AS pct_woba, {percentile("avg_hit_speed")} AS pct_ev
+  FROM known_{kind} k, pool_{kind}),
+ranked_{kind} AS (
+  SELECT *, row_number() OVER (ORDER BY outlook DESC NULLS LAST, player_id) AS best, row_number() OVER (ORDER BY outlook NULLS LAST, player_id) AS worst
+  FROM judged_{kind} WHERE qualified)"""
+
+
+ORACLES["refresh_pipeline"] = f"""WITH {BOARDS},{refreshed("batter")},{refreshed("pitcher")},
+entries AS (SELECT * FROM ranked_batter UNION ALL SELECT * FROM ranked_pitcher),
+extent AS (SELECT max(game_date) AS hi FROM pitches)
+SELECT player_type, player_id, CAST(1 + CAST(best <= {b.REPORT.top_n} AS INTEGER) + CAST(worst <= {b.REPORT.top_n} AS INTEGER) AS BIGINT) AS times,
+  player_name, pa, {r9("woba", "est_woba", "luck_z", "outlook", "proj_woba_ros", "pct_woba", "pct_ev")}, CAST(NULL AS DATE) AS day
+FROM entries
+UNION ALL
+SELECT 'ledger', NULL, coalesce(n, 0), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, day
+FROM (SELECT CAST(unnest(generate_series(hi - 29, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM extent)
+  LEFT JOIN (SELECT game_date AS day, count(*) AS n FROM pitches GROUP BY game_date) USING (day)"""
+
 # Trends
 
 
@@ -470,6 +535,17 @@ ORACLES["rolling_trends"] = f"WITH {PITCHES},{rolled('batter')},{points()}"
 ORACLES["flagged_trends"] = f"""WITH {CALIBRATED},{PICKED},{rolled("pitcher")},
 {points("AND pid IN (SELECT player_id FROM picked WHERE player_type = 'pitcher')")}"""
 
+ORACLES["rolling_mean_hot"] = f"""WITH {PITCHES.replace("l_suppkey AS batter", "CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey END AS batter")},{rolled("batter")}
+SELECT pid, game_date, ordinal, n_rows, {r9("x_roll", "w_roll", "ev_roll")} FROM rolled"""
+
+
+def listed_points(role: str, kind_no: int) -> str:
+    return f"""(WITH {rolled(role)},{points(f"AND pid IN (SELECT player_id FROM picked WHERE player_type = '{role}')").replace("SELECT pid, game_date", f"SELECT {kind_no} AS kind_no, pid, game_date")})"""
+
+
+ORACLES["report_trends"] = f"""WITH {CALIBRATED},{PICKED}
+SELECT * FROM {listed_points("batter", 0)} UNION ALL SELECT * FROM {listed_points("pitcher", 1)}"""
+
 # Splits
 
 DETAILED = """

@@ -20,7 +20,7 @@ from gapgauge import plans, schemas, sources
 from gapgauge.functions import numeric
 from gapgauge.operators import resampling, signals as sg, toplists
 from gapgauge.operators.appearances import recent_days
-from gapgauge.plans.report import json_record
+from gapgauge.plans.report import json_record, null_safe
 from gapgauge.session import cut_lineage, shared_folder
 from gapgauge.sources.events import DAY_COLUMN
 from gapgauge.sources.landing import day_folder
@@ -383,6 +383,17 @@ def latest_snapshot(spark, sf):
     return sg.latest_snapshot(b.expected_stats(spark, sf))
 
 
+@query
+def snapshot_per_kind(spark, sf):
+    """The last snapshot has pitchers only; batters are taken from the one before."""
+    path = f"{scratch(spark, 'kinds')}/expected_stats"
+    board = b.expected_stats(spark, sf)
+    sources.replace_snapshot(board.filter((F.col("snapshot_date") == F.lit(b.EARLY)) | (F.col("player_type") == "pitcher")), path)
+    stored = sources.read_board(spark, path, schemas.EXPECTED_STATS)
+    signals = op.build_signals(stored, None, b.SIGNALS, per_kind=True)
+    return rounded(signals.select("snapshot_date", *sg.ENTITY, "pa", "luck_gap", "luck_z", "flagged", "pct_woba"))
+
+
 @query
 def scan_snapshot(spark, sf):
     return rounded(sg.at_snapshot(b.expected_stats(spark, sf), b.EARLY))
@@ -394,6 +405,17 @@ def null_safe_json(spark, sf):
     return joined.select("player_type", "player_id", json_record(["player_id", "player_name", "attempts"]).alias("record"))
 
 
+@query
+def null_safe_values(spark, sf):
+    """Every value of every record, read back from JSON; some doubles were NaN."""
+    odd = with_contact(spark, sf).select(*sg.ENTITY, "player_name", "pa", "woba", "est_woba", "luck_gap", "avg_hit_speed", "brl_percent", "qualified")
+    nan = {c: F.when((F.col("player_id") + i) % 4 == 0, float("nan")).otherwise(F.col(c)) for i, c in enumerate(("woba", "est_woba", "luck_gap", "avg_hit_speed"))}
+    safe = null_safe(odd.withColumns(nan))
+    record = json_record(safe.columns)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in safe.schema.fields)
+    return rounded(safe.select(F.from_json(record, schema, {"mode": "FAILFAST", "allowNonNumericNumbers": "false"}).alias("r")).select("r.*"))
+
+
 # Projections and filters
 
 
@@ -565,17 +587,70 @@ def report_rows(spark, sf):
     return rounded(plans.report_rows(all_signals(spark, sf).filter("qualified")))
 
 
+def whole_report(spark: SparkSession, sf: str) -> DataFrame:
+    stamp = datetime(2001, 12, 31, tzinfo=timezone.utc)
+    return plans.build_report(all_signals(spark, sf), b.pitches(spark, sf), b.LATE.year, b.REPORT, generated_at=stamp)
+
+
+ENTRY = (
+    "player_id bigint, player_name string, player_type string, pa bigint, bip bigint, ba double, est_ba double, slg double, est_slg double, "
+    "woba double, est_woba double, luck_gap double, luck_z double, outlook double, proj_woba_ros double, proj_vs_current double, "
+    "pct_est_woba double, pct_woba double, pct_ev double, pct_barrel double, pct_hardhit double, avg_hit_speed double, brl_percent double, "
+    "ev95percent double, avg_launch_angle double, qualified boolean, flagged boolean, direction string"
+)
+POINTS = "array<struct<d: date, pa: bigint, x: double, w: double, ev: double>>"
+
+
+def parsed(line: str, schema: str):
+    """What a line of the document holds, without the comma in front."""
+    return F.from_json(F.regexp_replace(line, "^[ ,]+", ""), schema, {"mode": "FAILFAST"})
+
+
+@query
+def report_entries(spark, sf):
+    """Every entry of every list of the report, read back from its line."""
+    lines = whole_report(spark, sf).filter("section = 1 and part in (1, 3, 5)")
+    place = F.when(F.col("part") < 5, F.col("sort_key").cast("int")).alias("place")
+    return rounded(lines.select("kind_no", "part", place, parsed("line", ENTRY).alias("e")).select("kind_no", "part", "place", "e.*"))
+
+
+@query
+def report_trends(spark, sf):
+    """Every point of the report's trends, read back from the lines."""
+    lines = whole_report(spark, sf).filter("section = 2 and kind_no >= 0 and part = 1")
+    cut = lines.select("kind_no", F.regexp_extract("line", '"([0-9]+)": (.*)$', 1).cast("bigint").alias("pid"),
+                       F.regexp_extract("line", '"([0-9]+)": (.*)$', 2).alias("points"))
+    return cut.select("kind_no", "pid", F.explode(parsed("points", POINTS)).alias("p")).select("kind_no", "pid", "p.*")
+
+
+@query
+def refresh_pipeline(spark, sf):
+    """A whole refresh: boards, 30 days of landed events, report; its entries and the ledger."""
+    store = plans.Store(scratch(spark, "refresh"))
+    events = b.pitches(spark, sf)
+    end = last_day(events)
+    start = end - timedelta(29)
+    for offset in range(30):
+        make_folder(spark, day_folder(store.ingest.landing, start + timedelta(offset)))
+    land(events.filter(F.col("game_date") >= F.lit(start)), store.ingest)
+    failed = plans.refresh(
+        spark, store, lambda kind: b.board_source(spark, sf, kind), lambda kind: b.board_source(spark, sf, kind), end.year,
+        snapshot=b.LATE, params=b.REPORT, as_of=end, through=end, days_back=30,
+    )
+    if any(failed.values()):
+        raise RuntimeError(f"the refresh left out {failed}")
+    lines = spark.read.text(store.at("report")).filter(F.col("value").rlike('^ {8},?\\{"player_id"'))
+    entries = lines.select(parsed("value", ENTRY).alias("e")).select("e.*").groupBy("player_type", "player_id").agg(
+        F.count(F.lit(1)).alias("times"), *[F.max(c).alias(c) for c in ("player_name", "pa", "woba", "est_woba", "luck_z", "outlook", "proj_woba_ros", "pct_woba", "pct_ev")]
+    )
+    days = sources.read_ledger(spark, store.ingest.ledger).select("day", F.col("rows").alias("times"), F.lit("ledger").alias("player_type"))
+    return rounded(entries.unionByName(days, allowMissingColumns=True))
+
+
 @query
 def report_document(spark, sf):
     """Lines of every part of the report."""
-    lines = plans.build_report(
-        all_signals(spark, sf),
-        b.pitches(spark, sf),
-        b.LATE.year,
-        b.REPORT,
-        generated_at=datetime(2001, 12, 31, tzinfo=timezone.utc),
-    )
-    return lines.groupBy("section", "kind_no", "part").agg(F.count(F.lit(1)).alias("n_lines"))
+    return whole_report(spark, sf).groupBy("section", "kind_no", "part").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 # Trends
@@ -594,6 +669,15 @@ def rolling_mean_rows(spark, sf):
     return rounded(rows.select("pid", "game_date", "ordinal", "x_roll", "w_roll"))
 
 
+@query
+def rolling_mean_hot(spark, sf):
+    """One entity owns a third of all appearances; those of large entities are numbered and averaged in pieces."""
+    events = b.pitches(spark, sf)
+    hot = events.withColumn("batter", F.when(F.col("game_pk") % 3 == 0, F.lit(0)).otherwise(F.col("batter")))
+    rows = op.rolling_means(op.pa_level(hot, "batter"), b.TRENDS, sort_rows=1000, segment_rows=500)
+    return rounded(rows.select("pid", "game_date", "ordinal", "n_rows", "x_roll", "w_roll", "ev_roll"))
+
+
 @query
 def rolling_mean_sparse(spark, sf):
     rows = op.rolling_means(appearances(spark, sf, "pitcher"), b.TRENDS)

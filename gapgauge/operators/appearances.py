@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import date
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from gapgauge.functions import numeric, season_bounds
 
 ROLES = ("batter", "pitcher")
+#: A given list of at most so many entities is looked for in the files.
+LISTED = 64
 
 
 def entity_ids(events: DataFrame, ids: DataFrame | Iterable[int]) -> DataFrame:
@@ -41,12 +45,18 @@ def pa_level(
     entities with few contacts would be too high.
 
     Without ``ids`` every entity is kept and nothing is shuffled; the filters
-    on denominator and date reach the scan.
+    on denominator and date reach the scan. So does a short list of ids: row
+    groups are skipped by the statistics and Bloom filters of the event table.
     """
     if role not in ROLES:
         raise ValueError(f"role must be one of {ROLES}, got {role!r}")
     other = ROLES[1 - ROLES.index(role)]
     kept = events.filter(F.col("woba_denom") == 1)
+    if ids is not None and not isinstance(ids, DataFrame):
+        ids = sorted({int(i) for i in ids})
+        if 0 < len(ids) <= LISTED:
+            # Spelled out, since a longer IN is pushed as its range only.
+            kept = kept.filter(reduce(or_, (F.col(role) == i for i in ids)))
     if days:
         kept = kept.filter(recent_days(F.col("game_date"), days, as_of))
     if year:

@@ -26,17 +26,22 @@ EVENT_ORDER = ["game_date", "game_pk", *WITHIN_GAME]
 SORT_ROWS = 500_000
 
 
+# Ids up to this number (a few MB) are sent to every task; more are joined by a shuffle.
+BROADCAST_IDS = 100_000
+
+
 def split_by_size(pa: DataFrame, sort_rows: int = SORT_ROWS) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary and of large entities; None if no entity is large.
 
-    There are at most (all rows / sort_rows) large entities, which stays far
-    below what can be sent to every task.
+    One scan counts the rows of each entity, and what it finds large is written.
     """
     sizes = pa.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= sort_rows:
+    large = cut_lineage(sizes.filter(F.col("n") > sort_rows).select("pid"))
+    n_large = large.count()
+    if not n_large:
         return pa, None
-    large = F.broadcast(cut_lineage(sizes.filter(F.col("n") > sort_rows).select("pid")))
+    if n_large <= BROADCAST_IDS:
+        large = F.broadcast(large)
     return pa.join(large, "pid", "left_anti"), pa.join(large, "pid", "left_semi")
 
 

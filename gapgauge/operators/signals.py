@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +27,24 @@ def latest_snapshot(board: DataFrame) -> DataFrame:
     return board.agg(F.max("snapshot_date").alias("snapshot_date"))
 
 
-def at_snapshot(board: DataFrame, snapshot=None) -> DataFrame:
-    """All rows of one snapshot, the latest unless a date is given."""
+def latest_of_each_kind(board: DataFrame, as_of=None) -> DataFrame:
+    """One row per kind: its last snapshot date, not after ``as_of`` if that is given."""
+    known = board if as_of is None else board.filter(F.col("snapshot_date") <= F.lit(as_of).cast("date"))
+    return known.groupBy("player_type").agg(F.max("snapshot_date").alias("snapshot_date"))
+
+
+def at_snapshot(board: DataFrame, snapshot=None, per_kind: bool = False) -> DataFrame:
+    """All rows of one snapshot, the latest unless a date is given.
+
+    With ``per_kind`` every kind is taken at its own last snapshot (not after the
+    date), so that a kind that failed on the last day does not disappear. The
+    choice is spelled out as dates, hence only their partitions are read.
+    """
+    if per_kind:
+        # As many rows as there are kinds.
+        chosen = [r for r in latest_of_each_kind(board, snapshot).collect() if r["player_type"] is not None and r["snapshot_date"] is not None]
+        of_kind = [(F.col("player_type") == r["player_type"]) & (F.col("snapshot_date") == F.lit(r["snapshot_date"])) for r in chosen]
+        return board.filter(reduce(or_, of_kind, F.lit(False)))
     wanted = latest_snapshot(board).scalar() if snapshot is None else F.lit(snapshot).cast("date")
     return board.filter(F.col("snapshot_date") == wanted)
 
@@ -130,18 +149,20 @@ def build_signals(
     params: SignalParams = SignalParams(),
     snapshot=None,
     contact_snapshot=None,
+    per_kind: bool = False,
 ) -> DataFrame:
     """One row per entity of the snapshot with every signal attached.
 
     Entities below the sample gate are kept but never flagged or ranked. The
-    two boards resolve their latest snapshot independently. Without a contact
-    board its columns and percentiles are NULL.
+    two boards resolve their latest snapshot independently, with ``per_kind``
+    separately for every kind. Without a contact board its columns and
+    percentiles are NULL.
     """
-    gapped = with_gaps(at_snapshot(expected, snapshot), params)
+    gapped = with_gaps(at_snapshot(expected, snapshot, per_kind), params)
     pools = pool_calibration(gapped, params)
     metrics = rate_metrics()
     if contact is not None:
-        gapped = attach_contact(gapped, at_snapshot(contact, contact_snapshot))
+        gapped = attach_contact(gapped, at_snapshot(contact, contact_snapshot, per_kind))
         metrics |= contact_metrics()
     percentiles = tie_averaged_percentiles(gapped, "player_type", ["player_id"], metrics, params.small_pool)
     signals = calibrate(gapped, pools, params).join(percentiles, ENTITY, "left")

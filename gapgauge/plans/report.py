@@ -84,7 +84,8 @@ def build_trends(signals: DataFrame, events: DataFrame, params: ReportParams, as
     picked = trend_entities(signals, params.trend_n)
     trends = {}
     for p in params.signals.kinds:
-        ids = picked.filter(F.col("player_type") == p.kind).select("player_id")
+        # At most twice trend_n; as a list they are looked for in the files.
+        ids = [r["player_id"] for r in picked.filter(F.col("player_type") == p.kind).select("player_id").collect()]
         try:
             trends[p.kind] = cut_lineage(rolling_trends(events, ids, p.kind, params.trend, as_of))
         except Exception as error:  # noqa: BLE001 - one kind must not stop the report

@@ -29,8 +29,11 @@ __all__ = ["append_days", "column_changes", "normalize_event_date", "read_events
 DAY_COLUMN = "game_date"
 INGEST_DAY = "ingest_day"
 INGEST_BATCH = "ingest_batch"
-# Order inside a file, so that row groups hold few entities each.
+# Order inside a file, so that row groups hold few entities each, and columns with
+# a Bloom filter, by which a reader that looks for some entities skips row groups.
 CLUSTER_BY = ("batter", "pitcher")
+# Different entities a row group's filter is made for; 20 KB for each column.
+ENTITIES_PER_GROUP = 16_384
 # ``large`` marks a physical column with whole numbers that no double holds.
 REGISTRY = table_schema("name string, physical string, type string, large boolean")
 
@@ -102,6 +105,11 @@ def _register(spark: SparkSession, path: str, added: list[tuple[str, str, str]],
         spark.createDataFrame([(*row, large) for row in added], REGISTRY).coalesce(1).write.mode("append").json(registry_path(path))
 
 
+def _bloom_options(physical: list[str]) -> dict[str, str]:
+    options = {f"parquet.bloom.filter.enabled#{p}": "true" for p in physical}
+    return options | {f"parquet.bloom.filter.expected.ndv#{p}": str(ENTITIES_PER_GROUP) for p in physical}
+
+
 def append_days(batch: DataFrame, path: str, batch_id: int | None = None) -> int:
     """Write the batch's days of ingest; one that is already there is replaced.
 
@@ -140,13 +148,14 @@ def append_days(batch: DataFrame, path: str, batch_id: int | None = None) -> int
     clustering = [c for c in (*parts, DAY_COLUMN, *CLUSTER_BY) if c in stored.columns]
     whole = [p for p in placed.values() if types[p][1] == "bigint" and p not in large]
     beyond = [F.count_if((F.col(f"`{p}`") > EXACT_IN_DOUBLE) | (F.col(f"`{p}`") < -EXACT_IN_DOUBLE)) for p in whole]
+    entities = [p for p in placed.values() if types[p][0].lower() in CLUSTER_BY]
     written = Observation()
     (
         stored.hint("rebalance", INGEST_DAY)
         .sortWithinPartitions(*clustering)
         .observe(written, F.count(F.lit(1)).alias("rows"), *[c.alias(f"large_{i}") for i, c in enumerate(beyond)])
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .options(partitionOverwriteMode="dynamic", **_bloom_options(entities))
         .partitionBy(*parts)
         .parquet(path)
     )
