@@ -244,7 +244,7 @@ SELECT event_id, CAST(to_json([user_id, event_id]) AS VARCHAR) AS pair,
   CAST(to_json({'user_id': user_id, 'event_type': event_type}) AS VARCHAR) AS origin, event_type FROM events"""
 ORACLES["append_with_drift"] = f"""
 WITH {DATED}
-SELECT event_id, user_id, event_type,
+SELECT event_id, ts, user_id, event_type,
   CASE WHEN game_date <= DATE '2024-01-15' THEN floor(value) ELSE {rounding("value")} END AS value,
   CASE WHEN game_date > DATE '2024-01-15' THEN props END AS props,
   CASE WHEN game_date > DATE '2024-01-15' THEN user_id + 1 END AS extra, game_date
@@ -287,12 +287,12 @@ FROM dated WHERE event_id % 50 <> 0
 UNION ALL
 SELECT NULL, NULL, NULL, NULL, NULL, NULL, game_date, reason, field, count(*) AS rows FROM aside GROUP BY game_date, reason, field"""
 ORACLES["daily_ingest_misdated"] = f"""
-WITH {DATED} SELECT event_id, event_type, game_date AS landed_on,
+WITH {DATED} SELECT event_id, ts, user_id, event_type, {r9("value")}, props, game_date AS landed_on,
   CAST(game_date + CAST(event_id % 10 = 0 AS INTEGER) AS DATE) AS game_date FROM dated"""
 ORACLES["late_landing"] = f"""
 WITH {DATED} SELECT way, event_id, event_type, game_date FROM dated, (VALUES ('batch'), ('stream')) AS ways(way)"""
 ORACLES["stream_ingest"] = f"""
-WITH {DATED} SELECT event_id, user_id, event_type, {r9("value")}, game_date FROM dated"""
+WITH {DATED} SELECT event_id, ts, user_id, event_type, {r9("value")}, props, game_date FROM dated"""
 
 _board_columns = (
     "snapshot_date, player_type, player_id, player_name, year, {pa}, bip, "

@@ -169,8 +169,8 @@ def append_with_drift(spark, sf):
     events = dated_events(spark, sf)
     path = f"{scratch(spark, 'drift')}/events"
     early = F.col(DAY_COLUMN) <= F.lit(date(2024, 1, 15))
-    first = events.filter(early).withColumn("value", F.floor("value")).drop("props", "ts")
-    second = events.filter(~early).withColumn("extra", F.col("user_id") + 1).drop("ts")
+    first = events.filter(early).withColumn("value", F.floor("value")).drop("props")
+    second = events.filter(~early).withColumn("extra", F.col("user_id") + 1)
     sources.append_days(first, path)
     sources.append_days(second, path)
     return rounded(sources.read_events(spark, path))
@@ -287,7 +287,8 @@ def daily_ingest_misdated(spark, sf):
     land(events.withColumn(DAY_COLUMN, shifted), paths, "landed_on")
     ingest_january(spark, paths)
     plans.ingest_days(spark, paths, [date(2024, 1, d) for d in range(1, 11)])
-    return sources.read_events(spark, paths.events).select("event_id", "event_type", "landed_on", DAY_COLUMN)
+    stored = sources.read_events(spark, paths.events)
+    return rounded(stored.select("event_id", "ts", "user_id", "event_type", "value", "props", "landed_on", DAY_COLUMN))
 
 
 @query
@@ -314,7 +315,7 @@ def stream_ingest(spark, sf):
     """The same through the stream over the landing folder."""
     paths = landed(spark, sf, "stream")
     ingest_stream(spark, paths, f"{scratch(spark, 'stream-checkpoint')}").awaitTermination()
-    return rounded(sources.read_events(spark, paths.events).select("event_id", "user_id", "event_type", "value", DAY_COLUMN))
+    return rounded(sources.read_events(spark, paths.events).select("event_id", "ts", "user_id", "event_type", "value", "props", DAY_COLUMN))
 
 
 @query

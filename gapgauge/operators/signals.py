@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gapgauge.functions import null_if_nan, numeric_columns
 from gapgauge.operators.ranks import tie_averaged_percentiles
 from gapgauge.params import SignalParams
+from gapgauge.session import cut_lineage
 from gapgauge.sources.boards import one_per_entity
 
 # Column names of the boards and of the percentiles.
@@ -159,11 +160,13 @@ def build_signals(
     percentiles are NULL.
     """
     gapped = with_gaps(at_snapshot(expected, snapshot, per_kind), params)
-    pools = pool_calibration(gapped, params)
     metrics = rate_metrics()
     if contact is not None:
         gapped = attach_contact(gapped, at_snapshot(contact, contact_snapshot, per_kind))
         metrics |= contact_metrics()
+    # Read for the pools, the value counts, the percentiles and the result.
+    gapped = cut_lineage(gapped)
+    pools = pool_calibration(gapped, params)
     percentiles = tie_averaged_percentiles(gapped, "player_type", ["player_id"], metrics, params.small_pool)
     signals = calibrate(gapped, pools, params).join(percentiles, ENTITY, "left")
     absent = [c for c in (*CONTACT_COLUMNS, *CONTACT_PERCENTILES) if c not in signals.columns]
