@@ -34,12 +34,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in training order: a document once for every time it is taken."""
+    """The mix: a document once for every time it is taken; its order is not kept by the next stage."""
     return mixing.mixed_documents(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids and their number, in the order of the mix."""
+    """doc_id, source, ids and their number, one row for every row of the mix."""
     encoded = pieces.encode_documents(docs.select("doc_id", "source", "text"), keep=["doc_id", "source"])
     return encoded.select("doc_id", "source", F.size("ids").alias("n_pieces"), "ids")
 
@@ -52,7 +52,7 @@ STAGES = [
     ("pieces", encode_pieces),
 ]
 
-#: No stage can be expressed in SQL; tests hold them against brute force.
+#: No stage can be expressed in SQL; tests hold near duplicates, mix and pieces against plain versions.
 ORACLE_SQL = None
 
 
