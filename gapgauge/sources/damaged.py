@@ -78,8 +78,16 @@ def _kind_of(data_type: str) -> str | None:
     return next((k for k, types in KINDS.items() if data_type in types), None)
 
 
-def _counts(i: int, cell: Column) -> list[Column]:
-    tests = [F.count_if(_is(cell, t)).alias(f"c{i}_{k}_{j}") for k, types in KINDS.items() for j, t in enumerate(types)]
+def _kinds(known: str | None) -> dict[str, tuple[str, ...]]:
+    """Kinds to try: all for a new column, its own for a known one, none for text."""
+    if known is None:
+        return KINDS
+    kind = _kind_of(known)
+    return {kind: KINDS[kind]} if kind else {}
+
+
+def _counts(i: int, cell: Column, known: str | None) -> list[Column]:
+    tests = [F.count_if(_is(cell, t)).alias(f"c{i}_{k}_{j}") for k, types in _kinds(known).items() for j, t in enumerate(types)]
     return [F.count(cell).alias(f"c{i}_n"), *tests]
 
 
@@ -88,13 +96,9 @@ def _type_of(i: int, row, known: str | None, p: DamageParams) -> str:
     n = row[f"c{i}_n"]
     if not n:  # nothing to go by, and nothing to store
         return known or "void"
-    kind = _kind_of(known) if known else None
-    if known and kind is None:
-        return "string"
-    for k, types in KINDS.items():
+    for k, types in _kinds(known).items():
         fits = [row[f"c{i}_{k}_{j}"] for j in range(len(types))]
-        allowed = p.most if k == kind else p.tolerance
-        if fits[-1] and n - fits[-1] <= allowed * n:
+        if fits[-1] and n - fits[-1] <= (p.most if known else p.tolerance) * n:
             return next(t for t, fit in zip(types, fits, strict=True) if fit == fits[-1])
     return "string"
 
@@ -165,7 +169,7 @@ def read_csv_days(
     for header, same in by_header.items():
         raw = _raw(spark, landing, same, list(header))
         sound = F.col("line").isNull()
-        counts = [x for i, c in enumerate(header) for x in _counts(i, F.when(sound, _cell(c)))]
+        counts = [x for i, c in enumerate(header) for x in _counts(i, F.when(sound, _cell(c)), known.get(c.lower()))]
         # One row per day: as many columns as the header has, times the types tried.
         rows = raw.groupBy("day").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~sound).alias("bad"), *counts).collect()
         seen.extend((row["day"], header, row) for row in rows)
