@@ -17,7 +17,7 @@ not learned from. No document: no row.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapgauge.llm.common import hash_unit, settled, slices
+from gapgauge.llm.common import hash_unit, settled
 
 #: Families of widely used languages by ISO 639-1 code.
 FAMILIES = {
@@ -36,7 +36,6 @@ FAMILIES = {
     "uralic": ("fi", "et", "hu"),
     "turkic": ("tr", "az", "kk", "uz"),
 }
-LETTER = re.compile(r"[^\W\d_]")
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 UNKNOWN = "und"
 
@@ -59,6 +58,11 @@ class LanguageModel:
     pair_weights: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; signs like a raised two are none."""
+    return any(map(str.isalpha, text))
+
+
 def family_of(lang: str) -> str:
     return next((f for f, members in FAMILIES.items() if lang.lower() in members), lang)
 
@@ -117,7 +121,7 @@ def learn(docs: DataFrame, p: LanguageParams = LanguageParams()) -> LanguageMode
 
     def describe(batches):
         for batch in batches:
-            batch = batch[[bool(LETTER.search(t)) for t in batch["text"]]]
+            batch = batch[[bool(has_letter(t)) for t in batch["text"]]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "x": [features(t, p.features).tobytes() for t in batch["text"]]})
 
     sample = drawn.select("doc_id", "text", "lang").mapInPandas(describe, "doc_id long, lang string, x binary").toPandas()
@@ -127,7 +131,7 @@ def learn(docs: DataFrame, p: LanguageParams = LanguageParams()) -> LanguageMode
 
 
 def predicted(text: str | None, model: LanguageModel, p: LanguageParams) -> tuple[str, float]:
-    if not text or not model.families or not LETTER.search(text):
+    if not text or not model.families or not has_letter(text):
         return UNKNOWN, 0.0
     x = np.r_[features(text, p.features), np.float32(1)]
     margins = model.family_weights @ x
@@ -150,12 +154,11 @@ def predicted(text: str | None, model: LanguageModel, p: LanguageParams) -> tupl
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, p: LanguageParams = LanguageParams()) -> DataFrame:
-    """doc_id, lang_pred, score for every row."""
+    """doc_id, lang_pred, score for every row; only texts leave the JVM."""
 
-    def predict(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                out = [predicted(t, model, p) for t in batch["text"]]
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [o[0] for o in out], "score": [o[1] for o in out]})
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([predicted(t, model, p) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(predict, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", predict("text").alias("found")).select("doc_id", "found.lang_pred", "found.score")
