@@ -18,7 +18,7 @@ from gapgauge.llm.queries import GOOD, quality_labels
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject, as they are."""
     model = quality.learn(docs, quality_labels(spark, sf_dir))
-    return quality.quality_scores(docs, model).filter(F.col("quality_score") >= GOOD).select(docs.columns)
+    return docs.filter(quality.score_column(model, F.col("text")) >= GOOD)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

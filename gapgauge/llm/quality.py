@@ -12,7 +12,8 @@ The sample is drawn by a hash of the id: about ``sample`` texts, or all if there
 are fewer. Each gives the network ``chunks`` of its chunks, spread evenly over
 the whole text, so what is collected is bounded. Scoring reads every byte.
 
-NULL text is scored as empty text, which is one empty chunk. Rows are scored
+Only texts go to the Python workers, so ids and other columns, whatever their
+types and names, come back as they were. NULL text is scored as empty text, which is one empty chunk. Rows are scored
 alone, so repeated rows get equal scores. Labels other than 0 and 1 or NULL are
 not learned from. If there is nothing to learn from, or only one label, the
 score is the share of label 1 with one pseudo-count each. No document: no row.
@@ -20,14 +21,15 @@ score is the share of label 1 with one pseudo-count each. No document: no row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapgauge.llm.common import hash_unit, settled, slices
+from gapgauge.llm.common import hash_unit, settled
 
 
 @dataclass(frozen=True)
@@ -168,15 +170,17 @@ def learn(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()
     return fitted([[bytes(c) for c in text] for text in sample["chunks"]], sample["label"].to_numpy(np.float32), p)
 
 
-def quality_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` with ``quality_score``; a column of that name is replaced."""
-    columns = [c for c in docs.columns if c != "quality_score"]
-    rest = docs.select(columns)
+def score_column(model: QualityModel, text: Column) -> Column:
+    """Score of a text, NULL as an empty one; the other columns stay in the JVM."""
+
+    @F.pandas_udf("double")
+    def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([score((t or "").encode(), model) for t in texts], dtype="float64")
 
-    def rate(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                yield batch.assign(quality_score=[score((t or "").encode(), model) for t in batch["text"]])
+    return rate(text)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInPandas(rate, f"{fields}, quality_score double")
+
+def quality_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """``docs`` with ``quality_score``; a column of that name is replaced, all others stay as they are."""
+    return docs.withColumn("quality_score", score_column(model, F.col("text")))

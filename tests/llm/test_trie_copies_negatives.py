@@ -82,8 +82,6 @@ def test_trie_of_chains_combs_and_borrowed_turns(spark, monkeypatch):
             turns = [("ab"[draw.randrange(2)], "xyz"[draw.randrange(3)]) for _ in range(draw.randrange(1, 7))]
         rows += [(c, i, role, text) for i, (role, text) in enumerate(turns)]
     draw.shuffle(rows)
-    found = found_trie(spark, rows)
-    assert len(found) == len(set(found)) and set(found) == plain_trie(rows)
     borrowed = found_trie(
         spark, rows, borrowed=F.crc32(F.col("conv_id").cast("string")) % 9, lender=F.col("conv_id") - F.col("conv_id") % 5
     )
