@@ -12,7 +12,9 @@ picks of three with probability 0.488 ** 24 = 3e-8.
 No bucket is expanded into pairs. First every text is compared with the most
 central text of each of its buckets; the linked texts become one group. Then,
 within buckets that still hold several groups, texts outside the largest group
-meet those of other groups if a 128-bit sketch allows the similarity (a miss
+meet those of other groups if their lengths and two sketches allow the
+similarity: the lowest bits of 128 minima, and the parity of the items in 1024
+bins, whose difference counts the items that the two texts do not share (a miss
 needs more than four standard deviations). Buckets above ``hot`` texts are cut
 by a second agreeing pick, which every similar pair has, too.
 
@@ -26,6 +28,8 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -36,6 +40,10 @@ from pyspark.sql import functions as F
 from gapgauge.llm.common import hashed, mixed, multipliers, settled, slices, words_of
 
 BITS = 128
+BINS = 1024
+DEVIATIONS = 4.3
+PARITIES = [f"o{i}" for i in range(BINS // 64)]
+SKETCH = ["n", "b0", "b1", *PARITIES]
 CHUNK = 4096
 
 
@@ -102,6 +110,12 @@ def sketch(items: np.ndarray, repeats: int, picks: int) -> tuple[np.ndarray, np.
     return keys.view(np.int64), bits
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """Parity of the number of items in every bin, packed into longs."""
+    odd = np.bincount((mixed(items) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Share of items paired by the longest in-order chain within the band.
 
@@ -145,21 +159,37 @@ def signatures(docs: DataFrame, p: NearParams, row_key: list[str]) -> DataFrame:
                 rows = []
                 for node, items in items_of(part["text"].tolist(), p.shingle):
                     keys, bits = sketch(items, p.repeats, p.picks) if len(items) else (np.empty(0, np.int64), np.zeros(2, np.int64))
-                    rows.append((node, keys, bits[0], bits[1]))
-                yield pd.DataFrame(rows, columns=["node", "keys", "b0", "b1"], index=part.index).assign(**{c: part[c] for c in row_key})[[*row_key, "node", "keys", "b0", "b1"]]
+                    rows.append((node, keys, len(items), *bits.tolist(), *parities(items).tolist()))
+                yield pd.DataFrame(rows, columns=["node", "keys", *SKETCH], index=part.index).assign(**{c: part[c] for c in row_key})[[*row_key, "node", "keys", *SKETCH]]
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select(row_key).schema]
-    return docs.select(*row_key, "text").mapInPandas(sign, ", ".join([*fields, "node binary, keys array<long>, b0 long, b1 long"]))
+    return docs.select(*row_key, "text").mapInPandas(sign, ", ".join([*fields, "node binary, keys array<long>", *(f"{c} long" for c in SKETCH)]))
 
 
-def bits_apart(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("b0", "b1")), F.lit(0))
+def apart(a: str, b: str, columns: list[str]) -> Column:
+    return reduce(add, (F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in columns))
 
 
 def most_apart(similarity: float) -> int:
-    """Bits in which sketches of so similar texts can differ: mean + 4.3 deviations."""
+    """Bits in which minima of so similar texts can differ: mean + deviations."""
     p = (1 - similarity) / 2
-    return int(np.ceil(BITS * p + 4.3 * np.sqrt(BITS * p * (1 - p))))
+    return int(np.ceil(BITS * p + DEVIATIONS * np.sqrt(BITS * p * (1 - p))))
+
+
+def may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """Whether lengths and sketches of ``a`` and ``b`` allow the similarity.
+
+    So similar texts share all but (1 - s) / (1 + s) of their items. That many
+    items at most make as many bins odd, fewer where items meet in a bin.
+    """
+    total = F.col(f"{a}.n") + F.col(f"{b}.n")
+    single = total * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    rate = single / F.lit(float(BINS))
+    mean = F.lit(BINS / 2) * (F.lit(1.0) - F.exp(rate * -2))
+    spread = F.lit(BINS / 4) * (F.lit(1.0) - F.exp(rate * -4)) - single * F.exp(rate * -4)
+    odd = F.least(single, mean + F.lit(DEVIATIONS) * F.sqrt(F.greatest(spread, F.lit(0.0))) + F.lit(1.0))
+    lengths = F.least(f"{a}.n", f"{b}.n") >= F.greatest(f"{a}.n", f"{b}.n") * F.lit(similarity)
+    return lengths & (apart(a, b, ["b0", "b1"]) <= most_apart(similarity)) & (apart(a, b, PARITIES) <= odd)
 
 
 def buckets(nodes: DataFrame, p: NearParams) -> DataFrame:
@@ -183,28 +213,29 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
 
 
-def central_pairs(shared: DataFrame, bits: DataFrame, apart: int) -> DataFrame:
+def central_pairs(shared: DataFrame, sketches: DataFrame, p: NearParams) -> DataFrame:
     """Every node with the most central node of each of its buckets."""
     weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
     weighted = settled(shared.join(weight, "node"), "near-weights")
     leaders = settled(weighted.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("leader")), "near-leaders")
     pairs = ordered_pairs(weighted.join(leaders, "key").select(F.col("node").alias("a"), F.col("leader").alias("b")))
     pairs = settled(pairs, "near-central")
-    left, right = bits.alias("l"), bits.alias("r")
+    left, right = sketches.alias("l"), sketches.alias("r")
     kept = pairs.join(left, F.col("a") == F.col("l.node")).join(right, F.col("b") == F.col("r.node"))
-    return kept.filter(bits_apart("l", "r") <= apart).select("a", "b")
+    return kept.filter(may_be_similar("l", "r", p.similarity)).select("a", "b")
 
 
-def cross_pairs(shared: DataFrame, bits: DataFrame, labels: DataFrame, apart: int) -> DataFrame:
+def cross_pairs(shared: DataFrame, sketches: DataFrame, labels: DataFrame, p: NearParams) -> DataFrame:
     """Pairs of different groups that share a bucket and may be similar."""
     grouped = settled(shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "near-grouped")
     per_group = grouped.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     open_keys = per_group.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("groups"))
     open_keys = settled(open_keys.filter("groups > 1").drop("groups"), "near-open")
-    mixed_rows = settled(grouped.join(open_keys, "key").join(bits, "node"), "near-mixed")
+    mixed_rows = settled(grouped.join(open_keys, "key").join(sketches, "node"), "near-mixed")
     l, r = mixed_rows.filter("label != main").alias("l"), mixed_rows.alias("r")
-    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & (bits_apart("l", "r") <= apart)
+    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label"))
     met &= (F.col("r.label") == F.col("r.main")) | (F.col("l.node") < F.col("r.node"))
+    met &= may_be_similar("l", "r", p.similarity)
     return ordered_pairs(l.join(r, met).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
 
 
@@ -247,16 +278,15 @@ def components(edges: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, p: NearParams, row_key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Row key, node and label (smallest node of the class) of every row, and the links."""
     signed = settled(signatures(docs, p, row_key), "near-signatures")
-    nodes = signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("keys", "b0", "b1")))
+    nodes = signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ["keys", *SKETCH]))
     nodes = settled(nodes, "near-nodes")
-    bits = nodes.select("node", "b0", "b1")
-    apart = most_apart(p.similarity)
+    sketches = nodes.select("node", *SKETCH)
     shared = buckets(nodes, p)
-    central = settled(central_pairs(shared, bits, apart), "near-first")
+    central = settled(central_pairs(shared, sketches, p), "near-first")
     texts = bucket_texts(docs, shared)
     links = settled(verified(central, texts, p), "near-links")
     labels = components(links)
-    more = cross_pairs(shared, bits, labels, apart).join(central, ["a", "b"], "left_anti")
+    more = cross_pairs(shared, sketches, labels, p).join(central, ["a", "b"], "left_anti")
     more = settled(verified(settled(more, "near-second"), texts, p), "near-links")
     if not more.isEmpty():
         links = links.unionByName(more)
