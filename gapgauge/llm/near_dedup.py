@@ -303,7 +303,10 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> tuple[Data
     doc_id of the class). The second has the verified links between different
     word sequences that were needed to form the classes: a, b, similarity.
     """
-    grouped, links = near_classes(docs, p, ["doc_id"])
+    # as text, since long ids beside NULL would pass through pandas as floats
+    named = docs.select(F.col("doc_id").cast("string").alias("name"), "text")
+    grouped, links = near_classes(named, p, ["name"])
+    grouped = grouped.select("node", "label", F.col("name").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
     lowest = settled(grouped.groupBy("label").agg(F.min("doc_id").alias("class_id")), "near-classes")
     return grouped.join(lowest, "label").select("doc_id", "node", "class_id"), links
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gapgauge.llm import near_dedup
 
+BIG = (1 << 53) + 1
+
 
 def edited(rng, words, share):
     out = list(words)
@@ -60,3 +62,11 @@ def test_copies_of_one_text_meet_in_few_pairs(spark):
     found = {r["doc_id"]: r["class_id"] for r in members.collect()}
     assert [found[i] for i in range(len(texts))] == label
     assert links.count() < 8 * len(texts)
+
+
+def test_long_ids_beside_null_stay_as_they_are(spark):
+    text = " ".join(f"word{i}" for i in range(50))
+    rows = [(BIG, text), (BIG + 2, text.replace("word7 ", "other ")), (None, "alone in the batch"), (-(1 << 63), "another one"), (BIG, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = sorted((str(r["doc_id"]), str(r["class_id"])) for r in near_dedup.near_duplicates(docs)[0].collect())
+    assert found == sorted([(str(BIG), str(BIG))] * 2 + [(str(BIG + 2), str(BIG)), ("None", "None"), (str(-(1 << 63)),) * 2])
