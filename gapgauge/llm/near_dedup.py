@@ -41,6 +41,8 @@ from gapgauge.llm.common import hashed, mixed, multipliers, settled, slices, wor
 
 BITS = 128
 BINS = 1024
+#: Size of the bitmap of nodes whose texts are wanted: 8 MB, whatever the table.
+BITMAP_BITS = 1 << 26
 DEVIATIONS = 4.3
 PARITIES = [f"o{i}" for i in range(BINS // 64)]
 SKETCH = ["n", "b0", "b1", *PARITIES]
@@ -311,15 +313,33 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> tuple[Data
     return grouped.join(lowest, "label").select("doc_id", "node", "class_id"), links
 
 
+def node_bitmap(nodes: DataFrame) -> np.ndarray:
+    """Bitmap of fixed size that holds the leading bits of every node.
+
+    It spares most texts without a bucket the way to the join, which decides;
+    on a table that fills it, all texts go there.
+    """
+    places = nodes.select((F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long") % F.lit(BITMAP_BITS)).alias("place"))
+    words = places.select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+    bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
+    for word, bits in words.groupBy("word").agg(F.bit_or("bit")).toLocalIterator():
+        bitmap[word] = bits
+    return bitmap.view(np.uint8)
+
+
 def bucket_texts(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """(node, text) of the nodes that share a bucket, one text for each."""
+    wanted = settled(shared.select("node").distinct(), "near-wanted")
+    held = node_bitmap(wanted)
 
     def digests(batches):
         for batch in batches:
-            yield pd.DataFrame({"node": [xxhash.xxh3_128_digest(" ".join(words_of(t)).encode()) for t in batch["text"]], "text": batch["text"]})
+            nodes = [xxhash.xxh3_128_digest(" ".join(words_of(t)).encode()) for t in batch["text"]]
+            at = np.array([int.from_bytes(n[:4], "big") % BITMAP_BITS for n in nodes], np.int64)
+            known = (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            yield pd.DataFrame({"node": nodes, "text": batch["text"]})[known]
 
     keyed = docs.select("text").mapInPandas(digests, "node binary, text string")
-    wanted = settled(shared.select("node").distinct(), "near-wanted")
     return settled(keyed.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
 
 
