@@ -36,10 +36,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gapgauge.llm.common import opened, scratch_path, settled, slices, tokenizer_path
+from gapgauge.llm.common import opened, runs, scratch_path, settled, tokenizer_path
 
 MARK = "▁"
 
@@ -91,6 +94,20 @@ def pieces_of(path: str) -> pd.DataFrame:
     return out
 
 
+@lru_cache(maxsize=2)
+def wide_pieces(path: str) -> pd.DataFrame:
+    """piece, id, score, place of the pieces of two or more characters.
+
+    ``place`` numbers the different scores, best first.
+    """
+    known = pieces_of(path)
+    out = known[known["piece"].str.len() > 1].copy()
+    out["place"] = np.unique(-out["score"].to_numpy(), return_inverse=True)[1]
+    if len(out) and max(out["place"].max(), out["id"].max()) >= 1 << 20:
+        raise ValueError("more pieces than an edge has room for")
+    return out
+
+
 @lru_cache(maxsize=4)
 def by_character(path: str, column: str, missing: float) -> str:
     """SQL array by code point of the ids or scores of single characters.
@@ -106,6 +123,13 @@ def by_character(path: str, column: str, missing: float) -> str:
     return f"cast(split('{','.join(map(str, values.tolist()))}', ',') as array<{kind}>)"
 
 
+@lru_cache(maxsize=2)
+def by_place(path: str) -> str:
+    """SQL array of the scores of wide pieces by their place."""
+    scores = np.unique(-wide_pieces(path)["score"].to_numpy())
+    return f"cast(split('{','.join(map(str, (-scores).tolist()))}', ',') as array<double>)"
+
+
 def units_of(text: str) -> list[str]:
     """Units of a text, with a space for the model's mark."""
     if not text:
@@ -117,55 +141,68 @@ def units_of(text: str) -> list[str]:
     return LATIN_UNIT.findall(" " + text)
 
 
-def with_blocks(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_block``, a hash of the scanned file and the place in it."""
-    return docs.withColumn("_block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
-
-
 def block_units(docs: DataFrame) -> DataFrame:
-    """_block, unit: the different units of each scanned block."""
+    """block, unit: the different units of each scanned block (block, text)."""
 
     def collect(batches):
         block, seen = None, set()
         for batch in batches:
-            for own, text in zip(batch["_block"].tolist(), batch["text"], strict=True):
-                if own != block:
-                    yield from emitted(block, seen)
-                    block, seen = own, set()
-                seen.update(units_of(text or ""))
+            for part in text_slices(batch):
+                for own, text in zip(part["block"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    if own != block:
+                        yield from emitted(block, seen)
+                        block, seen = own, set()
+                    seen.update(units_of(text or ""))
         yield from emitted(block, seen)
 
     def emitted(block, seen):
         while seen:
-            yield pd.DataFrame({"_block": block, "unit": [seen.pop() for _ in range(min(len(seen), 20_000))]})
+            units = [seen.pop() for _ in range(min(len(seen), 20_000))]
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(units), pa.int64()), "unit": pa.array(units, pa.string())})
+
+    return docs.select("block", "text").mapInArrow(collect, "block long, unit string")
+
 
-    return docs.select("_block", "text").mapInPandas(collect, "_block long, unit string")
+def text_slices(batch: pa.RecordBatch, limit: int = 1 << 20):
+    """Runs of rows of a batch with about ``limit`` bytes of text (one row at least)."""
+    if batch.num_rows:
+        sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for begin, end in zip(*runs(np.cumsum(sizes) // limit), strict=True):
+            yield batch.slice(int(begin), int(end - begin))
 
 
 def lattice_edges(units: DataFrame, p: PieceParams) -> DataFrame:
-    """unit, blocks, edges: array of (cost, start, stop, id), best score first.
+    """unit, blocks, edges of the units of up to LONGEST characters.
 
-    The piece table is bounded by the model. Its empty entry keeps every unit.
-    Units come hashed by unit, so grouping their edges needs no shuffle.
+    An edge is one number, place << 32 | start << 26 | stop << 20 | id, so plain
+    order is best score first, then leftmost. The piece table is bounded by the
+    model. Its empty entry keeps every unit and is the one row that carries the
+    blocks. Units come hashed by unit, so grouping their edges needs no shuffle.
     """
-    spark, known = units.sparkSession, pieces_of(p.model)
-    table = spark.createDataFrame(pd.concat([known, pd.DataFrame({"piece": [""], "id": [-1], "score": [0.0]})]), "piece string, id int, score double")
-    longest = int(known["piece"].str.len().max())
+    spark, known = units.sparkSession, wide_pieces(p.model)
+    rows = [(piece, int(place) << 32 | int(i)) for piece, place, i in known[["piece", "place", "id"]].itertuples(index=False)]
+    table = spark.createDataFrame([*rows, ("", None)], "piece string, edge long")
+    longest = int(known["piece"].str.len().max()) if len(known) else 1
     size = F.char_length("unit")
     first = F.when(size <= LONGEST, F.sequence(F.lit(0), size)).otherwise(F.array(size))
     starts = units.select("unit", "blocks", size.alias("size"), F.explode(first).alias("start"))
     # the last place gives the empty entry; single characters need no edge
     stops = F.when(F.col("start") == F.col("size"), F.array("size")).when(F.col("start") + 1 < F.col("size"), F.sequence(F.col("start") + 2, F.least(F.col("size"), F.col("start") + longest)))
-    cut = starts.select("unit", "blocks", "start", F.explode(stops).alias("stop")).withColumn("piece", F.expr("substr(unit, start + 1, stop - start)"))
-    edges = cut.join(F.broadcast(table.filter("length(piece) != 1")), "piece")
-    packed = F.struct((-F.col("score")).alias("cost"), "start", "stop", "id")
-    return edges.groupBy("unit").agg(F.first("blocks").alias("blocks"), F.sort_array(F.collect_list(packed)).alias("edges"))
+    once = F.when(F.col("start") == F.col("size"), F.col("blocks")).alias("blocks")
+    cut = starts.select("unit", once, "start", F.explode(stops).alias("stop")).withColumn("piece", F.expr("substr(unit, start + 1, stop - start)"))
+    edges = cut.join(F.broadcast(table), "piece")
+    packed = F.expr("edge | shiftleft(cast(start as bigint), 26) | shiftleft(cast(stop as bigint), 20)")
+    return edges.groupBy("unit").agg(F.first("blocks", ignorenulls=True).alias("blocks"), F.sort_array(F.collect_list(packed)).alias("edges"))
+
+
+#: Fields of an edge.
+START, STOP, ID, PLACE = "cast(shiftright(e, 26) & 63 as int)", "cast(shiftright(e, 20) & 63 as int)", "cast(e & 1048575 as int)", "cast(shiftright(e, 32) as int)"
 
 
 def merge_cuts() -> Column:
     """Bits of the places where the unit stays cut (fold of best merges)."""
-    ends, inside = "shiftleft(1L, e.start) | shiftleft(1L, e.stop)", "shiftleft(1L, e.stop) - shiftleft(2L, e.start)"
-    masks = f"transform(filter(edges, e -> e.id >= 0), e -> struct({ends} as ends, {inside} as inside))"
+    ends, inside = f"shiftleft(1L, {START}) | shiftleft(1L, {STOP})", f"shiftleft(1L, {STOP}) - shiftleft(2L, {START})"
+    masks = f"transform(edges, e -> struct({ends} as ends, {inside} as inside))"
     ready = "filter(masks, e -> (cuts & e.ends) = e.ends and bit_count(cuts & e.inside) = 1)"
     step = f"coalesce(cuts & ~get({ready}, 0).inside, cuts)"
     fold = f"aggregate(sequence(2, char_length(unit)), shiftleft(1L, char_length(unit) + 1) - 1, (cuts, i) -> {step})"
@@ -181,7 +218,7 @@ def viterbi_cuts(p: PieceParams) -> Column:
     """
     own = f"coalesce(get({by_character(p.model, 'score', UNKNOWN)}, ascii(substr(unit, i, 1))), {UNKNOWN}D)"
     unknown = f"(element_at(state, i).score + {own})"
-    ways = "transform(filter(edges, e -> e.stop = i and e.id >= 0), e -> struct(element_at(state, e.start + 1).score - e.cost as score, element_at(state, e.start + 1).cuts | shiftleft(1L, i) as cuts))"
+    ways = f"transform(filter(edges, e -> {STOP} = i), e -> struct(element_at(state, {START} + 1).score + get({by_place(p.model)}, {PLACE}) as score, element_at(state, {START} + 1).cuts | shiftleft(1L, i) as cuts))"
     alone = f"array(struct({unknown} as score, element_at(state, i).cuts | shiftleft(1L, i) as cuts))"
     best = f"array_max(concat({ways}, {alone}))"
     start = "array(struct(0.0D as score, 1L as cuts))"
@@ -195,7 +232,7 @@ def fold_units(lattice: DataFrame, p: PieceParams) -> DataFrame:
     # a one-element array binds a value that an expression uses several times
     places = "transform(array(cuts), c -> filter(sequence(0, char_length(unit)), i -> (shiftright(c, i) & 1) = 1))[0]"
     part = "substr(unit, at[k] + 1, at[k + 1] - at[k])"
-    wide = "filter(edges, e -> e.start = at[k] and e.stop = at[k + 1]).id"
+    wide = f"transform(filter(edges, e -> {START} = at[k] and {STOP} = at[k + 1]), e -> {ID})"
     single = f"array(coalesce(get({by_character(p.model, 'id', -1)}, ascii({part})), -1))"
     octets = f"transform(sequence(1, octet_length({part})), b -> cast(conv(substr(hex(encode({part}, 'UTF-8')), 2 * b - 1, 2), 16, 10) as int) + {first_byte})"
     own = f"if(at[k + 1] - at[k] > 1, {wide}, {single})"
@@ -231,49 +268,76 @@ def encode_documents(docs: DataFrame, p: PieceParams = PieceParams(), verify: bo
     ``keep`` names the columns that are wanted besides; texts that nobody reads
     again need not come back from the encoding tasks.
     """
-    docs = docs.drop("ids", "_block", *(["restored"] if verify else []))
+    docs = docs.drop("ids", *(["restored"] if verify else []))
     if not docs.select(F.input_file_name().alias("file")).filter("file = ''").isEmpty():
         docs = settled(docs, "piece-documents")
-    scanned = with_blocks(docs)
-    units = block_units(scanned).groupBy("unit").agg(F.collect_set("_block").alias("blocks"))
+    names, path = docs.columns if keep is None else keep, p.model
+    # a block is a hash of the scanned file and the place in it
+    block = F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("block")
+    scanned = docs.select(block, docs["text"].alias("text"), carried(docs, [c for c in names if c != "text"]))
+    units = block_units(scanned).groupBy("unit").agg(F.collect_set("block").alias("blocks"))
     folder = scratch_path(docs.sparkSession, "piece-blocks")
     each = fold_units(lattice_edges(units, p), p).select("unit", "ids", F.explode("blocks").alias("block"))
     each.repartition("block").write.partitionBy("block").parquet(folder)
 
-    names, path = docs.columns if keep is None else keep, p.model
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema)
+    with_text = "text" in names
+    schema = T.StructType([scanned.schema["rest"]])
+    if with_text:
+        schema = schema.add("text", "string")
+    schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    if verify:
+        schema = schema.add("restored", "boolean")
 
     def encode(batches):
         block, known, octets = None, {}, piece_bytes(path) if verify else []
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                ids = []
-                for own, text in zip(batch["_block"].tolist(), batch["text"], strict=True):
+        for batch in batches:
+            for part in text_slices(batch):
+                ids, restored = [], []
+                for own, text in zip(part["block"].to_pylist(), part["text"].to_pylist(), strict=True):
                     if not text:
-                        ids.append(None if text is None else [])
+                        ids.append(None if text is None else b"")
+                        restored.append(True)
                         continue
                     if own != block:
                         block, known = own, {}
                         known = block_dictionary(f"{folder}/block={own}")
-                    ids.append(np.frombuffer(b"".join([known[u] for u in units_of(text)]), np.int32))
-                out = batch[names].assign(ids=ids)
+                    ids.append(b"".join([known[u] for u in units_of(text)]))
+                    if verify:
+                        restored.append(decoded(np.frombuffer(ids[-1], np.int32), octets) == text)
+                out = {"rest": part["rest"], **({"text": part["text"]} if with_text else {}), "ids": id_lists(ids)}
                 if verify:
-                    out["restored"] = [t is None or decoded(i, octets) == t for i, t in zip(ids, batch["text"], strict=True)]
-                yield out
+                    out["restored"] = pa.array(restored, pa.bool_())
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    found = scanned.mapInArrow(encode, schema)
+    kept = [F.col("text") if c == "text" else F.col("rest").getField("own").getField(c).alias(c) for c in names]
+    return found.select(*kept, "ids", *(["restored"] if verify else []))
+
+
+def carried(docs: DataFrame, names: list[str]) -> Column:
+    """Columns that tasks hand on unseen, as one struct ``rest`` with the struct ``own``."""
+    own = [F.struct(*(F.col(f"`{c}`") for c in names)).alias("own")] if names else []
+    return F.struct(F.lit(0).alias("none"), *own).alias("rest")
+
 
-    return scanned.mapInPandas(encode, f"{fields}, ids array<int>" + ", restored boolean" * verify)
+def id_lists(packed: list[bytes | None]) -> pa.Array:
+    """Lists of ids from their bytes; None stays NULL."""
+    ends = np.cumsum([0, *(len(x or b"") // 4 for x in packed)])
+    offsets = pa.array(ends.astype(np.int32))
+    missing = pa.array([x is None for x in packed], pa.bool_())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(x for x in packed if x), np.int32)), mask=missing)
 
 
 def block_dictionary(folder: str) -> dict[str, bytes]:
     """Units of one block with their ids as packed numbers."""
-    from pyarrow import parquet
+    from pyarrow import dataset
 
     store, path = opened(folder)
-    table = parquet.read_table(path, filesystem=store, columns=["unit", "ids"], partitioning=None).combine_chunks()
     out = {}
-    for batch in table.to_batches(max_chunksize=65536):
+    for batch in dataset.dataset(path, filesystem=store, format="parquet").to_batches(columns=["unit", "ids"], batch_size=16_384, batch_readahead=1, fragment_readahead=1):
         ids = batch.column("ids")
-        flat, at = ids.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), (4 * ids.offsets.to_numpy()).tolist()
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
+        at = (4 * (ids.offsets.to_numpy() - ids.offsets[0].as_py())).tolist()
         out.update((unit, flat[at[i] : at[i + 1]]) for i, unit in enumerate(batch.column("unit").to_pylist()))
     return out
 
@@ -291,13 +355,14 @@ def decoded(ids: np.ndarray, octets: list[bytes]) -> str:
 
 def decode_documents(encoded: DataFrame, p: PieceParams = PieceParams(), column: str = "decoded") -> DataFrame:
     """``encoded`` with the text that its ``ids`` stand for."""
-    rest = encoded.drop(column)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    path = p.model
+    names, path = encoded.drop(column).columns, p.model
+    sent = encoded.select(F.col("ids"), carried(encoded, names))
 
     def decode(batches):
         octets = piece_bytes(path)
         for batch in batches:
-            yield batch.assign(**{column: [None if ids is None else decoded(ids, octets) for ids in batch["ids"]]})
+            texts = [None if ids is None else decoded(np.array(ids, np.int32), octets) for ids in batch["ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["rest"], pa.array(texts, pa.string())], names=["rest", "text"])
 
-    return rest.mapInPandas(decode, f"{fields}, {column} string")
+    found = sent.mapInArrow(decode, T.StructType([sent.schema["rest"]]).add("text", "string"))
+    return found.select(*(F.col("rest").getField("own").getField(c).alias(c) for c in names), F.col("text").alias(column))
