@@ -197,16 +197,21 @@ def lattice_edges(units: DataFrame, p: PieceParams) -> DataFrame:
 
 #: Fields of an edge.
 START, STOP, ID, PLACE = "cast(shiftright(e, 26) & 63 as int)", "cast(shiftright(e, 20) & 63 as int)", "cast(e & 1048575 as int)", "cast(shiftright(e, 32) as int)"
+ENDS, INSIDE = f"shiftleft(1L, {START}) | shiftleft(1L, {STOP})", f"shiftleft(1L, {STOP}) - shiftleft(2L, {START})"
 
 
 def merge_cuts() -> Column:
-    """Bits of the places where the unit stays cut (fold of best merges)."""
-    ends, inside = f"shiftleft(1L, {START}) | shiftleft(1L, {STOP})", f"shiftleft(1L, {STOP}) - shiftleft(2L, {START})"
-    masks = f"transform(edges, e -> struct({ends} as ends, {inside} as inside))"
-    ready = "filter(masks, e -> (cuts & e.ends) = e.ends and bit_count(cuts & e.inside) = 1)"
-    step = f"coalesce(cuts & ~get({ready}, 0).inside, cuts)"
-    fold = f"aggregate(sequence(2, char_length(unit)), shiftleft(1L, char_length(unit) + 1) - 1, (cuts, i) -> {step})"
-    return F.expr(f"if(char_length(unit) = 1, 3L, transform(array({masks}), masks -> {fold})[0])")
+    """Bits of the places where the unit stays cut (fold of best merges).
+
+    Cuts only go, so an edge that lost an end, or all within it, is left out of
+    the later steps.
+    """
+    masks = f"transform(edges, e -> struct({ENDS} as ends, {INSIDE} as inside))"
+    begin = f"struct(~shiftleft(-1L, char_length(unit) + 1) as cuts, {masks} as edges)"
+    step = "coalesce(s.cuts & ~get(filter(s.edges, e -> bit_count(s.cuts & e.inside) = 1), 0).inside, s.cuts)"
+    left = "filter(s.edges, e -> (cuts & e.ends) = e.ends and (cuts & e.inside) != 0)"
+    then = f"if(size(s.edges) = 0, s, transform(array({step}), cuts -> struct(cuts as cuts, {left} as edges))[0])"
+    return F.expr(f"if(size(edges) = 0, ~shiftleft(-1L, char_length(unit) + 1), aggregate(sequence(2, char_length(unit)), {begin}, (s, i) -> {then}, s -> s.cuts))")
 
 
 def viterbi_cuts(p: PieceParams) -> Column:
@@ -229,17 +234,17 @@ def fold_units(lattice: DataFrame, p: PieceParams) -> DataFrame:
     """unit, blocks, ids: the pieces of every unit."""
     first_byte = processor(p.model).piece_to_id("<0x00>")
     cuts = merge_cuts() if p.fold == "merge" else viterbi_cuts(p)
+    # one number for each piece, start << 32 | byte << 28 | id, puts them in order
+    wide = f"transform(filter(edges, e -> (cuts & ({ENDS} | {INSIDE})) = ({ENDS})), e -> shiftleft(cast({START} as bigint), 32) | {ID})"
+    part = "substr(unit, i + 1, 1)"
+    known = f"coalesce(get({by_character(p.model, 'id', -1)}, ascii({part})), -1)"
+    octets = f"transform(sequence(1, octet_length({part})), b -> shiftleft(cast(i as bigint), 32) | shiftleft(cast(b as bigint), 28) | (cast(conv(substr(hex(encode({part}, 'UTF-8')), 2 * b - 1, 2), 16, 10) as bigint) + {first_byte}))"
     # a one-element array binds a value that an expression uses several times
-    places = "transform(array(cuts), c -> filter(sequence(0, char_length(unit)), i -> (shiftright(c, i) & 1) = 1))[0]"
-    part = "substr(unit, at[k] + 1, at[k + 1] - at[k])"
-    wide = f"transform(filter(edges, e -> {START} = at[k] and {STOP} = at[k + 1]), e -> {ID})"
-    single = f"array(coalesce(get({by_character(p.model, 'id', -1)}, ascii({part})), -1))"
-    octets = f"transform(sequence(1, octet_length({part})), b -> cast(conv(substr(hex(encode({part}, 'UTF-8')), 2 * b - 1, 2), 16, 10) as int) + {first_byte})"
-    own = f"if(at[k + 1] - at[k] > 1, {wide}, {single})"
-    one = f"transform(array({own}), ids -> if(ids[0] >= 0, ids, {octets}))[0]"
-    ids = f"transform(array(places), at -> flatten(transform(sequence(0, size(at) - 2), k -> {one})))[0]"
+    one = f"transform(array({known}), id -> if(id >= 0, array(shiftleft(cast(i as bigint), 32) | id), {octets}))[0]"
+    alone = f"flatten(transform(filter(sequence(0, char_length(unit) - 1), i -> (shiftright(cuts, i) & 3) = 3), i -> {one}))"
+    ids = f"transform(sort_array(concat({wide}, {alone})), x -> cast(x & 268435455 as int))"
     cuts = F.when(F.char_length("unit") <= LONGEST, cuts)
-    folded = lattice.withColumn("cuts", cuts).withColumn("places", F.expr(places)).select("unit", "blocks", F.when(F.col("cuts").isNotNull(), F.expr(ids)).alias("ids"))
+    folded = lattice.withColumn("cuts", cuts).select("unit", "blocks", F.when(F.col("cuts").isNotNull(), F.expr(ids)).alias("ids"))
     folded = settled(folded, "piece-units")
 
     def by_library(batches):
