@@ -33,6 +33,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gapgauge.llm.common import hashed, mixed, settled, slices
 
@@ -168,11 +169,17 @@ def scanned(docs: DataFrame, p: LineParams, keys: list[str]) -> DataFrame:
                 sketch = np.empty(len(doc), object)
                 first = np.unique(doc, return_index=True)[1]
                 sketch[first] = [row.tobytes() for row in text_sketches(codes, of_line, doc, len(split))[present]]
-                own = {c: batch[c].to_numpy()[doc] if not batch[c].isna().any() else batch[c].iloc[doc].array for c in keys}
-                yield pd.DataFrame({**own, "line_no": number, "leaf": leaf, "masked": masked, "text_hash": text_hash[doc], "sketch": sketch})
+                kept = {c: batch[c].to_numpy()[doc] if not batch[c].isna().any() else batch[c].iloc[doc].array for c in own}
+                yield pd.DataFrame({**kept, "line_no": number, "leaf": leaf, "masked": masked, "text_hash": text_hash[doc], "sketch": sketch})
 
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select(keys).schema]
-    return docs.select(*keys, "text").mapInPandas(parse, ", ".join([*fields, "line_no int", "leaf long", "masked long", "text_hash long", "sketch binary"]))
+    # whole numbers go without NULL, which would turn those of its batch into doubles
+    whole = [f.name for f in docs.select(keys).schema if isinstance(f.dataType, T.IntegralType)]
+    sent = docs.select(*(F.coalesce(c, F.lit(0)).alias(c) if c in whole else c for c in keys), *(F.isnull(c).alias(f"{c}_null") for c in whole), "text")
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in sent.drop("text").schema]
+    own = sent.drop("text").columns
+    found = sent.mapInPandas(parse, ", ".join([*fields, "line_no int", "leaf long", "masked long", "text_hash long", "sketch binary"]))
+    back = [F.when(~F.col(f"{c}_null"), F.col(c)).alias(c) if c in whole else c for c in keys]
+    return found.select(*back, "line_no", "leaf", "masked", "text_hash", "sketch")
 
 
 def masked_tokens(docs: DataFrame, p: LineParams, wanted: np.ndarray) -> DataFrame:
@@ -271,12 +278,15 @@ def drop_recurring_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataF
     Adds ``lines_dropped`` under that name; a column of that name is replaced.
     Rows are matched by doc_id and the text itself, so ids may repeat or be NULL.
     """
-    keyed = docs.drop("lines_dropped").withColumn("_text", F.xxhash64("text"))
-    found = recurring_lines(keyed.select("doc_id", "text", "_text"), p, ("doc_id", "_text"))
-    cut = settled(found.groupBy("doc_id", "_text").agg(F.sort_array(F.collect_set("line_no")).alias("_cut")), "line-cuts")
-    same = keyed["doc_id"].eqNullSafe(cut["doc_id"]) & (keyed["_text"] == cut["_text"])
-    joined = keyed.join(cut, same, "left").select(*(keyed[c] for c in docs.columns if c != "lines_dropped"), cut["_cut"])
-
-    kept = F.expr("concat_ws('\\n', filter(split(text, '\\n', -1), (line, i) -> not array_contains(_cut, i)))")
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept)
-    return joined.withColumns({"text": text, "lines_dropped": F.coalesce(F.size("_cut"), F.lit(0))}).drop("_cut")
+    names = [c for c in docs.columns if c != "lines_dropped"]
+    # the columns ride in one struct, so their names meet none of those used here
+    keyed = docs.select(F.struct(*(docs[f"`{c}`"] for c in names if c != "text")).alias("row"), "doc_id", "text", F.xxhash64("text").alias("digest"))
+    found = recurring_lines(keyed.select("doc_id", "text", "digest"), p, ("doc_id", "digest"))
+    cuts = settled(found.groupBy(F.col("doc_id").alias("cut_id"), F.col("digest").alias("cut_digest")).agg(F.collect_set("line_no").alias("cut")), "line-cuts")
+    joined = keyed.join(cuts, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("digest") == F.col("cut_digest")), "left")
+
+    # a one-element array binds a value that an expression uses several times
+    kept = F.expr("transform(array(split(text, '\\n', -1)), lines -> concat_ws('\\n', transform(array_except(sequence(0, size(lines) - 1), cut), i -> lines[i])))[0]")
+    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(kept)
+    own = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names]
+    return joined.select(*own, F.coalesce(F.size("cut"), F.lit(0)).alias("lines_dropped"))
