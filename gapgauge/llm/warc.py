@@ -11,7 +11,9 @@ largest page_id is the response and the others are revisit records that refer
 to it; smaller ones are all responses. A file is written under a temporary name
 and renamed when complete; then its shard's manifest is written in the same way,
 and the archive's manifest after all shards. A task that runs again replaces
-whole files by equal ones. Readers go by the manifests only.
+whole files by equal ones. Names hold a digest of the rows and parameters, and the
+archive's manifest, replaced last, names that digest: other rows written to the
+same folder add files and take over once complete. Readers go by the manifests only.
 
 NULL payload: empty payload. NULL url: no target header. A NULL page_id is
 written as such and sorts first. Repeated rows are written once each; of equal
@@ -28,7 +30,7 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from urllib.parse import quote
 from uuid import NAMESPACE_URL, uuid4, uuid5
 
@@ -88,8 +90,8 @@ def encoded(page_id: int | None, url: str | None, payload: bytes, digest: str, c
 class ShardWriter:
     """Files of one shard, closed by compressed size."""
 
-    def __init__(self, store, folder: str, shard: int, p: WarcParams):
-        self.store, self.folder, self.shard, self.p = store, folder, shard, p
+    def __init__(self, store, folder: str, run: str, shard: int, p: WarcParams):
+        self.store, self.folder, self.run, self.shard, self.p = store, folder, run, shard, p
         self.parts: list[bytes] = []
         self.size = self.records = 0
         self.files: list[dict] = []
@@ -104,14 +106,14 @@ class ShardWriter:
     def roll(self) -> None:
         if self.parts:
             data = b"".join(self.parts)
-            name = f"part-{self.shard:06d}-{len(self.files):05d}.warc.gz"
+            name = f"part-{self.run}-{self.shard:06d}-{len(self.files):05d}.warc.gz"
             put(self.store, f"{self.folder}/{name}", data)
             self.files.append({"file": name, "bytes": self.size, "records": self.records, "sha1": hashlib.sha1(data).hexdigest()})
             self.parts, self.size, self.records = [], 0, 0
 
     def close(self) -> list[dict]:
         self.roll()
-        put(self.store, f"{self.folder}/manifest-{self.shard:06d}.json", json.dumps(self.files).encode())
+        put(self.store, f"{self.folder}/manifest-{self.run}-{self.shard:06d}.json", json.dumps(self.files).encode())
         return self.files
 
 
@@ -130,7 +132,11 @@ def write_archive(pages: DataFrame, folder: str, p: WarcParams = WarcParams()) -
     both = both.unionByName(known.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to", F.lit(0).alias("kind")))
     dealt = both.withColumn("shard", shard).repartitionById(shards, F.col("shard"))
     dealt = dealt.sortWithinPartitions("shard", "page_id", "kind", "url", "html")
+    # as text, since a NULL would turn the long ids of its batch into doubles
+    dealt = dealt.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
 
+    content = rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("page_id", "url", "html")), F.sum(F.xxhash64("url", "page_id", "html").cast("decimal(38,0)"))).first()
+    run = hashlib.sha1(json.dumps([*map(str, content), *map(str, asdict(p).items())]).encode()).hexdigest()[:12]
     store, path = opened(folder)
     store.create_dir(path, recursive=True)
 
@@ -144,7 +150,7 @@ def write_archive(pages: DataFrame, folder: str, p: WarcParams = WarcParams()) -
                 if writer is None or writer.shard != row.shard:
                     if writer:
                         done += writer.close()
-                    writer = ShardWriter(store, path, int(row.shard), p)
+                    writer = ShardWriter(store, path, run, int(row.shard), p)
                 if own != page:
                     page, refers, copies = own, {}, {}
                 if row.kind == 0:
@@ -162,7 +168,7 @@ def write_archive(pages: DataFrame, folder: str, p: WarcParams = WarcParams()) -
         yield pd.DataFrame(done, columns=["file", "bytes", "records", "sha1"])
 
     manifest = settled(dealt.mapInPandas(write, "file string, bytes long, records long, sha1 string"), "warc-manifest")
-    put(store, f"{path}/manifest.json", json.dumps({"shards": shards, "complete": True}).encode())
+    put(store, f"{path}/manifest.json", json.dumps({"run": run, "files": manifest.count()}).encode())
     return manifest
 
 
@@ -219,15 +225,18 @@ def read_archive(manifest: DataFrame, folder: str, payload: bool = True) -> Data
                 yield frame(rows)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=[f.split(" ")[0] for f in names.split(", ")])
+        out = pd.DataFrame(rows, columns=[f.split(" ")[0] for f in names.split(", ")], dtype=object)
         return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInPandas(read, names)
 
 
 def manifest_of(spark: SparkSession, folder: str) -> DataFrame:
-    """Manifest rows of a finished archive."""
+    """Manifest rows of the run that was finished last in a folder."""
     store, path = opened(folder)
     with store.open_input_stream(f"{path}/manifest.json") as top:
-        json.loads(top.read())
-    return spark.read.schema("file string, bytes long, records long, sha1 string").json(f"{folder}/manifest-*.json")
+        last = json.loads(top.read())
+    kind = "file string, bytes long, records long, sha1 string"
+    if not last["files"]:
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).json(f"{folder}/manifest-{last['run']}-*.json")
