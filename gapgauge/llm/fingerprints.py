@@ -165,7 +165,7 @@ def fingerprint_documents(docs: DataFrame, p: SketchParams = SketchParams()) ->
     document of a shard also goes to the shard before it, as its last successor.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    down = rows.withColumn("down", -F.col("doc_id"))
+    down = rows.withColumn("down", F.bitwise_not("doc_id"))
     shard, shards = ordered_shards(down, "down", F.char_length("text").cast("long") + 64, p.shard_chars)
     last = F.lit(shards - 1)
     placed = down.withColumn("shard", F.when(F.col("down").isNull(), last).otherwise(shard))
@@ -185,13 +185,15 @@ def fingerprint_documents(docs: DataFrame, p: SketchParams = SketchParams()) ->
     dealt = own.unionByName(extra).repartitionById(shards, F.col("shard"))
     # the extra row closes its shard; the first document of all follows the last
     dealt = dealt.sortWithinPartitions("shard", "extra", F.col("down").asc_nulls_last(), "tie")
+    # as text, since a NULL would turn the long ids of its batch into doubles
+    dealt = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "extra", "shard")
 
     def compare(batches):
         held: list[tuple] = []  # rows whose successor has not come yet, at most one after each round
         ready: list[tuple] = []
         size = 0
         for batch in batches:
-            for doc, text, extra, of in batch[["doc_id", "text", "extra", "shard"]].itertuples(index=False):
+            for doc, text, extra, of in batch.itertuples(index=False):
                 if held and held[0][2] == of:
                     ready.append((*held.pop()[:2], text))
                     size += len(ready[-1][1]) + 64
