@@ -18,7 +18,7 @@ from gapgauge.operators.resampling import POISSON_ONE, interval
 from gapgauge.params import StudyParams
 from gapgauge.plans import IngestPaths, validation_study
 from gapgauge.streaming import dedup_stream, late_rows, unique_rows
-from tests.conftest import plan_of
+from tests.conftest import optimized_of, plan_of
 
 EVENT = (
     "batter bigint, pitcher bigint, woba_denom int, woba_value double, estimated_woba_using_speedangle double, "
@@ -144,6 +144,21 @@ def test_poisson_interval_is_close_to_the_exact_one(spark, pairs):
     assert plan.count("Exchange hashpartitioning(win") <= 3 and "SortMergeJoin" not in plan
 
 
+def test_poisson_numbers_are_drawn_once_per_pair_and_replicate(pairs):
+    replicates = op.poisson_replicates(pairs, 40, 3)
+    assert optimized_of(replicates).count("md5(") == 1
+    # Rows that count zero times change nothing.
+    u = unit_draw(F.lit(3), F.lit("poisson"), "win", "half", "pid", "rep")
+    times = sum((F.when(F.col("u") >= p, 1).otherwise(0) for p in POISSON_ONE), F.lit(0))
+    drawn = pairs.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("u", u).withColumn("k", times)
+    repeated = drawn.filter("k > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("k"))))
+    expected = {r.rep: r.asDict() for r in op.predictive_stats(repeated, ["win", "rep"]).collect()}
+    found = {r.rep: r.asDict() for r in replicates.collect()}
+    assert set(found) == set(expected) == set(range(40))
+    for rep, row in found.items():
+        assert row == pytest.approx(expected[rep], rel=1e-9)
+
+
 def test_an_undefined_replicate_leaves_no_interval(spark):
     rows = [(30, 0.1, 0.2), (30, None, 0.3), (60, 0.1, 0.2), (60, 0.3, 0.4)]
     found = {r.win: r for r in interval(spark.createDataFrame(rows, "win int, dr double, b_partial double")).collect()}
