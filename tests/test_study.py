@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from datetime import date, timedelta
 
 import numpy as np
@@ -17,6 +18,7 @@ from gapgauge.operators import (
     bootstrap_replicates,
     eligible_entities,
     event_extent,
+    half_aggregates,
     index_pairs,
     pa_level,
     permutation_null,
@@ -304,3 +306,24 @@ def test_pairing_has_no_self_join(events):
     plan = plan_of(block_pairs(pa_level(events), events, PARAMS))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("windows", [(4, 6), (5, 7), (3,)])
+def test_halves_are_summed_in_spans_dealt_by_entity(spark, windows):
+    first = date(2001, 1, 1)
+    rows = [(i % 3, first + timedelta(days=(7 * i) % 41), float(i % 5), float(i % 7)) for i in range(200)]
+    expected = {}
+    for pid, day, w, x in rows:
+        for win in windows:
+            one = expected.setdefault((win, (day - first).days // win, pid), [0, 0.0, 0.0])
+            one[0], one[1], one[2] = one[0] + 1, one[1] + w, one[2] + x
+    halves = half_aggregates(spark.createDataFrame(rows, "pid bigint, game_date date, woba_pa double, xwoba_pa double"), first, windows, 10_000_000)
+    found = {(r.win, r.half, r.pid): r for r in halves.collect()}
+    assert set(found) == set(expected)
+    for key, (n, w, x) in expected.items():
+        assert (found[key].pa, found[key].woba, found[key].xwoba) == (n, pytest.approx(w / n), pytest.approx(x / n))
+    # What is repeated per window length is already dealt, over tasks that follow the rows.
+    plan = plan_of(halves)
+    tasks = max(spark.sparkContext.defaultParallelism, 5 * len(windows))
+    assert "hashpartitioning(win" not in plan
+    assert re.search(rf"Exchange hashpartitioning\(pid#\d+L?, {tasks}\), REPARTITION_BY_NUM", plan)
