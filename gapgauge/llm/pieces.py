@@ -96,15 +96,23 @@ def pieces_of(path: str) -> pd.DataFrame:
 
 @lru_cache(maxsize=2)
 def wide_pieces(path: str) -> pd.DataFrame:
-    """piece, id, score, place of the pieces of two or more characters.
+    """piece, id, score, place, halt of the pieces of two or more characters.
 
-    ``place`` numbers the different scores, best first.
+    ``place`` numbers the different scores, best first. ``halt`` marks pieces
+    that can be joined with a neighbour to a piece that is not worse.
     """
     known = pieces_of(path)
     out = known[known["piece"].str.len() > 1].copy()
     out["place"] = np.unique(-out["score"].to_numpy(), return_inverse=True)[1]
     if len(out) and max(out["place"].max(), out["id"].max()) >= 1 << 20:
         raise ValueError("more pieces than an edge has room for")
+    places, halting = dict(zip(out["piece"], out["place"].tolist(), strict=True)), set()
+    for piece, place in places.items():
+        for cut in range(1, len(piece)):
+            parts = piece[:cut], piece[cut:]
+            if all(len(part) == 1 or part in places for part in parts):
+                halting.update(part for part in parts if places.get(part, -1) >= place)
+    out["halt"] = out["piece"].isin(halting)
     return out
 
 
@@ -174,13 +182,13 @@ def text_slices(batch: pa.RecordBatch, limit: int = 1 << 20):
 def lattice_edges(units: DataFrame, p: PieceParams) -> DataFrame:
     """unit, blocks, edges of the units of up to LONGEST characters.
 
-    An edge is one number, place << 32 | start << 26 | stop << 20 | id, so plain
-    order is best score first, then leftmost. The piece table is bounded by the
+    An edge is one number, place << 33 | start << 27 | stop << 21 | id << 1 | halt,
+    so plain order is best score first, then leftmost. The piece table is bounded by the
     model. Its empty entry keeps every unit and is the one row that carries the
     blocks. Units come hashed by unit, so grouping their edges needs no shuffle.
     """
     spark, known = units.sparkSession, wide_pieces(p.model)
-    rows = [(piece, int(place) << 32 | int(i)) for piece, place, i in known[["piece", "place", "id"]].itertuples(index=False)]
+    rows = [(piece, int(place) << 33 | int(i) << 1 | int(halt)) for piece, place, i, halt in known[["piece", "place", "id", "halt"]].itertuples(index=False)]
     table = spark.createDataFrame([*rows, ("", None)], "piece string, edge long")
     longest = int(known["piece"].str.len().max()) if len(known) else 1
     size = F.char_length("unit")
@@ -191,26 +199,30 @@ def lattice_edges(units: DataFrame, p: PieceParams) -> DataFrame:
     once = F.when(F.col("start") == F.col("size"), F.col("blocks")).alias("blocks")
     cut = starts.select("unit", once, "start", F.explode(stops).alias("stop")).withColumn("piece", F.expr("substr(unit, start + 1, stop - start)"))
     edges = cut.join(F.broadcast(table), "piece")
-    packed = F.expr("edge | shiftleft(cast(start as bigint), 26) | shiftleft(cast(stop as bigint), 20)")
+    packed = F.expr("edge | shiftleft(cast(start as bigint), 27) | shiftleft(cast(stop as bigint), 21)")
     return edges.groupBy("unit").agg(F.first("blocks", ignorenulls=True).alias("blocks"), F.sort_array(F.collect_list(packed)).alias("edges"))
 
 
 #: Fields of an edge.
-START, STOP, ID, PLACE = "cast(shiftright(e, 26) & 63 as int)", "cast(shiftright(e, 20) & 63 as int)", "cast(e & 1048575 as int)", "cast(shiftright(e, 32) as int)"
+START, STOP, ID, PLACE = "cast(shiftright(e, 27) & 63 as int)", "cast(shiftright(e, 21) & 63 as int)", "cast(shiftright(e, 1) & 1048575 as int)", "cast(shiftright(e, 33) as int)"
 ENDS, INSIDE = f"shiftleft(1L, {START}) | shiftleft(1L, {STOP})", f"shiftleft(1L, {STOP}) - shiftleft(2L, {START})"
 
 
 def merge_cuts() -> Column:
     """Bits of the places where the unit stays cut (fold of best merges).
 
-    Cuts only go, so an edge that lost an end, or all within it, is left out of
-    the later steps.
+    A pass takes the edges in order and applies those that join two neighbouring
+    pieces. What an applied edge makes possible is worse and comes later in the
+    pass, unless its piece halts: then the sign bit is set, the rest of the pass
+    is skipped and the next one begins at the best edge. Cuts only go, so an
+    edge that lost an end, or all within it, is left out of the later passes.
     """
-    masks = f"transform(edges, e -> struct({ENDS} as ends, {INSIDE} as inside))"
+    masks = f"transform(edges, e -> struct({ENDS} as ends, {INSIDE} as inside, shiftleft(e & 1L, 63) as halt))"
     begin = f"struct(~shiftleft(-1L, char_length(unit) + 1) as cuts, {masks} as edges)"
-    step = "coalesce(s.cuts & ~get(filter(s.edges, e -> bit_count(s.cuts & e.inside) = 1), 0).inside, s.cuts)"
-    left = "filter(s.edges, e -> (cuts & e.ends) = e.ends and (cuts & e.inside) != 0)"
-    then = f"if(size(s.edges) = 0, s, transform(array({step}), cuts -> struct(cuts as cuts, {left} as edges))[0])"
+    joins = "cuts >= 0 and (cuts & e.ends) = e.ends and bit_count(cuts & e.inside) = 1"
+    once = f"aggregate(s.edges, s.cuts, (cuts, e) -> if({joins}, cuts & ~e.inside | e.halt, cuts))"
+    left = "filter(s.edges, e -> cuts < 0 and (cuts & e.ends) = e.ends and (cuts & e.inside) != 0)"
+    then = f"if(size(s.edges) = 0, s, transform(array({once}), cuts -> struct(cuts & {(1 << 63) - 1}L as cuts, {left} as edges))[0])"
     return F.expr(f"if(size(edges) = 0, ~shiftleft(-1L, char_length(unit) + 1), aggregate(sequence(2, char_length(unit)), {begin}, (s, i) -> {then}, s -> s.cuts))")
 
 

@@ -235,6 +235,22 @@ def test_pieces_equal_the_library(spark, odd, none):
     assert pieces.encode_documents(none).count() == 0
 
 
+def test_a_pass_halts_at_pieces_that_make_a_better_one_possible(spark):
+    p = pieces.PieceParams()
+    wide = pieces.wide_pieces(p.model)
+    place = dict(zip(wide["piece"], wide["place"], strict=True))
+    halting = set(wide.loc[wide["halt"], "piece"])
+    # " the" is better than "the", which it is also joined from
+    assert place[" the"] < place["the"] and "the" in halting and 0 < len(halting) < len(wide)
+    model, draw = pieces.processor(p.model), np.random.default_rng(5)
+    parts = [x for x in [*sorted(halting), *wide["piece"]] if x.isalpha()]
+    units = sorted({(" " * int(draw.integers(0, 2)) + "".join(draw.choice(parts, draw.integers(1, 5))))[:62] for _ in range(2000)})
+    units = [u for u in units if pieces.UNIT.fullmatch(u)]
+    rows = spark.createDataFrame([(u, [0]) for u in units], "unit string, blocks array<long>").repartition(4, "unit")
+    found = {r.unit: r.ids for r in pieces.fold_units(pieces.lattice_edges(rows, p), p).collect()}
+    assert len(units) > 1500 and found == {u: pieces.long_unit(model, u) for u in units}
+
+
 def test_viterbi_finds_the_best_path(spark):
     p = pieces.PieceParams(fold="viterbi")
     known = pieces.pieces_of(p.model).set_index("piece")["score"].to_dict()
