@@ -182,30 +182,42 @@ def text_slices(batch: pa.RecordBatch, limit: int = 1 << 20):
 def lattice_edges(units: DataFrame, p: PieceParams) -> DataFrame:
     """unit, blocks, edges of the units of up to LONGEST characters.
 
-    An edge is one number, place << 33 | start << 27 | stop << 21 | id << 1 | halt,
-    so plain order is best score first, then leftmost. The piece table is bounded by the
-    model. Its empty entry keeps every unit and is the one row that carries the
-    blocks. Units come hashed by unit, so grouping their edges needs no shuffle.
+    An edge is one number, place << 33 | start << 27 | id << 7 | halt << 6 | length,
+    so plain order is best score first, then leftmost. The piece table is bounded by
+    the model and joined by a number, the hash of the piece with its length in the last
+    six bits; the rest of the unit must then begin with the piece. Its empty entry
+    keeps every unit and is the one row that carries the blocks. Units come hashed by
+    unit, so grouping their edges needs no shuffle.
     """
     spark, known = units.sparkSession, wide_pieces(p.model)
-    rows = [(piece, int(place) << 33 | int(i) << 1 | int(halt)) for piece, place, i, halt in known[["piece", "place", "id", "halt"]].itertuples(index=False)]
+    known = known[known["piece"].str.len() <= LONGEST]
+    rows = [(piece, int(place) << 33 | int(i) << 7 | int(halt) << 6 | len(piece)) for piece, place, i, halt in known[["piece", "place", "id", "halt"]].itertuples(index=False)]
     table = spark.createDataFrame([*rows, ("", None)], "piece string, edge long")
+    table = table.withColumn("key", piece_key(F.col("piece"), F.char_length("piece")))
     longest = int(known["piece"].str.len().max()) if len(known) else 1
     size = F.char_length("unit")
     first = F.when(size <= LONGEST, F.sequence(F.lit(0), size)).otherwise(F.array(size))
     starts = units.select("unit", "blocks", size.alias("size"), F.explode(first).alias("start"))
     # the last place gives the empty entry; single characters need no edge
-    stops = F.when(F.col("start") == F.col("size"), F.array("size")).when(F.col("start") + 1 < F.col("size"), F.sequence(F.col("start") + 2, F.least(F.col("size"), F.col("start") + longest)))
+    lengths = F.when(F.col("start") == F.col("size"), F.array(F.lit(0))).when(F.col("start") + 1 < F.col("size"), F.sequence(F.lit(2), F.least(F.col("size") - F.col("start"), F.lit(longest))))
     once = F.when(F.col("start") == F.col("size"), F.col("blocks")).alias("blocks")
-    cut = starts.select("unit", once, "start", F.explode(stops).alias("stop")).withColumn("piece", F.expr("substr(unit, start + 1, stop - start)"))
-    edges = cut.join(F.broadcast(table), "piece")
-    packed = F.expr("edge | shiftleft(cast(start as bigint), 27) | shiftleft(cast(stop as bigint), 21)")
-    return edges.groupBy("unit").agg(F.first("blocks", ignorenulls=True).alias("blocks"), F.sort_array(F.collect_list(packed)).alias("edges"))
+    rest = F.expr(f"substr(unit, start + 1, {longest})").alias("rest")
+    cut = starts.select("unit", once, "start", rest, F.explode(lengths).alias("length")).withColumn("key", piece_key(F.expr("substr(rest, 1, length)"), F.col("length")))
+    edges = cut.join(F.broadcast(table), (cut["key"] == table["key"]) & F.startswith("rest", "piece"))
+    packed = F.expr("edge | shiftleft(cast(start as bigint), 27)").alias("edge")
+    return edges.select("unit", "blocks", packed).groupBy("unit").agg(F.first("blocks", ignorenulls=True).alias("blocks"), F.sort_array(F.collect_list("edge")).alias("edges"))
+
+
+def piece_key(piece: Column, length: Column) -> Column:
+    """Hash of a piece with its length in the last six bits, so that lengths never mix."""
+    return F.xxhash64(piece).bitwiseAND(F.lit(-64).cast("long")).bitwiseOR(length.cast("long"))
 
 
 #: Fields of an edge.
-START, STOP, ID, PLACE = "cast(shiftright(e, 27) & 63 as int)", "cast(shiftright(e, 21) & 63 as int)", "cast(shiftright(e, 1) & 1048575 as int)", "cast(shiftright(e, 33) as int)"
-ENDS, INSIDE = f"shiftleft(1L, {START}) | shiftleft(1L, {STOP})", f"shiftleft(1L, {STOP}) - shiftleft(2L, {START})"
+START, LENGTH, ID, PLACE = "cast(shiftright(e, 27) & 63 as int)", "cast(e & 63 as int)", "cast(shiftright(e, 7) & 1048575 as int)", "cast(shiftright(e, 33) as int)"
+#: Bits of its two ends and those between them, counted from its start; the cuts of the unit there.
+ENDS, INSIDE = f"(shiftleft(1L, {LENGTH}) + 1)", f"(shiftleft(1L, {LENGTH}) - 2)"
+HERE = f"(shiftright(cuts, {START}) & ~shiftleft(-2L, {LENGTH}))"
 
 
 def merge_cuts() -> Column:
@@ -217,11 +229,10 @@ def merge_cuts() -> Column:
     is skipped and the next one begins at the best edge. Cuts only go, so an
     edge that lost an end, or all within it, is left out of the later passes.
     """
-    masks = f"transform(edges, e -> struct({ENDS} as ends, {INSIDE} as inside, shiftleft(e & 1L, 63) as halt))"
-    begin = f"struct(~shiftleft(-1L, char_length(unit) + 1) as cuts, {masks} as edges)"
-    joins = "cuts >= 0 and (cuts & e.ends) = e.ends and bit_count(cuts & e.inside) = 1"
-    once = f"aggregate(s.edges, s.cuts, (cuts, e) -> if({joins}, cuts & ~e.inside | e.halt, cuts))"
-    left = "filter(s.edges, e -> cuts < 0 and (cuts & e.ends) = e.ends and (cuts & e.inside) != 0)"
+    begin = "struct(~shiftleft(-1L, char_length(unit) + 1) as cuts, edges as edges)"
+    joins = f"cuts >= 0 and bit_count({HERE}) = 3 and ({HERE} & {ENDS}) = {ENDS}"
+    once = f"aggregate(s.edges, s.cuts, (cuts, e) -> if({joins}, cuts & ~shiftleft({INSIDE}, {START}) | shiftleft(e & 64L, 57), cuts))"
+    left = f"filter(s.edges, e -> cuts < 0 and bit_count({HERE}) > 2 and ({HERE} & {ENDS}) = {ENDS})"
     then = f"if(size(s.edges) = 0, s, transform(array({once}), cuts -> struct(cuts & {(1 << 63) - 1}L as cuts, {left} as edges))[0])"
     return F.expr(f"if(size(edges) = 0, ~shiftleft(-1L, char_length(unit) + 1), aggregate(sequence(2, char_length(unit)), {begin}, (s, i) -> {then}, s -> s.cuts))")
 
@@ -235,7 +246,7 @@ def viterbi_cuts(p: PieceParams) -> Column:
     """
     own = f"coalesce(get({by_character(p.model, 'score', UNKNOWN)}, ascii(substr(unit, i, 1))), {UNKNOWN}D)"
     unknown = f"(element_at(state, i).score + {own})"
-    ways = f"transform(filter(edges, e -> {STOP} = i), e -> struct(element_at(state, {START} + 1).score + get({by_place(p.model)}, {PLACE}) as score, element_at(state, {START} + 1).cuts | shiftleft(1L, i) as cuts))"
+    ways = f"transform(filter(edges, e -> {START} + {LENGTH} = i), e -> struct(element_at(state, {START} + 1).score + get({by_place(p.model)}, {PLACE}) as score, element_at(state, {START} + 1).cuts | shiftleft(1L, i) as cuts))"
     alone = f"array(struct({unknown} as score, element_at(state, i).cuts | shiftleft(1L, i) as cuts))"
     best = f"array_max(concat({ways}, {alone}))"
     start = "array(struct(0.0D as score, 1L as cuts))"
@@ -247,13 +258,14 @@ def fold_units(lattice: DataFrame, p: PieceParams) -> DataFrame:
     first_byte = processor(p.model).piece_to_id("<0x00>")
     cuts = merge_cuts() if p.fold == "merge" else viterbi_cuts(p)
     # one number for each piece, start << 32 | byte << 28 | id, puts them in order
-    wide = f"transform(filter(edges, e -> (cuts & ({ENDS} | {INSIDE})) = ({ENDS})), e -> shiftleft(cast({START} as bigint), 32) | {ID})"
+    wide = f"transform(filter(edges, e -> {HERE} = {ENDS}), e -> shiftleft(cast({START} as bigint), 32) | {ID})"
     part = "substr(unit, i + 1, 1)"
     known = f"coalesce(get({by_character(p.model, 'id', -1)}, ascii({part})), -1)"
     octets = f"transform(sequence(1, octet_length({part})), b -> shiftleft(cast(i as bigint), 32) | shiftleft(cast(b as bigint), 28) | (cast(conv(substr(hex(encode({part}, 'UTF-8')), 2 * b - 1, 2), 16, 10) as bigint) + {first_byte}))"
     # a one-element array binds a value that an expression uses several times
     one = f"transform(array({known}), id -> if(id >= 0, array(shiftleft(cast(i as bigint), 32) | id), {octets}))[0]"
-    alone = f"flatten(transform(filter(sequence(0, char_length(unit) - 1), i -> (shiftright(cuts, i) & 3) = 3), i -> {one}))"
+    # two cuts side by side are a piece of one character
+    alone = f"if((cuts & shiftright(cuts, 1)) = 0, array(), flatten(transform(filter(sequence(0, char_length(unit) - 1), i -> (shiftright(cuts, i) & 3) = 3), i -> {one})))"
     ids = f"transform(sort_array(concat({wide}, {alone})), x -> cast(x & 268435455 as int))"
     cuts = F.when(F.char_length("unit") <= LONGEST, cuts)
     folded = lattice.withColumn("cuts", cuts).select("unit", "blocks", F.when(F.col("cuts").isNotNull(), F.expr(ids)).alias("ids"))
@@ -306,24 +318,21 @@ def encode_documents(docs: DataFrame, p: PieceParams = PieceParams(), verify: bo
         schema = schema.add("restored", "boolean")
 
     def encode(batches):
-        block, known, octets = None, {}, piece_bytes(path) if verify else []
+        block, known, octets = None, {}, pa.array(piece_bytes(path), pa.binary()) if verify else None
         for batch in batches:
             for part in text_slices(batch):
-                ids, restored = [], []
-                for own, text in zip(part["block"].to_pylist(), part["text"].to_pylist(), strict=True):
+                ids, texts = [], part["text"].to_pylist()
+                for own, text in zip(part["block"].to_pylist(), texts, strict=True):
                     if not text:
                         ids.append(None if text is None else b"")
-                        restored.append(True)
                         continue
                     if own != block:
                         block, known = own, {}
                         known = block_dictionary(f"{folder}/block={own}")
                     ids.append(b"".join([known[u] for u in units_of(text)]))
-                    if verify:
-                        restored.append(decoded(np.frombuffer(ids[-1], np.int32), octets) == text)
                 out = {"rest": part["rest"], **({"text": part["text"]} if with_text else {}), "ids": id_lists(ids)}
                 if verify:
-                    out["restored"] = pa.array(restored, pa.bool_())
+                    out["restored"] = pa.array([not text or found == text for text, found in zip(texts, texts_of(out["ids"], octets), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     found = scanned.mapInArrow(encode, schema)
@@ -370,6 +379,15 @@ def decoded(ids: np.ndarray, octets: list[bytes]) -> str:
     return b"".join([octets[i] for i in np.asarray(ids).tolist()]).decode("utf-8", "replace")[1:]
 
 
+def texts_of(ids: pa.ListArray, octets: pa.BinaryArray) -> list[str]:
+    """Texts of lists of ids, without the space that encoding put in front; NULL gives an empty one."""
+    parts = octets.take(ids.flatten())
+    ends = np.append(0, np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False), dtype=np.int64))
+    data = memoryview(parts.buffers()[2]) if len(parts) else b""
+    at = ends[ids.offsets.to_numpy()].tolist()
+    return [bytes(data[a:b]).decode("utf-8", "replace")[1:] for a, b in zip(at, at[1:])]
+
+
 def decode_documents(encoded: DataFrame, p: PieceParams = PieceParams(), column: str = "decoded") -> DataFrame:
     """``encoded`` with the text that its ``ids`` stand for."""
     names, path = encoded.drop(column).columns, p.model

@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,6 +252,33 @@ def test_a_pass_halts_at_pieces_that_make_a_better_one_possible(spark):
     assert len(units) > 1500 and found == {u: pieces.long_unit(model, u) for u in units}
 
 
+def test_edges_are_joined_by_a_number_and_grouped_without_other_columns(spark):
+    p = pieces.PieceParams()
+    words = [" the", " another", "onion", "x", " " * 7, "w" * 70, "ab" * 31]
+    units = spark.createDataFrame([(w, [i]) for i, w in enumerate(words)], "unit string, blocks array<long>").repartition(2, "unit")
+    lattice = pieces.lattice_edges(units, p)
+    known = set(pieces.wide_pieces(p.model)["piece"])
+    for r in lattice.collect():
+        spans = {(start, stop) for start in range(len(r.unit)) for stop in range(start + 2, len(r.unit) + 1) if r.unit[start:stop] in known} if len(r.unit) <= pieces.LONGEST else set()
+        found = [(e >> 27 & 63, (e >> 27 & 63) + (e & 63)) for e in r.edges]
+        assert set(found) == spans and len(found) == len(spans) and r.blocks == [words.index(r.unit)]
+    plan = lattice._jdf.queryExecution()
+    keys = re.search(r"BroadcastHashJoin \[(\w+)#", plan.executedPlan().toString())
+    assert keys and keys[1] == "key" and "startswith" in plan.optimizedPlan().toString().lower()
+    # what is sorted by unit: unit, blocks, edge
+    grouped = plan.optimizedPlan()
+    while grouped.nodeName() != "Aggregate":
+        grouped = grouped.children().head()
+    assert grouped.child().output().size() == 3
+
+
+def test_texts_of_lists_of_ids():
+    octets = pa.array([b"", b"a", b" b", "ü".encode()[:1], "ü".encode()[1:]], pa.binary())
+    packed = [np.array(x, np.int32).tobytes() if x is not None else None for x in ([2, 1], None, [], [0, 2, 3, 4], [2, 3])]
+    assert pieces.texts_of(pieces.id_lists(packed), octets) == ["ba", "", "", "bü", "b\ufffd"]
+    assert pieces.texts_of(pieces.id_lists([None, b""]), octets) == ["", ""] and pieces.texts_of(pieces.id_lists([]), octets) == []
+
+
 def test_viterbi_finds_the_best_path(spark):
     p = pieces.PieceParams(fold="viterbi")
     known = pieces.pieces_of(p.model).set_index("piece")["score"].to_dict()
