@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids and their number, one row for every row of the mix."""
-    encoded = pieces.encode_documents(docs.select("doc_id", "source", "text"), keep=["doc_id", "source"])
+    encoded = pieces.encode_documents(docs.select("doc_id", "source", "text"), keep=["doc_id", "source"], spread=4)
     return encoded.select("doc_id", "source", F.size("ids").alias("n_pieces"), "ids")
 
 

@@ -168,7 +168,17 @@ def block_units(docs: DataFrame) -> DataFrame:
             units = [seen.pop() for _ in range(min(len(seen), 20_000))]
             yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(units), pa.int64()), "unit": pa.array(units, pa.string())})
 
-    return docs.select("block", "text").mapInArrow(collect, "block long, unit string")
+    return docs.select("block", "text").mapInArrow(lean(collect), "block long, unit string")
+
+
+def lean(task):
+    """The task, giving back at its end what Arrow holds in reserve; idle workers keep their size."""
+
+    def run(batches):
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
 
 
 def text_slices(batch: pa.RecordBatch, limit: int = 1 << 20):
@@ -290,12 +300,15 @@ def long_unit(model, unit: str) -> list[int]:
     return model.encode("\n" + unit)[len(model.encode("\n")) :]
 
 
-def encode_documents(docs: DataFrame, p: PieceParams = PieceParams(), verify: bool = False, keep: list[str] | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, p: PieceParams = PieceParams(), verify: bool = False, keep: list[str] | None = None, spread: int = 0) -> DataFrame:
     """``docs`` with ``ids``, the piece ids of each whole text.
 
     With ``verify`` also ``restored``: whether the ids decode to the text.
     ``keep`` names the columns that are wanted besides; texts that nobody reads
-    again need not come back from the encoding tasks.
+    again need not come back from the encoding tasks. ``spread``, if any, deals
+    the units to that many times the usual partitions: a unit becomes a row for
+    each of its edges, and smaller tasks need less memory for about a tenth more
+    shuffle.
     """
     docs = docs.drop("ids", *(["restored"] if verify else []))
     if not docs.select(F.input_file_name().alias("file")).filter("file = ''").isEmpty():
@@ -304,7 +317,10 @@ def encode_documents(docs: DataFrame, p: PieceParams = PieceParams(), verify: bo
     # a block is a hash of the scanned file and the place in it
     block = F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("block")
     scanned = docs.select(block, docs["text"].alias("text"), carried(docs, [c for c in names if c != "text"]))
-    units = block_units(scanned).groupBy("unit").agg(F.collect_set("block").alias("blocks"))
+    units = block_units(scanned)
+    if spread:
+        units = units.repartition(spread * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
+    units = units.groupBy("unit").agg(F.collect_set("block").alias("blocks"))
     folder = scratch_path(docs.sparkSession, "piece-blocks")
     each = fold_units(lattice_edges(units, p), p).select("unit", "ids", F.explode("blocks").alias("block"))
     each.repartition("block").write.partitionBy("block").parquet(folder)
@@ -335,7 +351,7 @@ def encode_documents(docs: DataFrame, p: PieceParams = PieceParams(), verify: bo
                     out["restored"] = pa.array([not text or found == text for text, found in zip(texts, texts_of(out["ids"], octets), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    found = scanned.mapInArrow(encode, schema)
+    found = scanned.mapInArrow(lean(encode), schema)
     kept = [F.col("text") if c == "text" else F.col("rest").getField("own").getField(c).alias(c) for c in names]
     return found.select(*kept, "ids", *(["restored"] if verify else []))
 

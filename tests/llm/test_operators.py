@@ -272,6 +272,11 @@ def test_edges_are_joined_by_a_number_and_grouped_without_other_columns(spark):
     assert grouped.child().output().size() == 3
 
 
+def test_units_dealt_to_more_tasks_give_the_same_ids(spark, odd):
+    plain, dealt = (sorted((str(r.doc_id), str(r.ids)) for r in pieces.encode_documents(odd, keep=["doc_id"], spread=n).collect()) for n in (0, 3))
+    assert plain == dealt and len(plain) == len(ODD)
+
+
 def test_texts_of_lists_of_ids():
     octets = pa.array([b"", b"a", b" b", "ü".encode()[:1], "ü".encode()[1:]], pa.binary())
     packed = [np.array(x, np.int32).tobytes() if x is not None else None for x in ([2, 1], None, [], [0, 2, 3, 4], [2, 3])]
